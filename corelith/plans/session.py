@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, the unit in which operators size their splits."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver has imported it from."""
+    context = spark.sparkContext
+    if getattr(context, "_corelith_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="corelith-bundle-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    context._corelith_shipped = True
