@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corelith.plans.session import ship
+
 #: The white space that separates words and that normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -12,6 +14,8 @@ LOWER = UPPER.lower()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named table; Python workers get this package on the way."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,3 +34,37 @@ def unit_interval(*cols: Column) -> Column:
     """A reproducible number in (0, 1) from the columns' MD5, the same in any SQL engine."""
     digits = F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], per_band: int = 50_000) -> DataFrame:
+    """``rows`` with ``rank``, a number from 0 without gaps in each group.
+
+    Bands of a group, by a hash of the order columns, are sorted apart from each other and start where
+    the bands before them end, so that a large group is not sorted by one task. ``rows`` must be
+    written out already (see ``cut``), as it is read twice.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / per_band).alias("__bands"))
+    sizes = sizes.withColumnRenamed(group, "__size_group")
+    banded = rows.join(sizes, F.col(group).eqNullSafe(F.col("__size_group")), "left").withColumn(
+        "__band", F.pmod(F.xxhash64(*order), F.col("__bands"))
+    )
+    before = Window.partitionBy(group).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        banded.groupBy(group, "__band")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(
+            F.col(group).alias("__start_group"),
+            F.col("__band").alias("__start_band"),
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+        )
+    )
+    inside = Window.partitionBy(group, "__band").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return (
+        banded.withColumn("__place", F.row_number().over(inside) - 1)
+        .join(
+            starts,
+            F.col(group).eqNullSafe(F.col("__start_group")) & (F.col("__band") == F.col("__start_band")),
+            "left",
+        )
+        .select(*rows.columns, (F.col("__start") + F.col("__place")).alias("rank"))
+    )
