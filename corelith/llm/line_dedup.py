@@ -47,8 +47,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    docs = docs.select("doc_id", "text")
-    lines = _lines(docs, min_chars)
+    lines = cut(_lines(docs, min_chars))  # the texts are split once; what follows reads hashes
     # Keys with over a quarter of an average partition's lines. Counting hash ranges first keeps this
     # pass small: a range below the bound holds no such key.
     ranges = 64 * n
@@ -64,10 +63,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("lines"), F.min("doc_id").alias("hot_first"))
         .filter(F.col("lines") > bound)
-        .select("h1", "h2", "hot_first", F.lit(True).alias("hot"))
+        .select("h1", "h2", "hot_first")
     )
     hot = cut(hot)
-    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
     by_line = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "row", "pos")
     streamed = (
         lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
@@ -75,7 +73,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         .withColumn("first", F.first("doc_id").over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     )
-    known = marked.filter("hot").filter(~F.col("doc_id").eqNullSafe(F.col("hot_first")))
+    known = lines.join(F.broadcast(hot), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("hot_first")))
     dropped = streamed.select("doc_id", "row", "pos").unionByName(known.select("doc_id", "row", "pos"))
     # The same row stored twice has the same lines dropped, so bit_or keeps the masks right.
     words = (
