@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelith.llm import exact_dedup, language, line_dedup, mixing, near_dedup, packing, topk_search
+from corelith.llm import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, topk_search
 from corelith.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.apply_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_maxscore": op7_maxscore,
+    "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
