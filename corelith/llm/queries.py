@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelith.llm import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, secrets, topk_search
+from corelith.llm import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, pii, secrets, topk_search
 from corelith.llm.common import table
 
 
+#: The key of the registered query's surrogates; an application passes its own, secret one.
+SURROGATE_KEY = "corelith"
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The file of the tokenizer's ranks and its splitting pattern."""
     import public_tokenizers
@@ -61,6 +69,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_pack": op2_pack,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
