@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and return the written table."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle width, the unit in which operators size their splits."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
