@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelith.llm.common import chunks
+
 BUCKETS = 1 << 15
 SLICE = 500_000
 #: The bound on labelled rows that a model is fitted on.
@@ -95,35 +98,58 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[list[str],
     return languages, table
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of ``docs``; only the text is looked at."""
+def _judge(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, float]:
+    total, seen = logs[0].astype(float), False
+    for grams in _slices(text or ""):
+        seen = True
+        if len(grams) > BUCKETS:
+            filled, often = np.unique(grams, return_counts=True)
+            total = total + often @ logs[1 + filled].astype(float)
+        else:
+            total = total + logs[1 + grams].sum(axis=0, dtype=float)
+    if not seen or not names:
+        return UNKNOWN, 0.0
+    best = int(np.argmax(total))
+    return names[best], float(1 / np.exp(total - total[best]).sum())
+
+
+def _shared(docs: DataFrame, model: tuple[list[str], np.ndarray]):
     languages, table = model
-    shared = docs.sparkSession.sparkContext.broadcast((languages, table.astype(np.float32)))
+    return docs.sparkSession.sparkContext.broadcast((languages, table.astype(np.float32)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, logs = shared.value
-        for batch in batches:
-            said, sure = [], []
-            for text in batch["text"]:
-                total, seen = logs[0].astype(float), False
-                for grams in _slices(text or ""):
-                    seen = True
-                    filled, often = np.unique(grams, return_counts=True) if len(grams) > BUCKETS else (grams, None)
-                    found = logs[1 + filled]
-                    total = total + (found.sum(axis=0, dtype=float) if often is None else often @ found.astype(float))
-                if not seen or not names:
-                    said.append(UNKNOWN)
-                    sure.append(0.0)
-                    continue
-                best = int(np.argmax(total))
-                said.append(names[best])
-                sure.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": said, "score": sure})
-
-    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row of ``docs``; only the text is looked at."""
+    shared = _shared(docs, model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, held, texts in chunks(batches, "doc_id", "held_out", "text"):
+            said = [_judge(text, *shared.value) for text in texts]
+            yield pa.record_batch(
+                {
+                    "doc_id": pa.array(doc_ids, pa.int64()),
+                    "held_out": pa.array(held, pa.bool_()),
+                    "lang_pred": pa.array([s[0] for s in said], pa.string()),
+                    "score": pa.array([s[1] for s in said], pa.float64()),
+                }
+            )
+
+    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         score, "doc_id bigint, held_out boolean, lang_pred string, score double"
     )
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least this score, with all their columns."""
+    shared = _shared(docs, model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [s[0] != UNKNOWN and s[1] >= least_score for (texts,) in chunks([batch], "text") for s in (_judge(t, *shared.value) for t in texts)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     return predict(docs, fit(docs, training_rows))
