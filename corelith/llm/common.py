@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelith.plans.session import ship
+from corelith.plans.session import partitions, ship
 
 #: The white space that separates words and that normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,14 +39,19 @@ def unit_interval(*cols: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
-def ranked(rows: DataFrame, group: str, order: list[str], per_band: int = 50_000) -> DataFrame:
+def band_rows(rows: DataFrame) -> int:
+    """How many rows to sort together, so that a session's partitions hold about four such bands each."""
+    return max(200, rows.count() // (4 * partitions(rows.sparkSession)))
+
+
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``rows`` with ``rank``, a number from 0 without gaps in each group.
 
     Bands of a group, by a hash of the order columns, are sorted apart from each other and start where
     the bands before them end, so that a large group is not sorted by one task. ``rows`` must be
     written out already (see ``cut``), as it is read twice.
     """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / per_band).alias("__bands"))
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / band_rows(rows)).alias("__bands"))
     sizes = sizes.withColumnRenamed(group, "__size_group")
     banded = rows.join(sizes, F.col(group).eqNullSafe(F.col("__size_group")), "left").withColumn(
         "__band", F.pmod(F.xxhash64(*order), F.col("__bands"))
@@ -68,3 +76,11 @@ def ranked(rows: DataFrame, group: str, order: list[str], per_band: int = 50_000
         )
         .select(*rows.columns, (F.col("__start") + F.col("__place")).alias("rank"))
     )
+
+
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str, rows: int = 128) -> Iterator[list[list]]:
+    """The named columns as Python lists, a few rows at a time, so that a worker holds few texts at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield [part.column(c).to_pylist() for c in columns]
