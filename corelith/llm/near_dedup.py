@@ -28,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corelith.llm.common import chunks
 from corelith.operators.components import connected_components
 from corelith.plans.session import cut
 
@@ -49,7 +51,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -105,14 +107,15 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n, None] | np.uint64(1), seeds[n:, None]
 
 
-_TIMES, _PLUS = _multipliers(BANDS * ROWS)
+_TIMES, _PLUS = (x.astype(np.uint32) for x in _multipliers(BANDS * ROWS))
 
 
 def signature(hashes: np.ndarray) -> bytes:
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for start in range(0, len(hashes), 2000):
-        part = hashes[start : start + 2000][None, :]
-        np.minimum(low, ((part ^ _PLUS) * _TIMES >> np.uint64(32)).min(axis=1).astype(np.uint32), out=low)
+        keyed = (hashes[start : start + 2000] >> np.uint64(32)).astype(np.uint32)[None, :] ^ _PLUS
+        keyed *= _TIMES
+        np.minimum(low, keyed.min(axis=1), out=low)
     return low.tobytes()
 
 
@@ -133,19 +136,18 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n": [len(s) for s in sets],
-                    "c": [set_digest(s) for s in sets],
-                    "sig": [signature(s) if len(s) else b"" for s in sets],
-                }
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in chunks(batches, "doc_id", "text"):
+            made: list[tuple] = []
+            for text in texts:
+                hashes = shingle_hashes(text)
+                made.append((len(hashes), set_digest(hashes), signature(hashes) if len(hashes) else b""))
+            n, c, sig = zip(*made, strict=True)
+            yield pa.record_batch(
+                {"doc_id": pa.array(doc_ids, pa.int64()), "n": pa.array(n, pa.int64()), "c": pa.array(c, pa.binary()), "sig": pa.array(sig, pa.binary())}
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(sketch, "doc_id bigint, n bigint, c binary, sig binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, n bigint, c binary, sig binary")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -166,11 +168,14 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         .select("doc_id", "text")
     )
 
-    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), c=[set_digest(shingle_hashes(t)) for t in batch["text"]])
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in chunks(batches, "doc_id", "text"):
+            digests = [set_digest(shingle_hashes(t)) for t in texts]
+            yield pa.record_batch(
+                {"doc_id": pa.array(doc_ids, pa.int64()), "text": pa.array(texts, pa.string()), "c": pa.array(digests, pa.binary())}
+            )
 
-    return found.mapInPandas(classed, "doc_id bigint, text string, c binary")
+    return found.mapInArrow(classed, "doc_id bigint, text string, c binary")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -196,23 +201,22 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     texts = _texts_of(docs, ids)
     text = lambda x: texts.select(F.col("doc_id").alias(f"rep_{x}"), F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known: dict[bytes, set] = {}
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, set] = {}
+        for columns in chunks(batches, "a", "b", "text_a", "text_b"):
             linked = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if len(known) > 64:
-                    known.clear()
-                for key, value in ((a, ta), (b, tb)):
-                    if key not in known:
-                        known[key] = shingle_set(value)
-                x, y = known[a], known[b]
+            for a, b, text_a, text_b in zip(*columns, strict=True):
+                if a not in known:
+                    known.clear()  # rows come ordered by neither side, but a large group repeats its first member
+                    known[a] = shingle_set(text_a)
+                x, y = known[a], shingle_set(text_b)
                 shared = len(x & y)
-                linked.append(bool(x) and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.loc[linked, ["a", "b"]]
+                if x and 100 * shared >= percent * (len(x) + len(y) - shared):
+                    linked.append((a, b))
+            yield pa.record_batch({k: pa.array([pair[i] for pair in linked], pa.binary()) for i, k in enumerate("ab")})
 
     joined = likely.join(text("a"), ["rep_a", "a"]).join(text("b"), ["rep_b", "b"])
-    return cut(joined.mapInPandas(confirm, "a binary, b binary").distinct())
+    return cut(joined.mapInArrow(confirm, "a binary, b binary").distinct())
 
 
 def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -224,30 +228,42 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts_of(docs, members).join(members.select("c", "label").distinct(), "c")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FREQUENCIES, dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount((shingle_hashes(text) % np.uint64(FREQUENCIES)).astype(np.int64), minlength=FREQUENCIES)
+        for (texts,) in chunks(batches, "text"):
+            spots = [(shingle_hashes(text) % np.uint64(FREQUENCIES)).astype(np.int64) for text in texts]
+            total += np.bincount(np.concatenate(spots), minlength=FREQUENCIES)
         filled = np.flatnonzero(total > 1)
-        yield pd.DataFrame({"spot": filled, "n": total[filled]})
+        yield pa.record_batch({"spot": pa.array(filled), "n": pa.array(total[filled])})
 
-    tallied = texts.select("text").mapInPandas(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
+    tallied = texts.select("text").mapInArrow(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
     common = np.ones(FREQUENCIES, dtype=np.int64)
     common[tallied["spot"].to_numpy(dtype=np.int64)] = tallied["n"].to_numpy(dtype=np.int64)
     shared = spark.sparkContext.broadcast(common)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
-            for c, label, text in zip(batch["c"], batch["label"], batch["text"], strict=True):
+        for columns in chunks(batches, "c", "label", "text"):
+            token, c_of, label_of, n_of = [], [], [], []
+            for c, label, text in zip(*columns, strict=True):
                 hashes = shingle_hashes(text)
                 n = len(hashes)
                 rare = np.lexsort((hashes, often[(hashes % np.uint64(FREQUENCIES)).astype(np.int64)]))
                 first = hashes[rare[: n - (percent * n + 99) // 100 + 1]]
-                yield pd.DataFrame({"token": first.view(np.int64), "c": c, "label": label, "n": n})
+                token.append(first.view(np.int64))
+                c_of += [c] * len(first)
+                label_of += [label] * len(first)
+                n_of += [n] * len(first)
+            yield pa.record_batch(
+                {
+                    "token": pa.array(np.concatenate(token)),
+                    "c": pa.array(c_of, pa.binary()),
+                    "label": pa.array(label_of, pa.binary()),
+                    "n": pa.array(n_of, pa.int64()),
+                }
+            )
 
-    tokens = cut(texts.mapInPandas(prefixes, "token bigint, c binary, label binary, n bigint").distinct())
+    tokens = cut(texts.mapInArrow(prefixes, "token bigint, c binary, label binary, n bigint").distinct())
     mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
     left = cut(tokens.join(mixed, "token", "left_semi"))
     right = left.select("token", F.col("c").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
