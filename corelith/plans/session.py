@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that Spark hands to a Python worker at a time.
+BATCH_ROWS = 1000
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir.
@@ -51,7 +54,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, wherever the driver has imported it from."""
+    """Give Python workers this package, wherever the driver has imported it from, and batches of few rows.
+
+    Rows may hold whole texts, and a worker has a batch in memory several times over.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_corelith_shipped", False):
         return

@@ -59,7 +59,7 @@ def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A line holds the whole row, so files are small and are numbered in one task.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"[\[\],]+", " ")), r"\s*\n\s*")).alias("src", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim(F.regexp_replace("value", r"[\[\],]+", " "), F.lit(" \r\n\t")), r"\s*\n\s*")).alias("src", "line"))
     cells = rows.select(F.col("src").cast("bigint").alias("src"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("dst", "bit"))
     edges = canonical_edges(cells.filter("bit not in ('0', '')").select("src", F.col("dst").cast("bigint").alias("dst")))
     return edges, vertices_of(edges, rows.select(F.col("src").cast("bigint").alias("id")))
