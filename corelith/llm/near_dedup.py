@@ -2,13 +2,13 @@
 
 1. Every text becomes its set of five-word shingles, a digest of the set, and a MinHash signature. Texts with
    equal sets are one class; from here on a class is one node.
-2. Signatures are cut into bands. In each bucket of a band the members are paired with its smallest one, so a
-   bucket of n members gives n - 1 pairs.
+2. Signatures are cut into bands. In each bucket of a band the members are paired with its leader, so a
+   bucket of n members gives n - 1 pairs; bands choose leaders by ``LEADERS`` different orders.
 3. Pairs are compared signature batch by signature batch. After each batch a pair is dropped once the
    posterior probability that its similarity reaches the threshold, under a uniform prior, is below
    ``MISS``. Survivors are verified exactly on the full sets of words.
 4. Components of the verified pairs are formed. Buckets that still hold more than one component may hide
-   links between members other than the smallest. Their members go through an exact prefix-filter join
+   links between members other than the leader. Their members go through an exact prefix-filter join
    (each emits the rarest quarter of its shingles; linked sets must share one), between different components
    only, and its pairs through step 3. No bucket is capped.
 5. Components of all links give the result.
@@ -37,13 +37,14 @@ from corelith.operators.components import connected_components
 from corelith.plans.session import cut
 
 BANDS, ROWS, BATCH = 32, 4, 16
+LEADERS = 8
 SHINGLE = 5
 PERCENT = 75
 MISS = 1e-6
 #: Words of 64 bits in the filter that keeps texts without a candidate from being shuffled: 8 MB when broadcast.
 FILTER_WORDS = 1 << 19
 #: Buckets of the frequency table that orders shingles from rare to common.
-FREQUENCIES = 1 << 18
+FREQUENCIES = 1 << 19
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -223,7 +224,8 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (c, rep, label) in different components that may be linked; none is missed.
 
     Linked sets share one of the rarest n - ceil(percent n / 100) + 1 shingles of each, in any order common to
-    all sets; a table of bounded size says how common a shingle is.
+    all sets; a table of bounded size says how common a shingle is. Where they share the first one in this order,
+    both have enough shingles left.
     """
     spark = docs.sparkSession
     texts = _texts_of(docs, members).join(members.select("c", "label").distinct(), "c")
@@ -236,15 +238,15 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         filled = np.flatnonzero(total > 1)
         yield pa.record_batch({"spot": pa.array(filled), "n": pa.array(total[filled])})
 
-    tallied = texts.select("text").mapInArrow(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
+    tallied = texts.select("text").mapInArrow(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
     common = np.ones(FREQUENCIES, dtype=np.int64)
-    common[tallied["spot"].to_numpy(dtype=np.int64)] = tallied["n"].to_numpy(dtype=np.int64)
+    common[tallied["spot"].to_numpy()] = tallied["n"].to_numpy()
     shared = spark.sparkContext.broadcast(common)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for columns in chunks(batches, "c", "label", "text"):
-            token, c_of, label_of, n_of = [], [], [], []
+            token, c_of, label_of, n_of, rest = [], [], [], [], []
             for c, label, text in zip(*columns, strict=True):
                 hashes = shingle_hashes(text)
                 n = len(hashes)
@@ -254,19 +256,23 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 c_of += [c] * len(first)
                 label_of += [label] * len(first)
                 n_of += [n] * len(first)
+                rest.append(n - np.arange(len(first)))
             yield pa.record_batch(
                 {
                     "token": pa.array(np.concatenate(token)),
                     "c": pa.array(c_of, pa.binary()),
                     "label": pa.array(label_of, pa.binary()),
                     "n": pa.array(n_of, pa.int64()),
+                    "rest": pa.array(np.concatenate(rest)),
                 }
             )
 
-    tokens = cut(texts.mapInArrow(prefixes, "token bigint, c binary, label binary, n bigint").distinct())
+    tokens = cut(texts.mapInArrow(prefixes, "token bigint, c binary, label binary, n bigint, rest bigint").distinct())
     mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
     left = cut(tokens.join(mixed, "token", "left_semi"))
-    right = left.select("token", F.col("c").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    right = left.select("token", *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "n", "rest")]).withColumnRenamed("c_b", "b")
+    # At the first shared shingle both sets must have enough members left, that one included, for the overlap needed.
+    enough = F.least("rest", "rest_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
     return (
         left.withColumnRenamed("c", "a")
         .join(
@@ -275,7 +281,8 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             & (F.col("a") < F.col("b"))
             & (F.col("label") != F.col("label_b"))
             & (F.col("n") * 100 >= F.col("n_b") * percent)
-            & (F.col("n_b") * 100 >= F.col("n") * percent),
+            & (F.col("n_b") * 100 >= F.col("n") * percent)
+            & enough,
         )
         .select("a", "b")
         .distinct()
@@ -292,10 +299,12 @@ def near_components(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     )
     width = 4 * ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)]
-    bands = classes.select("c", F.explode(F.array(*keys)).alias("key"))
-    crowds = bands.groupBy("key").agg(F.min("c").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(bands.join(crowds.select("key", "lead"), "key"))
-    star = cut(shared.filter("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct())
+    bands = classes.select("c", F.posexplode(F.array(*keys)).alias("band", "key"))
+    # Bands choose their leaders by LEADERS different orders, so a large group is tied together in several ways.
+    first = F.min(F.struct(F.xxhash64(F.col("band") % LEADERS, "c").alias("order"), F.col("c").alias("c")))
+    crowds = bands.groupBy("key").agg(first["c"].alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = cut(bands.select("c", "key").join(crowds.select("key", "lead"), "key"))
+    star = cut(shared.filter("c <> lead").select(F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct())
     links = _verify(docs, classes, star, percent, miss)
 
     labels = cut(connected_components(links, "a", "b"))
