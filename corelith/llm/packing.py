@@ -31,6 +31,10 @@ from corelith.plans.session import cut
 CAPACITY = 2048
 WIDTH = 8
 CLOSING = 1
+#: Patterns priced by one table of the dynamic program.
+COLUMNS = 24
+#: How far duals are held back, and the relative distance from the bound at which the program counts as solved.
+SMOOTHING, GAP = 0.8, 0.0002
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -62,74 +66,103 @@ def token_pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPA
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(cut_up, PIECES)
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of items within the capacity, and how often it holds each item."""
+def _knapsack_table(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity, the best value and the item taken there, or -1; sizes ascend."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    sizes, values = sizes[order], values[order]
     for room in range(1, capacity + 1):
-        best[room], choice[room] = best[room - 1], -1
+        best[room] = best[room - 1]
         fits = np.searchsorted(sizes, room, side="right")
         if fits:
             with_item = best[room - sizes[:fits]] + values[:fits]
             i = int(np.argmax(with_item))
             if with_item[i] > best[room] + 1e-12:
                 best[room], choice[room] = with_item[i], i
-    counts, room = np.zeros(len(sizes), dtype=np.int64), capacity
+    return best, choice
+
+
+def _trace(choice: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    counts = np.zeros(len(sizes), dtype=np.int64)
     while room > 0:
         if choice[room] < 0:
             room -= 1
         else:
-            counts[order[choice[room]]] += 1
+            counts[choice[room]] += 1
             room -= sizes[choice[room]]
-    return float(best[capacity]), counts
+    return counts
+
+
+def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable multiset of items (of ascending sizes) within the capacity, and how often it holds each."""
+    best, choice = _knapsack_table(values, sizes, capacity)
+    return float(best[capacity]), _trace(choice, sizes, capacity)
 
 
-def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often the linear program uses each; every basis on the way is feasible."""
+def fractional_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often the linear program uses each; every basis on the way is feasible.
+
+    Duals are smoothed towards the best feasible ones known, at first each size's share of a sequence, which keeps them
+    from jumping about. Any duals divided by the value of their best pattern are feasible and give a lower bound; the
+    search ends when the basis is within ``GAP`` of it. One table of the dynamic program prices the best pattern around
+    each item; those that pay under the basis's own duals enter one after another.
+    """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
     cost, used = np.ones(m), demand / np.diag(basis)
-    for _ in range(rounds):
-        duals = cost @ inverse
-        if (worst := int(np.argmin(duals))) >= 0 and duals[worst] < -1e-9:
-            column, price = np.zeros(m), 0.0
-            column[worst] = -1.0
-        else:
-            value, counts = knapsack(np.maximum(duals, 0), sizes, capacity)
-            if value <= 1 + 1e-7:
-                break
-            column, price = counts.astype(float), 1.0
+
+    def enter(column: np.ndarray, price: float = 1.0) -> None:
         direction = inverse @ column
         usable = direction > 1e-9
         if not usable.any():
-            break
+            return
         ratios = np.full(m, np.inf)
         ratios[usable] = used[usable] / direction[usable]
         leaves = int(np.argmin(ratios))
         step = ratios[leaves]
-        used = np.maximum(used - step * direction, 0)
+        used[:] = np.maximum(used - step * direction, 0)
         used[leaves] = step
         basis[:, leaves], cost[leaves] = column, price
         inverse[leaves] /= direction[leaves]
-        others = np.arange(m) != leaves
-        inverse[others] -= np.outer(direction[others], inverse[leaves])
+        direction[leaves] = 0
+        inverse[:] -= np.outer(direction, inverse[leaves])
+
+    for pattern, _ in first_fit_patterns(sizes, demand, capacity):
+        if (cost @ inverse) @ pattern > 1 + 1e-7:
+            enter(pattern.astype(float))
+    center, smooth = sizes / capacity, SMOOTHING
+    for _ in range(rounds):
+        if cost @ used <= (1 + GAP) * (center @ demand):
+            break
+        duals = cost @ inverse
+        if duals[worst := int(np.argmin(duals))] < -1e-9:
+            surplus = np.zeros(m)
+            surplus[worst] = -1.0
+            enter(surplus, 0.0)
+            continue
+        values = smooth * center + (1 - smooth) * np.maximum(duals, 0)
+        best, choice = _knapsack_table(values, sizes, capacity)
+        if (feasible := values / max(best[capacity], 1e-12)) @ demand > center @ demand:
+            center = feasible
+        around, entered = values + best[capacity - sizes], 0
+        for i in np.argsort(-around, kind="stable")[:COLUMNS]:
+            counts = _trace(choice, sizes, capacity - int(sizes[i])).astype(float)
+            counts[i] += 1
+            if (cost @ inverse) @ counts > 1 + 1e-7:
+                enter(counts)
+                entered += 1
+        if not entered and not smooth:
+            break
+        smooth = SMOOTHING if entered else smooth / 2 if smooth > 0.1 else 0.0
     return [(basis[:, i].astype(np.int64), float(used[i])) for i in range(m) if cost[i] > 0 and used[i] > 1e-9]
 
 
-def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns with whole numbers of uses that together hold all items."""
+def first_fit_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """First-fit decreasing on classes: the largest rests that fit, again and again; equal sequences are made at once."""
     left, out = demand.astype(np.int64).copy(), []
-    for pattern, used in fractional_patterns(sizes, demand, capacity):
-        if (times := int(used + 1e-6)) > 0:
-            out.append((pattern, times))
-            left -= pattern * times
-    left = np.maximum(left, 0)
     while left.any():
         pattern, room = np.zeros(len(sizes), dtype=np.int64), capacity
-        for i in np.argsort(-sizes, kind="stable"):
+        for i in np.flatnonzero(left)[::-1]:
             take = min(int(left[i]), room // int(sizes[i]))
             pattern[i] += take
             room -= take * int(sizes[i])
@@ -139,6 +172,16 @@ def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
+def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns with whole numbers of uses that together hold all items; sizes ascend."""
+    left, out = demand.astype(np.int64).copy(), []
+    for pattern, used in fractional_patterns(sizes, demand, capacity):
+        if (times := int(used + 1e-6)) > 0:
+            out.append((pattern, times))
+            left -= pattern * times
+    return out + first_fit_patterns(sizes, np.maximum(left, 0), capacity)
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH) -> list[tuple[int, int, int, int, int]]:
     """(class, first rank, rank end, slots a sequence, first sequence) for every class of each pattern.
 
