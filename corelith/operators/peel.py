@@ -117,4 +117,4 @@ def peel_trace(instances: DataFrame, vertices: DataFrame | None = None, most_ins
         made = peel_sequence([list(map(int, m)) for m in real["members"]], real["mult"].astype(int).tolist(), group["vertex"].dropna().astype(int).tolist())
         return pd.DataFrame(made, columns=[c.split()[0] for c in TRACE.split(", ")])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(trace, TRACE)
+    return rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(trace, TRACE)
