@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corelith.functions import binomial
 from corelith.operators.cliques import identified, incidence, list_cliques
 from corelith.operators.cores import core_numbers, instance_core_numbers
-from corelith.operators.graph import induced
+from corelith.operators.graph import induced, side_by_side
 from corelith.operators.peel import best_level, instance_levels, level_table, peel_trace
 from corelith.operators.prune import within
 from corelith.plans.session import cut
@@ -22,9 +22,10 @@ def peel_by_level(instances: DataFrame) -> DataFrame:
 
 def peel_by_vertex(instances: DataFrame, most_instances: int = 2_000_000) -> DataFrame:
     """One row (n_vertices, n_instances): the densest state along the removal of single vertices, the whole graph included."""
-    whole = incidence(instances).agg(F.countDistinct("id").alias("n_vertices")).crossJoin(
-        instances.agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
-    )  # one row by one row
+    whole = side_by_side(
+        incidence(instances).agg(F.countDistinct("id").alias("n_vertices")),
+        instances.agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances")),
+    )
     trace = peel_trace(instances, most_instances=most_instances)
     states = trace.filter("remaining_vertices > 0").select(F.col("remaining_vertices").alias("n_vertices"), F.col("remaining_instances").alias("n_instances"))
     return (
@@ -41,8 +42,8 @@ def max_core(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     top = cores.agg(F.max("core").alias("k_max"))
     ids = cores.join(top, F.col("core") == F.col("k_max")).select("id", "k_max")
     held = instance_levels(inc, cores).join(top, F.col("level") == F.col("k_max")).agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
-    stats = ids.groupBy("k_max").agg(F.count(F.lit(1)).alias("n_vertices")).crossJoin(held)  # one row by one row
-    return ids.select("id"), stats.select("k_max", "n_vertices", "n_instances")
+    stats = side_by_side(ids.agg(F.max("k_max").alias("k_max"), F.count(F.lit(1)).alias("n_vertices")), held)
+    return ids.select("id"), stats.filter("k_max is not null")
 
 
 def core_estimates(edges: DataFrame, k: int) -> DataFrame:
@@ -89,4 +90,4 @@ def share_loads(instances: DataFrame, rounds: int = 8) -> DataFrame:
 def members_within(instances: DataFrame, ids: DataFrame) -> DataFrame:
     """One row (n_vertices, n_instances): the density of any vertex set, as two whole numbers."""
     held = within(instances, ids).agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
-    return ids.select("id").distinct().agg(F.count(F.lit(1)).alias("n_vertices")).crossJoin(held)  # one row by one row
+    return side_by_side(ids.select("id").distinct().agg(F.count(F.lit(1)).alias("n_vertices")), held)

@@ -106,28 +106,40 @@ class Cut:
                 x = self.head[path[-1]] if path else self.source
 
 
-def densest_set(members: list[list[int]], mults: list[int], start: Fraction = Fraction(0)) -> tuple[list[int], Fraction]:
-    """The union of all densest sets and its density; nothing if no set reaches ``start``."""
+def densest_set(
+    members: list[list[int]], mults: list[int], start: Fraction = Fraction(0), most_cuts: int | None = None
+) -> tuple[list[int], Fraction, bool]:
+    """The union of all densest sets, its density, and whether that is certain; nothing if no set reaches ``start``.
+
+    ``most_cuts`` ends the search early with the densest set seen so far.
+    """
     ids = sorted({v for group in members for v in group})
     place = {v: i for i, v in enumerate(ids)}
     groups = [[place[v] for v in group] for group in members]
     if not ids:
-        return [], Fraction(0)
-    network, density = Cut(groups, mults, len(ids)), max(start, Fraction(sum(mults), len(ids)))
+        return [], Fraction(0), True
+    network, whole, cuts = Cut(groups, mults, len(ids)), Fraction(sum(mults), len(ids)), 0
+    density, seen = max(start, whole), ids if whole >= start else []
     while True:
-        chosen = network.largest_set(density.numerator, density.denominator)
+        if cuts == most_cuts:
+            return seen, density if seen else Fraction(0), False
+        chosen, cuts = network.largest_set(density.numerator, density.denominator), cuts + 1
         if not chosen:
-            return [], Fraction(0)
+            return [], Fraction(0), True
         inside = set(chosen)
         held = sum(m for m, group in zip(mults, groups, strict=True) if inside.issuperset(group))
         found = Fraction(held, len(chosen))
         if found <= density:
-            return ([ids[v] for v in chosen], found) if found == density else ([], Fraction(0))
-        density = found
+            return ([ids[v] for v in chosen], found, True) if found == density else ([], Fraction(0), True)
+        density, seen = found, [ids[v] for v in chosen]
 
 
 def solve_components(
-    instances: DataFrame, components: DataFrame, start: tuple[int, int] = (0, 0), most_instances: int = 2_000_000
+    instances: DataFrame,
+    components: DataFrame,
+    start: tuple[int, int] = (0, 0),
+    most_instances: int = 2_000_000,
+    most_cuts: int | None = None,
 ) -> DataFrame:
     """Rows of ``SOLVED``: the members of each component's densest set that reaches the density ``start``.
 
@@ -140,10 +152,11 @@ def solve_components(
     floor = Fraction(*start) if start[1] else Fraction(0)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        chosen, density = densest_set([list(map(int, m)) for m in group["members"]], group["mult"].astype(int).tolist(), floor)
+        groups, mults = [list(map(int, m)) for m in group["members"]], group["mult"].astype(int).tolist()
+        chosen, density, certain = densest_set(groups, mults, floor, most_cuts)
         held_now = density * len(chosen)
         return pd.DataFrame(
-            {"component": group["component"].iloc[0], "id": pd.Series(chosen, dtype="int64"), "numer": int(held_now), "denom": len(chosen), "exact": True}
+            {"component": group["component"].iloc[0], "id": pd.Series(chosen, dtype="int64"), "numer": int(held_now), "denom": len(chosen), "exact": certain}
         )
 
     small = held.join(sizes.filter(F.col("rows") <= most_instances).select("component"), "component", "left_semi")

@@ -39,6 +39,13 @@ def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return vertices.join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"))
 
 
+def side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The columns of two frames of one row each, in one row, without a join."""
+    names = [*one.columns, *other.columns]
+    both = one.unionByName(other, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in names])
+
+
 def graph_counts(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """One row: n_vertices, n_edges, max_degree."""
     deg = degrees(edges, vertices)

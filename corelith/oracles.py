@@ -105,6 +105,9 @@ ORACLES: dict[str, str] = {
     + "select src, dst from e where src in (select id from ego) and dst in (select id from ego)",
     "two_step_ball": _with(PART10, ADJ, VERT, "one as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
     + "select id from one union select v from adj where u in (select id from one)",
+    "set_neighbourhood": _with(CLICK, ADJ, VERT) + "select id from vert where id % 10 = 0 union select v from adj where u % 10 = 0",
+    "pattern_ball": _with(PART2X, ADJ, VERT, "one as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
+    + "select id from one union select v from adj where u in (select id from one)",
     "core_numbers": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id, core from core",
     "core_histogram": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select (core // 5)::bigint as bucket, count(*) as n_vertices from core group by 1",
     "fixed_core_16": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id from core where core >= 16",
@@ -121,6 +124,8 @@ ORACLES: dict[str, str] = {
     "four_clique_degrees": _with(CLICK, TRI, FOUR) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2, v3]) as id from four) group by id",
     "triangles_touching": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 10 = 0 or v1 % 10 = 0 or v2 % 10 = 0",
     "triangles_inside": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 2 = 0 and v1 % 2 = 0 and v2 % 2 = 0",
+    "triangles_containing": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 = (select min(src) from e)",
+    "covered_edges": _with(PART10, TRI, _TRI_EDGES) + "select src, dst from te",
     "triangle_degree_drop": _with(CLICK, TRI)
     + "select id, count(*) as pattern_degree from (select unnest([v0, v1, v2]) as id from tri where v0 = (select min(src) from e)) group by id",
     "pattern_tailed_triangle": _with(CLICK, ADJ, DEG, TRI) + _TAILED,
@@ -164,6 +169,10 @@ ORACLES: dict[str, str] = {
     "peel_best_core_triangles": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True) + _BEST,
     "max_core_triangles": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
     + "select level as k_max, n_vertices, n_instances from lev order by level desc limit 1",
+    "densest_triangles_peel": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
+    + f", best as ({_BEST}) select id, n_instances as numer, n_vertices as denom from core, best where core >= level",
+    "densest_triangles_max_core": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
+    + ", best as (select * from lev order by level desc limit 1) select id, n_instances as numer, n_vertices as denom from core, best where core = level",
     "max_core_top_down": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core where core = (select max(core) from core)",
     "core_estimates": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id, core * (core - 1) // 2 as bound from core",
     "densest_core_edges": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)

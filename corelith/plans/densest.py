@@ -44,11 +44,11 @@ def find_instances(edges: DataFrame, pattern: int | str | Pattern) -> DataFrame:
     return identified(instances(edges, PATTERNS[pattern] if isinstance(pattern, str) else pattern))
 
 
-def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", prune: bool = True, most_instances: int = 2_000_000) -> Densest:
+def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", prune: bool = True, most_instances: int = 2_000_000, most_cuts: int | None = None) -> Densest:
     """The maximal set of vertices with the most pattern instances for each vertex.
 
     ``method``: "exact"; "peel" for the densest core; "max_core" for the core of highest number. Both approximations reach at
-    least 1 / k of the best density. ``prune`` false skips cores and thresholds and searches all components. A graph
+    least 1 / k of the best density. ``most_cuts`` ends the exact search of a component early. ``prune`` false skips cores and thresholds and searches all components. A graph
     without instances has density 0 and no members.
     """
     spark = edges.sparkSession
@@ -74,7 +74,7 @@ def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method:
         start = max(start, level, key=lambda f: Fraction(*f) if f[1] else Fraction(0))
     else:
         kept, components = found, cut(instance_components(found))
-    solved = cut(solve_components(kept, components, start, most_instances))
+    solved = cut(solve_components(kept, components, start, most_instances, most_cuts))
     best = solved.orderBy((F.col("numer") / F.col("denom")).desc()).first()
     if best is None:
         return nothing

@@ -81,6 +81,21 @@ def inside_even(edges: DataFrame) -> DataFrame:
     return as_columns(cliques.inside(cliques.list_cliques(edges, 3), graph.vertices_of(edges).filter("id % 2 = 0")), 3)
 
 
+def containing_smallest(edges: DataFrame) -> DataFrame:
+    return as_columns(cliques.containing(cliques.list_cliques(edges, 3), smallest_vertex(edges).first()[0]), 3)
+
+
+def pattern_ball(edges: DataFrame) -> DataFrame:
+    """What lies within a 4-cycle's diameter of the smallest vertex."""
+    edges = cut(edges)
+    return graph.ball(edges, smallest_vertex(edges), patterns.PATTERNS["4-cycle"].diameter())
+
+
+def set_neighbourhood(edges: DataFrame) -> DataFrame:
+    """Vertices whose id is divisible by 10, and all their neighbours."""
+    return graph.closed_neighbourhood(edges, graph.vertices_of(edges).filter("id % 10 = 0"))
+
+
 def degree_drop(edges: DataFrame) -> DataFrame:
     """How much triangle degree leaves with the smallest vertex."""
     triangles = cut(cliques.list_cliques(edges, 3).withColumn("mult", F.lit(1).cast("bigint")))
@@ -193,6 +208,8 @@ QUERIES: dict[str, Query] = {
     "induced_edges": on(click, top_degree_induced),
     "ego_edges": on(click, ego_edges),
     "two_step_ball": on(part10, two_step_ball),
+    "set_neighbourhood": on(click, set_neighbourhood),
+    "pattern_ball": on(part2x, pattern_ball),
     "core_numbers": on(click, cores.core_numbers),
     "core_histogram": on(click, lambda e: cores.core_histogram(cores.core_numbers(e))),
     "fixed_core_16": on(click, lambda e: cores.fixed_core(cliques.incidence(cliques.identified(cliques.list_cliques(e, 2))), 16)),
@@ -207,6 +224,8 @@ QUERIES: dict[str, Query] = {
     "four_clique_degrees": on(click, lambda e: cliques.clique_degrees(e, 4)),
     "triangles_touching": on(click, touching_low),
     "triangles_inside": on(click, inside_even),
+    "triangles_containing": on(click, containing_smallest),
+    "covered_edges": on(part10, lambda e: prune.covered_edges(e, cliques.list_cliques(e, 3))),
     "triangle_degree_drop": on(click, degree_drop),
     # patterns
     "pattern_tailed_triangle": on(click, patterns.tailed_triangle_count),
@@ -223,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "pattern_generic_two_triangle_sets": on(part10, lambda e: as_columns(patterns.instances(e, patterns.PATTERNS["2-triangle"]), 4)),
     "pattern_four_cycle_core": on(part2x, pattern_core("4-cycle")),
     "pattern_star2_core": on(part2x, pattern_core("2-star")),
+    "pattern_four_cycle_peel": on(part2x, pattern_peel("4-cycle")),
     "pattern_star2_peel": on(part2x, pattern_peel("2-star")),
     # cores and peeling
     "triangle_core_numbers": on(click, lambda e: clique_cores(e, 3)),
@@ -249,5 +269,8 @@ QUERIES: dict[str, Query] = {
     "densest_triangles_part10": on(part10, densest_members(3)),
     "densest_two_triangles": on(part2x, densest_members("2-triangle")),
     "densest_four_cycles": on(part2x, densest_members("4-cycle")),
+    "densest_triangles_early_stop": on(click, densest_members(3, most_cuts=1)),
+    "densest_triangles_peel": on(click, densest_members(3, method="peel")),
+    "densest_triangles_max_core": on(click, densest_members(3, method="max_core")),
     "share_loads": on(part2x, lambda e: approx.share_loads(find_instances(e, 2))),
 }

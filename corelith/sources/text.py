@@ -12,7 +12,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelith.operators.graph import canonical_edges, dense_ids, sorted_adjacency, vertices_of
+from corelith.operators.graph import canonical_edges, dense_ids, side_by_side, sorted_adjacency, vertices_of
 from corelith.operators.patterns import Pattern
 
 log = logging.getLogger(__name__)
@@ -88,6 +88,6 @@ def adjacency_lines(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def write_adjacency(edges: DataFrame, vertices: DataFrame, path: str) -> None:
     """Sorted lines in range-partitioned files, the header as the first line of the first."""
-    head = vertices.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("n")).crossJoin(edges.agg(F.count(F.lit(1)).alias("m")))  # one row by one row
+    head = side_by_side(vertices.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("n")), edges.agg(F.count(F.lit(1)).alias("m")))
     header = head.select(F.lit(-1).cast("bigint").alias("id"), F.concat_ws(" ", F.col("n").cast("string"), F.col("m").cast("string")).alias("value"))
     header.unionByName(adjacency_lines(edges, vertices)).orderBy("id").select("value").write.text(path)

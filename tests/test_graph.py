@@ -56,14 +56,14 @@ def test_solver_against_brute_force():
         for k in (2, 3):
             found = {c: 1 for c in R.cliques(edges, k)}
             density, members = R.densest(found, R.ids_of(edges))
-            assert densest_set([list(g) for g in found], list(found.values())) == (members, density)
+            assert densest_set([list(g) for g in found], list(found.values())) == (members, density, True)
 
 
 def test_solver_with_multiplicities_and_a_floor():
-    members, density = densest_set([[1, 2], [2, 3], [4, 5]], [3, 1, 4])
-    assert (members, density) == ([4, 5], Fraction(2))
-    assert densest_set([[1, 2]], [1], Fraction(2)) == ([], Fraction(0))
-    assert densest_set([], []) == ([], Fraction(0))
+    assert densest_set([[1, 2], [2, 3], [4, 5]], [3, 1, 4]) == ([4, 5], Fraction(2), True)
+    assert densest_set([[1, 2], [2, 3], [4, 5]], [3, 1, 4], most_cuts=0) == ([1, 2, 3, 4, 5], Fraction(8, 5), False)
+    assert densest_set([[1, 2]], [1], Fraction(2)) == ([], Fraction(0), True)
+    assert densest_set([], []) == ([], Fraction(0), True)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
