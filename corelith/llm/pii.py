@@ -187,7 +187,9 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_entities, spans) for each row; text has surrogates, spans lists kind:start:end in the original."""
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
     found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    has = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
+    # All kinds but names hold a digit or an @, and most texts hold neither.
+    marked = F.col("text").rlike("[0-9@]")
+    has = F.coalesce(F.when(marked, F.col("text").rlike(ENTITY)).otherwise(F.col("text").rlike(PATTERNS["name"])), F.lit(False))
     without = rows.filter(~has).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("spans"))
     units = (
         rows.filter(has)
