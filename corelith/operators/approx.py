@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelith.functions import binomial
@@ -58,9 +58,11 @@ def max_core_top_down(edges: DataFrame, k: int, first: int = 64) -> DataFrame:
     by bound, so vertices of equal bounds come in together.
     """
     bounds = cut(core_estimates(edges, k))
+    down = Window.orderBy(F.col("bound").desc())
+    counted = cut(bounds.groupBy("bound").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(down)))  # a row for each bound
     n, size = bounds.count(), first
     while True:
-        floor = bounds.orderBy(F.col("bound").desc()).limit(size).agg(F.min("bound")).first()[0]
+        floor = counted.agg(F.coalesce(F.max(F.when(F.col("upto") >= size, F.col("bound"))), F.min("bound"))).first()[0]
         if floor is None:
             return bounds.select("id", F.col("bound").alias("core")).limit(0)
         inner = bounds.filter(F.col("bound") >= floor)

@@ -202,19 +202,27 @@ def star_count(edges: DataFrame, s: int) -> DataFrame:
 
 
 def _wedges(edges: DataFrame) -> DataFrame:
-    """(x, y, n): pairs x < y and their common neighbours, the middle being the smaller side to fan out from."""
-    adj = symmetric(edges)
-    two = adj.select("u", F.col("v").alias("x")).join(adj.select("u", F.col("v").alias("y")), "u").filter("x < y")
-    return two.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    """(x, u, y): paths x - u - y whose end x ranks above u and y by (degree, id).
+
+    A 4-cycle has one vertex of highest rank and is seen from there only. A middle vertex has few neighbours above it, so
+    hubs do not square their degree.
+    """
+    ranks = degrees(edges).select("id", F.struct(F.col("degree"), F.col("id").alias("own")).alias("rank"))
+    adj = symmetric(edges).join(ranks.select(F.col("id").alias("v"), F.col("rank").alias("rank_v")), "v")
+    own = ranks.select(F.col("id").alias("u"), F.col("rank").alias("rank_u"))
+    tops = adj.join(own, "u").filter(F.col("rank_v") > F.col("rank_u")).select("u", F.col("v").alias("x"), F.col("rank_v").alias("rank_x"))
+    ends = adj.select("u", F.col("v").alias("y"), F.col("rank_v").alias("rank_y"))
+    return tops.join(ends, "u").filter(F.col("rank_y") < F.col("rank_x")).select("x", "u", "y")
 
 
 def four_cycle_degrees(edges: DataFrame) -> DataFrame:
-    """(id, pattern_degree): the sum over w of C(common neighbours of v and w, 2)."""
-    pairs = _wedges(edges).select(F.explode(F.array("x", "y")).alias("id"), binomial(F.col("n"), 2).alias("c"))
-    return pairs.groupBy("id").agg(F.sum("c").alias("pattern_degree")).filter("pattern_degree > 0")
+    """(id, pattern_degree): with n paths between x and y, C(n, 2) cycles at x and y, n - 1 of them at each middle."""
+    paths = _wedges(edges)
+    between = paths.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ends = between.select(F.explode(F.array("x", "y")).alias("id"), binomial(F.col("n"), 2).alias("c"))
+    middles = paths.join(between, ["x", "y"]).select(F.col("u").alias("id"), (F.col("n") - 1).alias("c"))
+    return ends.unionByName(middles).groupBy("id").agg(F.sum("c").alias("pattern_degree"))
 
 
 def four_cycle_count(edges: DataFrame) -> DataFrame:
-    """Every 4-cycle is seen from both its diagonals."""
-    total = _wedges(edges).agg(F.coalesce(F.sum(binomial(F.col("n"), 2)), F.lit(0)).cast("bigint").alias("twice"))
-    return total.select(F.call_function("div", F.col("twice"), F.lit(2).cast("bigint")).alias("n_instances"))
+    return _wedges(edges).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).agg(*_total(binomial(F.col("n"), 2)))
