@@ -204,6 +204,16 @@ def test_wrapper_groups():
     assert html_extract.expression(html_extract.infer(trees)) == "<#root><ul>(<li>#slot</li>)+</ul>(<p>d</p>)?</#root>"
 
 
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "inner" + "</div>" * 5000
+    assert html_extract.extract_group([f"<body>{deep}<p>after</p></body>"]) == ["inner after"]
+    hidden = "<div>" * 200 + "<nav>menu<nav>more</nav></nav>text" + "</div>" * 200
+    assert "text" in html_extract.extract_group([hidden])[0]
+    wide = ["<article>" + "".join(f"<p class='c{(i * k) % 97}'>w{i}</p><h2>x{i}</h2>" for i in range(900)) + "</article>" for k in (1, 2, 3)]
+    got = html_extract.extract_group(wide)
+    assert got[0] == got[1] == " ".join(f"w{i} x{i}" for i in range(900))
+
+
 def test_page_cases(spark):
     made = [(1, None, None), (2, "", ""), (3, "http://h/x", "plain  text"), (4, "http://h/y", "<article>one"), (4, "http://h/y", "<article>one"), (None, "x", "<p>" + "w " * 50_000)]
     made += [(10 + i, f"http://hot/{i}", PAGE.format(i=i)) for i in range(450)]
