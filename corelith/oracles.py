@@ -64,6 +64,45 @@ comp as (select id, low as component from reach where it = 40)"""
 _TRI_EDGES = "te as (select v0 as src, v1 as dst from tri union select v0, v2 from tri union select v1, v2 from tri)"
 
 
+def _loads(rounds: int) -> str:
+    """l(it, id, load): in each round every instance of inc gives one unit to its least loaded member."""
+    return f"""l(it, id, load) as (
+  select 0, id, 0::bigint from inc group by id
+  union all
+  select it + 1, id, max(load) + count(*) filter (r = 1) from (
+    select l.it, i.id, l.load, row_number() over (partition by l.it, i.cid order by l.load, i.id) as r
+    from inc i join l on l.id = i.id where l.it < {rounds}) x
+  group by it, id)"""
+
+
+def _densest(rounds: int) -> str:
+    """The densest prefix of vertices by load, the longest of equals. With enough rounds it is the maximal densest set."""
+    return _loads(rounds) + f""",
+ranked as (select id, row_number() over (order by load desc, id) as place from l where it = {rounds}),
+ends as (select max(place) as place from inc join ranked using (id) group by cid),
+pre as (select r.place as s, count(e.place) as t from ranked r left join ends e on e.place <= r.place group by r.place),
+best as (select s, t from pre order by t / s desc, s desc limit 1)
+select id, t as numer, s as denom from ranked, best where place <= s"""
+
+
+#: trace: removing the vertex of smallest (residual degree, id) again and again.
+_TRACE = """start as (select 0 as it, cid::bigint as cid, id from inc union all select distinct 0, null::bigint, id from inc),
+s(it, cid, id) as (
+  select it, cid, id from start
+  union all
+  select it + 1, cid, id from (
+    select it, cid, id, v, max(id = v) over (partition by cid) as hit from (
+      select it, cid, id, first_value(id) over (order by d, id) as v from (select it, cid, id, count(cid) over (partition by id) as d from s) a) b) c
+  where id <> v and (cid is null or not hit)),
+deg as (select it, id, count(cid) as d from s group by it, id),
+low as (select it, arg_min(id, (d, id)) as id, min(d) as residual_degree, count(*) - 1 as remaining_vertices from deg group by it),
+held as (select it, count(distinct cid) as t from s group by it),
+trace as (
+  select l.it + 1 as step, l.id, residual_degree, max(residual_degree) over (order by l.it) as core, remaining_vertices,
+         coalesce(h.t, 0) as remaining_instances
+  from low l left join held h on h.it = l.it + 1)"""
+
+
 def _choose(n: str, k: int) -> str:
     out = "1"
     for i in range(k):
@@ -80,6 +119,12 @@ _WEDGE = "wedge as (select a.v as x, b.v as y, count(*) as n from adj a join adj
 _CYCLES = """cyc as (
   select a.u as x, a.v as p, c.v as y, b.v as q from adj a join adj b on a.u = b.u and a.v < b.v
   join adj c on c.u = a.v join adj d on d.u = b.v and d.v = c.v where c.v > a.u and a.v > a.u and b.v > a.u)"""
+_SIDE = "side as (select v0 as a, v1 as b, v2 as x from tri union all select v0, v2, v1 from tri union all select v1, v2, v0 from tri)"
+_INC_CYCLES = _CYCLES + ", num as (select row_number() over (order by x, p, y, q) as cid, * from cyc), inc as (select cid, unnest([x, p, y, q]) as id from num)"
+_INC_TWO = (
+    TRI + ", " + _SIDE + ", num as (select row_number() over (order by s.a, s.b, s.x, t.x) as cid, s.a, s.b, s.x as c, t.x as d"
+    " from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x), inc as (select cid, unnest([a, b, c, d]) as id from num)"
+)
 
 ORACLES: dict[str, str] = {
     "graph_click_edges": _with(CLICK) + "select src, dst from e",
@@ -131,9 +176,7 @@ ORACLES: dict[str, str] = {
     "pattern_tailed_triangle": _with(CLICK, ADJ, DEG, TRI) + _TAILED,
     "pattern_two_triangle": _with(CLICK, TRI, CO) + f"select coalesce(sum({_choose('codegree', 2)}), 0)::bigint as n_instances from co",
     "pattern_three_triangle": _with(CLICK, TRI, CO) + f"select coalesce(sum({_choose('codegree', 3)}), 0)::bigint as n_instances from co",
-    "pattern_two_triangle_degrees": _with(
-        CLICK, TRI, "side as (select v0 as a, v1 as b, v2 as x from tri union all select v0, v2, v1 from tri union all select v1, v2, v0 from tri)"
-    )
+    "pattern_two_triangle_degrees": _with(CLICK, TRI, _SIDE)
     + """select id, count(*) as pattern_degree from (
   select unnest([s.a, s.b, s.x, t.x]) as id from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by id""",
     "pattern_basket": _with(CLICK, TRI, CO, FOUR)
@@ -147,9 +190,7 @@ ORACLES: dict[str, str] = {
     "pattern_four_cycle_degrees": _with(CLICK, ADJ, _CYCLES) + "select id, count(*) as pattern_degree from (select unnest([x, p, y, q]) as id from cyc) group by id",
     "pattern_generic_tailed_triangle": _with(PART10, ADJ, DEG, TRI) + _TAILED,
     "pattern_generic_four_cycle": _with(PART10, ADJ, _WEDGE) + "select coalesce(sum(n * (n - 1) // 2), 0)::bigint // 2 as n_instances from wedge",
-    "pattern_generic_two_triangle_sets": _with(
-        PART10, TRI, "side as (select v0 as a, v1 as b, v2 as x from tri union all select v0, v2, v1 from tri union all select v1, v2, v0 from tri)"
-    )
+    "pattern_generic_two_triangle_sets": _with(PART10, TRI, _SIDE)
     + """select m[1] as v0, m[2] as v1, m[3] as v2, m[4] as v3, count(*) as mult from (
   select list_sort([s.a, s.b, s.x, t.x]) as m from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by m""",
     "triangle_core_numbers": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
@@ -192,4 +233,19 @@ ORACLES: dict[str, str] = {
     + f""", d as (select id, count(*) as d from inc group by id),
 s as (select component, count(*) as n, max(core) as k_max, sum(d::double * d) as squares, (sum(d) // 3)::bigint as t from comp join d using (id) join core using (id) group by component)
 select component, n as n_vertices, t as n_instances, k_max, {_BOUND_COLUMNS} from s""",
+    "pattern_four_cycle_core": _with(PART2X, ADJ, _INC_CYCLES, _cores(60), recursive=True) + "select id, core from core",
+    "pattern_four_cycle_peel": _with(PART2X, ADJ, _INC_CYCLES, _cores(60), _LEVELS, recursive=True) + _BEST,
+    "densest_edges": _with(PART2X, _instances(2), _densest(400), recursive=True),
+    "densest_triangles": _with(CLICK, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_unpruned": _with(PART10, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_part10": _with(PART10, _instances(3), _densest(150), recursive=True),
+    "densest_two_triangles": _with(PART2X, _INC_TWO, _densest(200), recursive=True),
+    "densest_four_cycles": _with(PART2X, ADJ, _INC_CYCLES, _densest(200), recursive=True),
+    "share_loads": _with(PART2X, _instances(2), _loads(8), recursive=True) + "select id, load from l where it = 8",
+    "peel_trace": _with(CLICK, _instances(3), _TRACE, recursive=True)
+    + "select step, id, residual_degree, core, remaining_vertices, remaining_instances from trace",
+    "peel_best_state": _with(CLICK, _instances(3), _TRACE, recursive=True)
+    + """select n_vertices, n_instances from (
+  select remaining_vertices as n_vertices, remaining_instances as n_instances from trace where remaining_vertices > 0
+  union all select count(distinct id), count(distinct cid) from inc) x order by n_instances / n_vertices desc, n_vertices desc limit 1""",
 }
