@@ -80,4 +80,36 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": EXACT_DEDUP, "op7_maxscore": MAXSCORE, "op9_line_dedup": LINE_DEDUP, "op10_mix_sources": MIX_SOURCES}
+NEAR_DEDUP = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), g as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle
+  from w
+), n as (
+  select doc_id, count(*) as n from g group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)
+), e as (
+  select a as u, b as v from l union all select b, a from l
+), r(it, id, low) as (
+  select 0, doc_id, doc_id from documents
+  union all
+  select it + 1, id, min(low) from (
+    select it, id, low from r where it < 30 union all select r.it, e.v, r.low from r join e on e.u = r.id where r.it < 30) x group by it, id
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.low as component_id, d.doc_id = r.low as kept
+from documents d left join n on n.doc_id = d.doc_id join r on r.id = d.doc_id and r.it = 30
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": EXACT_DEDUP,
+    "op4_near_dedup": NEAR_DEDUP,
+    "op7_maxscore": MAXSCORE,
+    "op9_line_dedup": LINE_DEDUP,
+    "op10_mix_sources": MIX_SOURCES,
+}
