@@ -121,6 +121,10 @@ _CYCLES = """cyc as (
   join adj c on c.u = a.v join adj d on d.u = b.v and d.v = c.v where c.v > a.u and a.v > a.u and b.v > a.u)"""
 _SIDE = "side as (select v0 as a, v1 as b, v2 as x from tri union all select v0, v2, v1 from tri union all select v1, v2, v0 from tri)"
 _INC_CYCLES = _CYCLES + ", num as (select row_number() over (order by x, p, y, q) as cid, * from cyc), inc as (select cid, unnest([x, p, y, q]) as id from num)"
+_INC_STAR = (
+    "num as (select row_number() over (order by a.u, a.v, b.v) as cid, a.u, a.v as x, b.v as y from adj a join adj b on a.u = b.u and a.v < b.v),"
+    " inc as (select cid, unnest([u, x, y]) as id from num)"
+)
 _INC_TWO = (
     TRI + ", " + _SIDE + ", num as (select row_number() over (order by s.a, s.b, s.x, t.x) as cid, s.a, s.b, s.x as c, t.x as d"
     " from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x), inc as (select cid, unnest([a, b, c, d]) as id from num)"
@@ -195,15 +199,8 @@ ORACLES: dict[str, str] = {
   select list_sort([s.a, s.b, s.x, t.x]) as m from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by m""",
     "triangle_core_numbers": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
     "triangle_core_batch": _with(PART10, _instances(3), _cores(60), recursive=True) + "select id, core from core",
-    "pattern_star2_core": _with(
-        PART2X,
-        ADJ,
-        "num as (select row_number() over (order by a.u, a.v, b.v) as cid, a.u, a.v as x, b.v as y from adj a join adj b on a.u = b.u and a.v < b.v),"
-        " inc as (select cid, unnest([u, x, y]) as id from num)",
-        _cores(60),
-        recursive=True,
-    )
-    + "select id, core from core",
+    "pattern_star2_core": _with(PART2X, ADJ, _INC_STAR, _cores(60), recursive=True) + "select id, core from core",
+    "pattern_star2_peel": _with(PART2X, ADJ, _INC_STAR, _cores(60), _LEVELS, recursive=True) + _BEST,
     "edge_level_table": _with(CLICK, _instances(2), _cores(80), _LEVELS, recursive=True) + "select level, n_vertices, n_instances from lev",
     "triangle_level_table": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True) + "select level, n_vertices, n_instances from lev",
     "peel_best_core_edges": _with(CLICK, _instances(2), _cores(80), _LEVELS, recursive=True) + _BEST,
