@@ -66,7 +66,7 @@ def test_solver_with_multiplicities_and_a_floor():
     assert densest_set([], []) == ([], Fraction(0), True)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_pruned_and_unpruned_agree(spark, seed):
     edges = random_edges(seed, 9, 0.5)
     for pattern in (2, 3):
