@@ -1,12 +1,13 @@
 """The registered graph queries. Each takes (spark, sf_dir) and works on graphs derived from the tables there.
 
 click: users of consecutive click events; part10: parts in the same order, for orders divisible by 10;
-part2x: parts together in at least two orders.
+parts: parts in the same order, for all orders; part2x: parts together in at least two orders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,23 @@ def part10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.bought_together_edges(spark, sf_dir, order_step=10)
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.bought_together_edges(spark, sf_dir)
+
+
 def part2x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.bought_together_edges(spark, sf_dir, least_orders=2)
 
 
-def on(source: Query, of: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: of(source(spark, sf_dir))
+@dataclass(frozen=True)
+class on:  # noqa: N801
+    """The query that applies ``of`` to the graph of ``source``."""
+
+    source: Query
+    of: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.of(self.source(spark, sf_dir))
 
 
 def as_columns(found: DataFrame, k: int) -> DataFrame:
@@ -274,3 +286,6 @@ QUERIES: dict[str, Query] = {
     "densest_triangles_max_core": on(click, densest_members(3, method="max_core")),
     "share_loads": on(part2x, lambda e: approx.share_loads(find_instances(e, 2))),
 }
+# Each query on part10 also runs on the whole order table.
+QUERIES["graph_parts_edges"] = parts
+QUERIES |= {f"{name.removesuffix('_part10')}_all_orders": on(parts, q.of) for name, q in QUERIES.items() if isinstance(q, on) and q.source is part10}
