@@ -2,7 +2,7 @@
 
 Three fixed patterns give the base spans. In a wider set of credential contexts (a keyword, a
 separator, a value) the value is taken apart by dynamic programming into the cheapest sequence of dictionary words,
-dates, repeats, keyboard or alphabet walks and brute-force characters; its cost is the sum of the parts' bits. A value that
+dates, repeats, keyboard or alphabet walks, blanks and brute-force characters; its cost is the sum of the parts' bits. A value that
 costs at least ``BITS`` to guess is a secret and adds a span of kind ``guess``.
 
 Defined cases: a null or empty text has no spans; offsets count code points and ends are exclusive; letters in
@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)[_\x20-]?key|credentials?|login)"""
-    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"'<>|,;]{6,}))""",
+    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'<>|,;]{6,}))""",
     re.I | re.A,
 )
 #: Every context holds one of these, lower-cased.
@@ -107,6 +107,8 @@ def guess_bits(value: str, extra: tuple[str, ...] = ()) -> tuple[float, list[tup
         grown, fresh = brute[i] + bits, best[i] + PART_BITS + bits
         brute[end], brute_from[end] = (grown, brute_from[i]) if grown < fresh else (fresh, i)
         options.append((brute[end], "brute", brute_from[end]))
+        if value[i].isspace():
+            options.append((best[i] + PART_BITS, "blank", i))
         for start in range(max(0, end - longest), end - 2):
             found = words.get(low[start:end])
             swapped = 0.0
@@ -155,7 +157,7 @@ def find_spans(text: str, bits: float = BITS, extra: tuple[str, ...] = ()) -> li
     if hinted:
         for m in CONTEXT.finditer(text):
             value, (start, end) = m[m.lastindex], m.span(m.lastindex)
-            if not any(c.isspace() for c in value) and guess_bits(value, extra)[0] >= bits:
+            if guess_bits(value, extra)[0] >= bits:
                 spans.append(("guess", start, end))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

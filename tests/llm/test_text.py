@@ -167,6 +167,16 @@ def test_guess_costs():
     assert bits <= sum(map(secrets._character_bits, value)) + secrets.PART_BITS
 
 
+def test_quoted_values_of_any_length_and_with_blanks_are_costed():
+    long = "xK9mQ2vL7Zp4" * 16 + "aB3dE5gH7"
+    for n in (200, 201):
+        assert secrets.find_spans(f'private_key: "{long[:n]}"') == [("guess", 14, 14 + n)]
+        assert secrets.find_spans(f"credentials = '{long[:n]}'") == [("guess", 15, 15 + n)]
+    assert secrets.find_spans('passphrase: "gravel mutiny obtuse kettle"') == [("guess", 13, 40)]
+    assert secrets.find_spans('passphrase: "the password for you"') == []
+    assert secrets.guess_bits("admin admin")[0] <= 2 * secrets.guess_bits("admin")[0] + secrets.PART_BITS
+
+
 def test_secret_scan_cases(spark):
     rows = [*cases.rows(), (600, "pwd: Zx!9#kQp%2wLm", None, None)]
     got = {r["doc_id"]: r for r in secrets.scan(cases.frame(spark, rows)).collect()}
