@@ -138,17 +138,19 @@ def solve_components(
     instances: DataFrame,
     components: DataFrame,
     start: tuple[int, int] = (0, 0),
-    most_instances: int = 2_000_000,
+    most_instances: int | None = 2_000_000,
     most_cuts: int | None = None,
 ) -> DataFrame:
     """Rows of ``SOLVED``: the members of each component's densest set that reaches the density ``start``.
 
-    A component of more instances is returned whole, with ``exact`` false: its density is a lower bound.
+    A component of more instances is returned whole, with ``exact`` false: its density is a lower bound. With
+    ``most_instances`` None every component is solved.
     """
     ship(instances.sparkSession)
     held = with_component(instances, components)
-    sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("t"))
-    sizes = cut(sizes.join(components.groupBy("component").agg(F.count(F.lit(1)).alias("s")), "component"))
+    if most_instances is not None:
+        sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("t"))
+        sizes = cut(sizes.join(components.groupBy("component").agg(F.count(F.lit(1)).alias("s")), "component"))
     floor = Fraction(*start) if start[1] else Fraction(0)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -159,8 +161,10 @@ def solve_components(
             {"component": group["component"].iloc[0], "id": pd.Series(chosen, dtype="int64"), "numer": int(held_now), "denom": len(chosen), "exact": certain}
         )
 
-    small = held.join(sizes.filter(F.col("rows") <= most_instances).select("component"), "component", "left_semi")
+    small = held if most_instances is None else held.join(sizes.filter(F.col("rows") <= most_instances).select("component"), "component", "left_semi")
     solved = small.select("component", "members", "mult").groupBy("component").applyInPandas(solve, SOLVED)
+    if most_instances is None:
+        return solved
     large = components.join(sizes.filter(F.col("rows") > most_instances), "component").select(
         "component", "id", F.col("t").alias("numer"), F.col("s").alias("denom"), F.lit(False).alias("exact")
     )

@@ -44,11 +44,12 @@ def find_instances(edges: DataFrame, pattern: int | str | Pattern) -> DataFrame:
     return identified(instances(edges, PATTERNS[pattern] if isinstance(pattern, str) else pattern))
 
 
-def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", prune: bool = True, most_instances: int = 2_000_000, most_cuts: int | None = None) -> Densest:
+def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", prune: bool = True, most_instances: int | None = 2_000_000, most_cuts: int | None = None) -> Densest:
     """The maximal set of vertices with the most pattern instances for each vertex.
 
     ``method``: "exact"; "peel" for the densest core; "max_core" for the core of highest number. Both approximations reach at
-    least 1 / k of the best density. ``most_cuts`` ends the exact search of a component early. ``prune`` false skips cores and thresholds and searches all components. A graph
+    least 1 / k of the best density. ``most_cuts`` ends the exact search of a component early. A component of more than
+    ``most_instances`` instances is not solved; the result is then at least as dense as the densest core. None sets no limit. ``prune`` false skips cores and thresholds and searches all components. A graph
     without instances has density 0 and no members.
     """
     spark = edges.sparkSession
@@ -82,6 +83,10 @@ def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method:
     winners = solved.filter(F.col("numer") * denom == F.col("denom") * numer)
     sums = winners.select("component", "numer", "denom", "exact").distinct().agg(F.sum("numer"), F.sum("denom")).first()
     exact = solved.filter("not exact").isEmpty()
+    if not exact and most_cuts is None:
+        peeled = densest_subgraph(edges, pattern, "peel")
+        if peeled.numer * int(sums[1]) > peeled.denom * int(sums[0]):
+            return peeled
     return Densest(winners.select("id"), int(sums[0]), int(sums[1]), exact)
 
 

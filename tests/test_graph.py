@@ -6,6 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from corelith import queries
 from corelith.functions import binomial
 from corelith.operators import approx, cliques, components, cores, graph, patterns, peel, prune
 from corelith.operators.exact import densest_set
@@ -224,3 +225,17 @@ def test_canonical_edges_and_isolated_vertices(spark):
 def test_binomials_stay_exact(spark):
     df = spark.createDataFrame([(0,), (1,), (4,), (2_000_000,)], "n bigint")
     assert [r[0] for r in df.select(binomial(F.col("n"), 3)).collect()] == [0, 0, 4, 2_000_000 * 1_999_999 * 1_999_998 // 6]
+
+
+def test_beyond_the_solver_limit(spark, monkeypatch):
+    """A 5-clique with a chain of triangles: the whole component is less dense than its core."""
+    chain = [e for a in range(4, 12) for e in ((a, a + 1), (a, a + 2))]
+    edges = frame(spark, [(a, b) for a in range(5) for b in range(a + 1, 5)] + chain)
+    best = densest_subgraph(edges, 3, prune=False, most_instances=2)
+    assert (best.exact, best.numer, best.denom) == (False, 10, 5)
+    assert sorted(r[0] for r in best.members.collect()) == [0, 1, 2, 3, 4]
+    assert densest_subgraph(edges, 3, prune=False, most_instances=None).exact
+    asked = []
+    monkeypatch.setattr(queries, "densest_subgraph", lambda *a, **k: asked.append(k) or best)
+    queries.densest_members(3)(edges)
+    assert asked == [{"most_instances": None}]
