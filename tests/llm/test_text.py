@@ -209,6 +209,13 @@ def test_wrapper_without_article_drops_template_text():
     assert "#slot" in html_extract.expression(wrapper)
 
 
+def test_texts_of_one_page_are_no_template():
+    extra = ["<blockquote>one quote</blockquote>", "<h3>two head</h3>", "<pre>three pre</pre>", "<p>see <b>four</b></p>", ""]
+    pages = [f"<body><p>Welcome</p><div class=x><p>{'story ' * 30}{i}</p>{e}</div></body>" for i, e in enumerate(extra)]
+    said = ["one quote", "two head", "three pre", "see four", ""]
+    assert html_extract.extract_group(pages) == [f"{'story ' * 30}{i} {t}".strip() for i, t in enumerate(said)]
+
+
 def test_wrapper_groups():
     trees = [html_extract.parse(x) for x in ("<ul><li>a<li>b</ul>", "<ul><li>c</ul><p>d</p>")]
     assert html_extract.expression(html_extract.infer(trees)) == "<#root><ul>(<li>#slot</li>)+</ul>(<p>d</p>)?</#root>"
