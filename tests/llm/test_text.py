@@ -216,6 +216,20 @@ def test_texts_of_one_page_are_no_template():
     assert html_extract.extract_group(pages) == [f"{'story ' * 30}{i} {t}".strip() for i, t in enumerate(said)]
 
 
+def test_siblings_of_the_longest_part_stay():
+    body = "<body><p>Welcome</p><div class=content><h1>Title {i}</h1><p class=lead>lead {i}</p><div class=body><p>{long}{i}</p></div></div></body>"
+    long = "story " * 100
+    got = html_extract.extract_group([body.format(i=i, long=long) for i in range(4)])
+    assert got == [f"Title {i} lead {i} {long}{i}" for i in range(4)]
+
+
+@pytest.mark.parametrize("tag", ["article", "article class=b", "main", "div role=main"])
+def test_several_articles_are_joined(tag):
+    end = tag.split()[0]
+    pages = [f"<body><nav>menu</nav><{tag}><p>first {i}</p></{end}><section><{tag}><p>the second part {i}</p></{end}></section></body>" for i in range(4)]
+    assert html_extract.extract_group(pages) == [f"first {i} the second part {i}" for i in range(4)]
+
+
 def test_wrapper_groups():
     trees = [html_extract.parse(x) for x in ("<ul><li>a<li>b</ul>", "<ul><li>c</ul><p>d</p>")]
     assert html_extract.expression(html_extract.infer(trees)) == "<#root><ul>(<li>#slot</li>)+</ul>(<p>d</p>)?</#root>"
