@@ -7,8 +7,8 @@ and each (shard, block) pair is searched by itself; the k best of the shards are
 Within a shard, a query's terms are ordered by the most they can add to a score. Those at the low end whose
 bounds together stay below the threshold are non-essential: a document in no other list cannot be among the
 k best. The lists of essential terms are traversed; documents stay as long as their sum and the bounds of
-the terms still open reach the threshold, and non-essential terms are probed for these only. The threshold starts at the
-query's k-th best score in a sample of fixed size and rises with every document scored.
+the terms still open reach the threshold, and non-essential terms are probed for these only. The threshold is the
+query's k-th best score in a sample of fixed size and stays; where that is 0 or less, every document is scored.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part, nor does one with a
 null vec_id; absent components of shorter vectors count as 0; rows with a query's own vec_id are no candidates
