@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corelith.operators.spread import share, spread_join
 from corelith.plans.session import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     """Join every larger neighbour of a vertex to the smallest vertex around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("members")).select("u", F.least("u", "low").alias("m"), "members")
+    least = cut(least)
+    moved = spread_join(both.filter(F.col("v") > F.col("u")), least, "u", "v", limit)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     """Join every smaller neighbour of a vertex, and the vertex, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("members")))
+    moved = spread_join(edges, least, "u", "v", limit).filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,5 +44,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             low = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(low)
         seen = state
-        now = cut(_small_star(_large_star(now)))
+        limit = share(2 * state[0], edges.sparkSession)
+        now = cut(_small_star(cut(_large_star(now, limit)), limit))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -33,10 +33,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
 
-    The files survive a lost executor, unlike cached blocks or a local checkpoint.
+    The files survive a lost executor, unlike cached blocks or a local checkpoint. A checkpointed frame keeps the
+    size that was estimated for its plan, and joins multiply such sizes; in a loop the estimates soon have
+    thousands of digits and planning stalls. So the written rows go into a frame of no estimate; adaptive
+    execution goes by the sizes that it measures.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
