@@ -13,14 +13,13 @@ def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     """Join every larger neighbour of a vertex to the smallest vertex around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("members")).select("u", F.least("u", "low").alias("m"), "members")
-    least = cut(least)
     moved = spread_join(both.filter(F.col("v") > F.col("u")), least, "u", "v", limit)
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     """Join every smaller neighbour of a vertex, and the vertex, to the smallest of them."""
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("members")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("members"))
     moved = spread_join(edges, least, "u", "v", limit).filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

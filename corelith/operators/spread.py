@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelith.plans.session import partitions
@@ -16,18 +18,26 @@ def share(rows: int, spark) -> int:
     return max(LEAST_SHARE, rows // (4 * partitions(spark)))
 
 
+def _doubled(size: Column, limit: int) -> Column:
+    """In how many slices, a power of two, keys of this size are cut so that a slice holds up to ``limit`` rows."""
+    return F.when(size <= limit, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(size / limit)))).cast("int")
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, limit: int, size: str = "members", how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts`` (one row a key) on ``key``, keys of over ``limit`` rows in slices by a hash of ``by``.
 
-    ``facts`` says in ``size`` how many of ``rows`` a key has; both should be written out already, as they are
-    read more than once. What is broadcast is the list of such keys alone, of which there are at most the number of
-    rows over ``limit``. ``size`` stays in the result. Rows with a null key are not joined.
+    ``facts`` says in ``size`` how many of ``rows`` a key has; both are best written out already, as ``facts`` is read
+    twice. The keys over ``limit`` reach the driver: there are at most the number of rows over ``limit`` of them. ``size``
+    stays in the result.
     """
-    slices = F.col(size).cast("bigint")
-    hot = facts.filter(slices > limit).select(key, (slices / limit).cast("int").alias("__slices"))
-    mine = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "__slice", F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("slice"), by), F.col("__slices") + 1).cast("int"))
-    )
-    copies = F.when(slices > limit, (slices / limit).cast("int")).otherwise(0)
-    theirs = facts.withColumn("__slice", F.explode(F.sequence(F.lit(0), copies)))
-    return mine.drop("__slices").join(theirs, [key, "__slice"], how).drop("__slice")
+    hot: dict[int, list] = defaultdict(list)
+    for row in facts.filter(F.col(size) > limit).select(key, _doubled(F.col(size), limit).alias("slices")).collect():
+        hot[row["slices"]].append(row[key])
+    if not hot:
+        return rows.join(facts, key, how)
+    slices = F.lit(1)
+    for number, keys in sorted(hot.items()):
+        slices = F.when(F.col(key).isin(keys), number).otherwise(slices)
+    mine = rows.withColumn("__slice", F.pmod(F.xxhash64(F.lit("slice"), by), slices).cast("int"))
+    theirs = facts.withColumn("__slice", F.explode(F.sequence(F.lit(0), _doubled(F.col(size), limit) - 1)))
+    return mine.join(theirs, [key, "__slice"], how).drop("__slice")

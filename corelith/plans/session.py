@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to a Python worker at a time.
 BATCH_ROWS = 1000
+#: Written rows of this size, in bytes, are worth a task.
+PARTITION_BYTES = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -41,16 +43,35 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     written = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(_gathered(spark, written), written.schema(), False), spark)
+
+
+def _gathered(spark: SparkSession, written):
+    """The rows of a checkpoint in no more partitions than cores or ``PARTITION_BYTES`` ask for, without a shuffle.
+
+    Every later shuffle writes files for each of its input's partitions, so very small ones cost more than they hold.
+    """
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    rows, held = written.queryExecution().toRdd(), written.queryExecution().logical().rdd()
+    path = jvm.org.apache.hadoop.fs.Path(held.getCheckpointFile().get())
+    size = path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    enough = max(context.defaultParallelism, size // PARTITION_BYTES)
+    if enough >= held.getNumPartitions():
+        return rows
+    return rows.coalesce(enough, False, jvm.scala.Option.empty(), None)
+
+
+def shared_path(spark: SparkSession, suffix: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.{suffix}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and return the written table."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}.parquet"
+    path = shared_path(df.sparkSession, "parquet")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
