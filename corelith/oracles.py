@@ -6,9 +6,7 @@ CLICK = """e as (
   select distinct least(user_id, nx) as src, greatest(user_id, nx) as dst
   from (select user_id, lead(user_id) over (order by event_id) as nx from events where event_type = 'click') t
   where nx is not null and nx <> user_id)"""
-PART10 = """e as (
-  select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
-  where a.l_partkey < b.l_partkey and a.l_orderkey % 10 = 0)"""
+FOLLOW = CLICK.replace(" where event_type = 'click'", "")
 PARTS = """e as (
   select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
   where a.l_partkey < b.l_partkey)"""
@@ -135,17 +133,24 @@ _INC_TWO = (
 
 ORACLES: dict[str, str] = {
     "graph_click_edges": _with(CLICK) + "select src, dst from e",
-    "graph_part10_edges": _with(PART10) + "select src, dst from e",
+    "graph_follow_edges": _with(FOLLOW) + "select src, dst from e",
+    "graph_parts_edges": _with(PARTS) + "select src, dst from e",
     "graph_part2x_edges": _with(PART2X) + "select src, dst from e",
-    "source_vertex_ids": _with(PART10, ADJ, VERT) + "select id from vert",
+    "source_vertex_ids": _with(PARTS, ADJ, VERT) + "select id from vert",
     "source_dense_ids": _with(PART2X, ADJ, VERT) + "select id, row_number() over (order by id) - 1 as dense_id from vert",
     "source_dense_edges": _with(PART2X, ADJ, VERT, "d as (select id, row_number() over (order by id) - 1 as n from vert)")
     + "select a.n as src, b.n as dst from e join d a on a.id = src join d b on b.id = dst",
     "source_adjacency_lines": _with(CLICK, ADJ) + "select u as id, u || ' ' || string_agg(v::varchar, ' ' order by v) as value from adj group by u",
-    "graph_counts": _with(PART10, ADJ, DEG)
+    "file_adjacency_edges": _with(CLICK) + "select src, dst from e",
+    "file_adjacency_vertices": _with(CLICK) + "select unnest(range((select max(dst) + 1 from e))) as id",
+    "file_edge_list": _with(PART2X) + "select src, dst from e",
+    "file_matrix_edges": "select a.n_nationkey::bigint as src, b.n_nationkey::bigint as dst from nation a join nation b"
+    " on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
+    "file_pattern_count": _with(CLICK, ADJ, _CYCLES) + "select count(*) as n_instances from cyc",
+    "graph_counts": _with(PARTS, ADJ, DEG)
     + "select count(*) as n_vertices, (sum(degree) // 2)::bigint as n_edges, max(degree) as max_degree from deg",
-    "degrees": _with(PART10, ADJ, DEG) + "select id, degree from deg",
-    "codegrees": _with(PART10, TRI, CO) + "select src, dst, codegree from co",
+    "degrees": _with(PARTS, ADJ, DEG) + "select id, degree from deg",
+    "codegrees": _with(PARTS, TRI, CO) + "select src, dst, codegree from co",
     "binomials": _with(CLICK, ADJ, DEG)
     + "select id, degree * (degree - 1) // 2 as pairs, degree * (degree - 1) * (degree - 2) // 6 as triples from deg",
     "oriented_edges": _with(CLICK, ADJ, DEG)
@@ -155,29 +160,31 @@ ORACLES: dict[str, str] = {
     + "select src, dst from e where src in (select id from top) and dst in (select id from top)",
     "ego_edges": _with(CLICK, ADJ, VERT, "ego as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
     + "select src, dst from e where src in (select id from ego) and dst in (select id from ego)",
-    "two_step_ball": _with(PART10, ADJ, VERT, "one as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
+    "two_step_ball": _with(PARTS, ADJ, VERT, "one as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
     + "select id from one union select v from adj where u in (select id from one)",
     "set_neighbourhood": _with(CLICK, ADJ, VERT) + "select id from vert where id % 10 = 0 union select v from adj where u % 10 = 0",
     "pattern_ball": _with(PART2X, ADJ, VERT, "one as (select min(id) as id from vert union select v from adj where u = (select min(id) from vert))")
     + "select id from one union select v from adj where u in (select id from one)",
     "core_numbers": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id, core from core",
+    "core_order": _with(CLICK, _instances(2), _cores(80), recursive=True)
+    + "select id, core, row_number() over (order by core desc, id) - 1 as place from core",
     "core_histogram": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select (core // 5)::bigint as bucket, count(*) as n_vertices from core group by 1",
     "fixed_core_16": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id from core where core >= 16",
     "edge_levels": _with(CLICK, _instances(2), _cores(80), recursive=True)
     + "select src, dst, least(a.core, b.core) as level from e join core a on a.id = src join core b on b.id = dst",
-    "triangles": _with(PART10, TRI) + "select v0, v1, v2 from tri",
+    "triangles": _with(PARTS, TRI) + "select v0, v1, v2 from tri",
     "four_cliques": _with(CLICK, TRI, FOUR) + "select v0, v1, v2, v3 from four",
-    "five_clique_count": _with(PART10, TRI, FOUR)
+    "five_clique_count": _with(CLICK, TRI, FOUR)
     + """select count(*) as n_cliques from four f join e a on a.src = f.v0 join e b on b.src = f.v1 and b.dst = a.dst
   join e c on c.src = f.v2 and c.dst = a.dst join e d on d.src = f.v3 and d.dst = a.dst""",
-    "triangle_count": _with(PART10, TRI) + "select count(*) as n_cliques from tri",
+    "triangle_count": _with(PARTS, TRI) + "select count(*) as n_cliques from tri",
     "four_clique_count": _with(CLICK, TRI, FOUR) + "select count(*) as n_cliques from four",
-    "triangle_degrees": _with(PART10, TRI) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2]) as id from tri) group by id",
+    "triangle_degrees": _with(PARTS, TRI) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2]) as id from tri) group by id",
     "four_clique_degrees": _with(CLICK, TRI, FOUR) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2, v3]) as id from four) group by id",
     "triangles_touching": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 10 = 0 or v1 % 10 = 0 or v2 % 10 = 0",
     "triangles_inside": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 2 = 0 and v1 % 2 = 0 and v2 % 2 = 0",
     "triangles_containing": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 = (select min(src) from e)",
-    "covered_edges": _with(PART10, TRI, _TRI_EDGES) + "select src, dst from te",
+    "covered_edges": _with(PARTS, TRI, _TRI_EDGES) + "select src, dst from te",
     "triangle_degree_drop": _with(CLICK, TRI)
     + "select id, count(*) as pattern_degree from (select unnest([v0, v1, v2]) as id from tri where v0 = (select min(src) from e)) group by id",
     "pattern_tailed_triangle": _with(CLICK, ADJ, DEG, TRI) + _TAILED,
@@ -189,19 +196,19 @@ ORACLES: dict[str, str] = {
     "pattern_basket": _with(CLICK, TRI, CO, FOUR)
     + """select coalesce(sum(codegree - 2), 0)::bigint as n_instances from (
   select unnest([[v0, v1], [v0, v2], [v0, v3], [v1, v2], [v1, v3], [v2, v3]]) as p from four) f join co on co.src = p[1] and co.dst = p[2]""",
-    "pattern_star3_degrees": _with(PART10, ADJ, DEG)
+    "pattern_star3_degrees": _with(PARTS, ADJ, DEG)
     + f"""select id, sum(n)::bigint as pattern_degree from (select id, {_STAR3} as n from deg
   union all select v, (degree - 1) * (degree - 2) // 2 from adj join deg on deg.id = u) group by id""",
-    "pattern_star3": _with(PART10, ADJ, DEG) + f"select sum({_STAR3})::bigint as n_instances from deg",
+    "pattern_star3": _with(PARTS, ADJ, DEG) + f"select sum({_STAR3})::bigint as n_instances from deg",
     "pattern_four_cycle": _with(CLICK, ADJ, _CYCLES) + "select count(*) as n_instances from cyc",
     "pattern_four_cycle_degrees": _with(CLICK, ADJ, _CYCLES) + "select id, count(*) as pattern_degree from (select unnest([x, p, y, q]) as id from cyc) group by id",
-    "pattern_generic_tailed_triangle": _with(PART10, ADJ, DEG, TRI) + _TAILED,
-    "pattern_generic_four_cycle": _with(PART10, ADJ, _WEDGE) + "select coalesce(sum(n * (n - 1) // 2), 0)::bigint // 2 as n_instances from wedge",
-    "pattern_generic_two_triangle_sets": _with(PART10, TRI, _SIDE)
+    "pattern_generic_tailed_triangle": _with(PART2X, ADJ, DEG, TRI) + _TAILED,
+    "pattern_generic_four_cycle": _with(PART2X, ADJ, _WEDGE) + "select coalesce(sum(n * (n - 1) // 2), 0)::bigint // 2 as n_instances from wedge",
+    "pattern_generic_two_triangle_sets": _with(PART2X, TRI, _SIDE)
     + """select m[1] as v0, m[2] as v1, m[3] as v2, m[4] as v3, count(*) as mult from (
   select list_sort([s.a, s.b, s.x, t.x]) as m from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by m""",
     "triangle_core_numbers": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
-    "triangle_core_batch": _with(PART10, _instances(3), _cores(60), recursive=True) + "select id, core from core",
+    "triangle_core_batch": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
     "pattern_star2_core": _with(PART2X, ADJ, _INC_STAR, _cores(60), recursive=True) + "select id, core from core",
     "pattern_star2_peel": _with(PART2X, ADJ, _INC_STAR, _cores(60), _LEVELS, recursive=True) + _BEST,
     "edge_level_table": _with(CLICK, _instances(2), _cores(80), _LEVELS, recursive=True) + "select level, n_vertices, n_instances from lev",
@@ -237,8 +244,8 @@ select component, n as n_vertices, t as n_instances, k_max, {_BOUND_COLUMNS} fro
     "pattern_four_cycle_peel": _with(PART2X, ADJ, _INC_CYCLES, _cores(60), _LEVELS, recursive=True) + _BEST,
     "densest_edges": _with(PART2X, _instances(2), _densest(400), recursive=True),
     "densest_triangles": _with(CLICK, _instances(3), _densest(150), recursive=True),
-    "densest_triangles_unpruned": _with(PART10, _instances(3), _densest(150), recursive=True),
-    "densest_triangles_part10": _with(PART10, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_unpruned": _with(PART2X, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_part2x": _with(PART2X, _instances(3), _densest(150), recursive=True),
     "densest_two_triangles": _with(PART2X, _INC_TWO, _densest(200), recursive=True),
     "densest_four_cycles": _with(PART2X, ADJ, _INC_CYCLES, _densest(200), recursive=True),
     "share_loads": _with(PART2X, _instances(2), _loads(8), recursive=True) + "select id, load from l where it = 8",
@@ -249,10 +256,3 @@ select component, n as n_vertices, t as n_instances, k_max, {_BOUND_COLUMNS} fro
   select remaining_vertices as n_vertices, remaining_instances as n_instances from trace where remaining_vertices > 0
   union all select count(distinct id), count(distinct cid) from inc) x order by n_instances / n_vertices desc, n_vertices desc limit 1""",
 }
-#: Queries on part10 whose SQL is fast enough for all orders, too; the rest are tested against brute force.
-ALL_ORDERS = (
-    "source_vertex_ids graph_counts degrees codegrees two_step_ball triangles triangle_count triangle_degrees"
-    " covered_edges pattern_star3_degrees pattern_star3 pattern_generic_tailed_triangle pattern_generic_four_cycle"
-).split()
-ORACLES["graph_parts_edges"] = _with(PARTS) + "select src, dst from e"
-ORACLES |= {f"{name}_all_orders": ORACLES[name].replace(PART10, PARTS) for name in ALL_ORDERS}

@@ -1,7 +1,7 @@
 """The registered graph queries. Each takes (spark, sf_dir) and works on graphs derived from the tables there.
 
-click: users of consecutive click events; part10: parts in the same order, for orders divisible by 10;
-parts: parts in the same order, for all orders; part2x: parts together in at least two orders.
+click: users of consecutive click events; follow: users of consecutive events of any type; parts: parts in the same
+order; part2x: parts together in at least two orders. All read their whole tables.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corelith.functions import binomial
 from corelith.operators import approx, bounds, cliques, components, cores, graph, patterns, peel, prune
-from corelith.plans.densest import densest_subgraph, find_instances
-from corelith.plans.session import cut, ship
+from corelith.plans.densest import densest_subgraph, find_instances, report
+from corelith.plans.session import cut, partitions, shared_path, ship
 from corelith.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,8 @@ def click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.next_user_edges(spark, sf_dir, "click")
 
 
-def part10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.bought_together_edges(spark, sf_dir, order_step=10)
+def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.next_user_edges(spark, sf_dir, None)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,54 @@ def adjacency_text(edges: DataFrame) -> DataFrame:
     return text.adjacency_lines(edges, graph.vertices_of(edges))
 
 
+def adjacency_file(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices read back from an adjacency-list file in the shared folder."""
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession, "adjacency")
+    edges = cut(edges)
+    text.write_adjacency(edges, graph.vertices_of(edges), path)
+    return text.read_adjacency(spark, path)
+
+
+def edge_list_file(edges: DataFrame) -> DataFrame:
+    """Edges read back from a file that holds every edge in both directions below a comment."""
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession, "edges")
+    lines = graph.symmetric(edges).select(F.concat_ws("\t", F.col("u").cast("string"), F.col("v").cast("string")).alias("value"))
+    spark.createDataFrame([("# both directions",)], "value string").unionByName(lines).write.text(path)
+    return text.read_edge_list(spark, path)[0]
+
+
+def nation_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of one region as neighbours, read back from the file of their adjacency matrix."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("region"))
+    by_id = F.sort_array(F.collect_list(F.struct("id", "region")))
+    listed = nation.agg(by_id.alias("all"))  # 25 nations
+    bit = lambda x: lambda y: F.when((x["region"] == y["region"]) & (x["id"] != y["id"]), "1").otherwise("0")
+    rows = F.transform("all", lambda x: F.array_join(F.transform("all", bit(x)), " "))
+    path = shared_path(spark, "matrix")
+    listed.select(F.array_join(rows, "\n").alias("value")).coalesce(1).write.text(path)
+    return text.read_matrix(spark, path)[0]
+
+
+def file_pattern_count(edges: DataFrame) -> DataFrame:
+    """Instances of the pattern that a pattern file describes: a cycle of four."""
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession, "pattern")
+    spark.createDataFrame([("4 8 1\n0 1\n1 2\n2 3\n3 0",)], "value string").coalesce(1).write.text(path)
+    lines = spark.read.text(path, wholetext=True).first()[0]
+    found = patterns.instances(edges, text.read_pattern(lines))
+    return found.agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
+
+
+def placed_by_core(edges: DataFrame) -> DataFrame:
+    """(id, core, place): vertices from high to low core, numbered from 0."""
+    numbers = cores.core_numbers(edges).withColumn("low", -F.col("core"))
+    sorted_parts = numbers.repartitionByRange(partitions(edges.sparkSession), "low", "id").sortWithinPartitions("low", "id")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    pairs = cut(sorted_parts.select("id", "core", F.spark_partition_id().alias("part"), at.alias("at")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return pairs.join(starts, "part").select("id", "core", (F.col("start") + F.col("at")).alias("place"))
+
+
 def smallest_vertex(edges: DataFrame) -> DataFrame:
     return graph.vertices_of(edges).agg(F.min("id").alias("id"))
 
@@ -206,39 +254,46 @@ def binomials(edges: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # sources
     "graph_click_edges": click,
-    "graph_part10_edges": part10,
+    "graph_follow_edges": follow,
+    "graph_parts_edges": parts,
     "graph_part2x_edges": part2x,
-    "source_vertex_ids": on(part10, graph.vertices_of),
+    "source_vertex_ids": on(parts, graph.vertices_of),
     "source_dense_ids": on(part2x, lambda e: graph.dense_ids(graph.vertices_of(e))),
     "source_dense_edges": on(part2x, dense_edges),
     "source_adjacency_lines": on(click, adjacency_text),
+    "file_adjacency_edges": on(click, lambda e: adjacency_file(e)[0]),
+    "file_adjacency_vertices": on(click, lambda e: adjacency_file(e)[1]),
+    "file_edge_list": on(part2x, edge_list_file),
+    "file_matrix_edges": nation_matrix_file,
+    "file_pattern_count": on(click, file_pattern_count),
     # preparation
-    "graph_counts": on(part10, graph.graph_counts),
-    "degrees": on(part10, graph.degrees),
-    "codegrees": on(part10, patterns.codegrees),
+    "graph_counts": on(parts, graph.graph_counts),
+    "degrees": on(parts, graph.degrees),
+    "codegrees": on(parts, patterns.codegrees),
     "binomials": on(click, binomials),
     "oriented_edges": on(click, graph.orient),
     "induced_edges": on(click, top_degree_induced),
     "ego_edges": on(click, ego_edges),
-    "two_step_ball": on(part10, two_step_ball),
+    "two_step_ball": on(parts, two_step_ball),
     "set_neighbourhood": on(click, set_neighbourhood),
     "pattern_ball": on(part2x, pattern_ball),
     "core_numbers": on(click, cores.core_numbers),
+    "core_order": on(click, placed_by_core),
     "core_histogram": on(click, lambda e: cores.core_histogram(cores.core_numbers(e))),
     "fixed_core_16": on(click, lambda e: cores.fixed_core(cliques.incidence(cliques.identified(cliques.list_cliques(e, 2))), 16)),
     "edge_levels": on(click, lambda e: cliques.edge_levels(e, cores.core_numbers(e))),
     # cliques
-    "triangles": on(part10, lambda e: as_columns(cliques.list_cliques(e, 3), 3)),
+    "triangles": on(parts, lambda e: as_columns(cliques.list_cliques(e, 3), 3)),
     "four_cliques": on(click, lambda e: as_columns(cliques.list_cliques(e, 4), 4)),
-    "five_clique_count": on(part10, lambda e: cliques.count_cliques(e, 5)),
-    "triangle_count": on(part10, lambda e: cliques.count_cliques(e, 3)),
+    "five_clique_count": on(click, lambda e: cliques.count_cliques(e, 5)),
+    "triangle_count": on(parts, lambda e: cliques.count_cliques(e, 3)),
     "four_clique_count": on(click, lambda e: cliques.count_cliques(e, 4)),
-    "triangle_degrees": on(part10, lambda e: cliques.clique_degrees(e, 3)),
+    "triangle_degrees": on(parts, lambda e: cliques.clique_degrees(e, 3)),
     "four_clique_degrees": on(click, lambda e: cliques.clique_degrees(e, 4)),
     "triangles_touching": on(click, touching_low),
     "triangles_inside": on(click, inside_even),
     "triangles_containing": on(click, containing_smallest),
-    "covered_edges": on(part10, lambda e: prune.covered_edges(e, cliques.list_cliques(e, 3))),
+    "covered_edges": on(parts, lambda e: prune.covered_edges(e, cliques.list_cliques(e, 3))),
     "triangle_degree_drop": on(click, degree_drop),
     # patterns
     "pattern_tailed_triangle": on(click, patterns.tailed_triangle_count),
@@ -246,20 +301,20 @@ QUERIES: dict[str, Query] = {
     "pattern_three_triangle": on(click, lambda e: patterns.common_edge_triangles_count(e, 3)),
     "pattern_two_triangle_degrees": on(click, lambda e: patterns.common_edge_triangles_degrees(e, 2)),
     "pattern_basket": on(click, patterns.basket_count),
-    "pattern_star3_degrees": on(part10, lambda e: patterns.star_degrees(e, 3)),
-    "pattern_star3": on(part10, lambda e: patterns.star_count(e, 3)),
+    "pattern_star3_degrees": on(parts, lambda e: patterns.star_degrees(e, 3)),
+    "pattern_star3": on(parts, lambda e: patterns.star_count(e, 3)),
     "pattern_four_cycle": on(click, patterns.four_cycle_count),
     "pattern_four_cycle_degrees": on(click, patterns.four_cycle_degrees),
-    "pattern_generic_tailed_triangle": on(part10, pattern_count("tailed-triangle")),
-    "pattern_generic_four_cycle": on(part10, pattern_count("4-cycle")),
-    "pattern_generic_two_triangle_sets": on(part10, lambda e: as_columns(patterns.instances(e, patterns.PATTERNS["2-triangle"]), 4)),
+    "pattern_generic_tailed_triangle": on(part2x, pattern_count("tailed-triangle")),
+    "pattern_generic_four_cycle": on(part2x, pattern_count("4-cycle")),
+    "pattern_generic_two_triangle_sets": on(part2x, lambda e: as_columns(patterns.instances(e, patterns.PATTERNS["2-triangle"]), 4)),
     "pattern_four_cycle_core": on(part2x, pattern_core("4-cycle")),
     "pattern_star2_core": on(part2x, pattern_core("2-star")),
     "pattern_four_cycle_peel": on(part2x, pattern_peel("4-cycle")),
     "pattern_star2_peel": on(part2x, pattern_peel("2-star")),
     # cores and peeling
     "triangle_core_numbers": on(click, lambda e: clique_cores(e, 3)),
-    "triangle_core_batch": on(part10, batch_cores),
+    "triangle_core_batch": on(click, batch_cores),
     "edge_level_table": on(click, lambda e: levels(e, 2)),
     "triangle_level_table": on(click, lambda e: levels(e, 3)),
     "peel_best_core_edges": on(click, lambda e: best_core(e, 2)),
@@ -278,15 +333,13 @@ QUERIES: dict[str, Query] = {
     # the query
     "densest_edges": on(part2x, densest_members(2)),
     "densest_triangles": on(click, densest_members(3)),
-    "densest_triangles_unpruned": on(part10, densest_members(3, prune=False)),
-    "densest_triangles_part10": on(part10, densest_members(3)),
+    "densest_triangles_unpruned": on(part2x, densest_members(3, prune=False)),
+    "densest_triangles_part2x": on(part2x, densest_members(3)),
     "densest_two_triangles": on(part2x, densest_members("2-triangle")),
     "densest_four_cycles": on(part2x, densest_members("4-cycle")),
     "densest_triangles_early_stop": on(click, densest_members(3, most_cuts=1)),
     "densest_triangles_peel": on(click, densest_members(3, method="peel")),
     "densest_triangles_max_core": on(click, densest_members(3, method="max_core")),
+    "densest_report": on(click, report),
     "share_loads": on(part2x, lambda e: approx.share_loads(find_instances(e, 2))),
 }
-# Each query on part10 also runs on the whole order table.
-QUERIES["graph_parts_edges"] = parts
-QUERIES |= {f"{name.removesuffix('_part10')}_all_orders": on(parts, q.of) for name, q in QUERIES.items() if isinstance(q, on) and q.source is part10}

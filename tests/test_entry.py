@@ -43,7 +43,7 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", CHECKED)
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for table in ("events", "lineitem"):
+    for table in ("events", "lineitem", "nation"):
         db.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     oracle = db.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
@@ -51,30 +51,26 @@ def test_against_sql(spark, name):
     assert sorted(map(str, map(tuple, got.select(*oracle.columns).collect()))) == sorted(map(str, oracle.fetchall()))
 
 
-ALL_ORDERS = sorted(n for n in QUERIES if n.endswith("_all_orders"))
-
-
-def test_every_part10_query_also_reads_all_orders():
-    """Orders whose keys 10 does not divide: part10 has no edge here, all orders have a 5-clique and a tail."""
-    assert len(ALL_ORDERS) == 18 and "graph_parts_edges" in QUERIES
-
-
-def test_all_orders_against_brute_force(spark, tmp_path):
+def test_whole_order_table_by_brute_force(spark, tmp_path):
     orders = {1: [1, 2, 3, 4, 5], 2: [5, 6], 3: [6, 7], 13: [7, 8, 8], 14: [9]}
     rows = [(key, part) for key, held in orders.items() for part in held]
     spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
     run = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
     edges = sorted({(a, b) for held in orders.values() for a in held for b in held if a < b})
     three = R.cliques(edges, 3)
-    assert run("graph_part10_edges") == []
     assert run("graph_parts_edges") == edges
-    assert run("triangles_all_orders") == three
-    assert run("triangle_count_all_orders") == [(len(three),)]
-    assert run("five_clique_count_all_orders") == [(1,)]
-    assert run("source_vertex_ids_all_orders") == [(v,) for v in range(1, 9)]
-    assert run("pattern_generic_two_triangle_sets_all_orders") == sorted(
-        (*group, n) for group, n in R.pattern_instances(edges, 4, [(0, 1), (0, 2), (1, 2), (0, 3), (1, 3)]).items()
-    )
-    assert run("triangle_core_batch_all_orders") == [(v, 6) for v in range(1, 6)]
-    for name in ("densest_triangles_all_orders", "densest_triangles_unpruned_all_orders"):
-        assert [r[:3] for r in run(name)] == [(v, 10, 5) for v in range(1, 6)]
+    assert run("triangles") == three
+    assert run("triangle_count") == [(len(three),)]
+    assert run("source_vertex_ids") == [(v,) for v in range(1, 9)]
+
+
+def test_report_of_a_small_graph(spark):
+    from corelith.operators.graph import canonical_edges
+    from corelith.plans.densest import report
+    from corelith.plans.session import ship
+
+    ship(spark)
+    edges = [(a, b) for a in range(5) for b in range(a)] + [(4, 5), (5, 6), (6, 4), (6, 7)]
+    row = report(canonical_edges(spark.createDataFrame(edges, "src bigint, dst bigint")), 3).first()
+    assert (row["n_instances"], row["k_max"]) == (11, 6)
+    assert (row["numer"], row["denom"]) == (10, 5)
