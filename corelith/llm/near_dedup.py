@@ -2,15 +2,17 @@
 
 1. Every text becomes its set of five-word shingles, a digest of the set, and a MinHash signature. Texts with
    equal sets are one class; from here on a class is one node.
-2. Signatures are cut into bands. In each bucket of a band the members are paired with its leader, so a
-   bucket of n members gives n - 1 pairs; bands choose leaders by ``LEADERS`` different orders.
+2. Signatures are cut into bands. In each bucket of a band the members are paired with one leader, the member
+   whose buckets hold the most members in all, so a bucket of n members gives n - 1 pairs. In a group of copies
+   of one text that text has the commonest hashes, leads all its buckets and meets all its copies.
 3. Pairs are compared signature batch by signature batch. After each batch a pair is dropped once the
    posterior probability that its similarity reaches the threshold, under a uniform prior, is below
-   ``MISS``. Survivors are verified exactly on the full sets of words.
+   ``MISS``. Survivors are verified exactly on the full sets of words; a text is sent once for each leader it meets.
 4. Components of the verified pairs are formed. Buckets that still hold more than one component may hide
-   links between members other than the leader. Their members go through an exact prefix-filter join
-   (each emits the rarest quarter of its shingles; linked sets must share one), between different components
-   only, and its pairs through step 3. No bucket is capped.
+   links between members other than the leader. Linked sets must share one of the rarest quarter of their
+   shingles, so members meet by those, between different components only. Where few meet, they are paired. Where many
+   meet, ``_apart`` leaves pairs only between sets that differ from the group's common shingles in similar ways.
+   These pairs go through step 3. No bucket is capped.
 5. Components of all links give the result.
 
 At 32 bands of 4, a pair at similarity 0.75 shares no bucket with probability 5e-6.
@@ -34,13 +36,20 @@ from pyspark.sql import functions as F
 
 from corelith.llm.common import chunks
 from corelith.operators.components import connected_components
+from corelith.operators.spread import share, spread_join
 from corelith.plans.session import cut
 
 BANDS, ROWS, BATCH = 32, 4, 16
-LEADERS = 8
 SHINGLE = 5
 PERCENT = 75
 MISS = 1e-6
+#: Groups of up to so many members are paired across components at once: groups by a rare hash alone, and groups
+#: by a hash that sets apart from what is common, where few of the pairs pass the bounds.
+FEW, FEW_APART = 16, 256
+#: Members of a group whose common shingles stand for those of the group.
+SAMPLED = 9
+#: Times that a group of many members is split before its pairs are compared by their differences.
+LEVELS = 2
 #: Words of 64 bits in the filter that keeps texts without a candidate from being shuffled: 8 MB when broadcast.
 FILTER_WORDS = 1 << 19
 #: Buckets of the frequency table that orders shingles from rare to common.
@@ -95,7 +104,7 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
-    """16 bytes that tell sets apart: a MurmurHash-style mix of all members, twice."""
+    """16 bytes of a cryptographic hash over all members, ascending; empty for an empty set."""
     if not len(hashes):
         return b""
     import hashlib
@@ -152,7 +161,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, c, text) of at least the documents in ``ids`` (rep), told by a bit array of bounded size."""
+    """(doc_id, c, text) of the documents in ``ids`` (rep). A bit array of bounded size keeps most other texts from being shuffled."""
     spot = F.pmod(F.xxhash64(F.lit("spot"), "doc_id"), F.lit(FILTER_WORDS * 64))
     bits = (
         ids.select(F.col("rep").alias("doc_id"))
@@ -176,121 +185,309 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 {"doc_id": pa.array(doc_ids, pa.int64()), "text": pa.array(texts, pa.string()), "c": pa.array(digests, pa.binary())}
             )
 
-    return found.mapInArrow(classed, "doc_id bigint, text string, c binary")
+    # The exact test comes after the Python step: put before it, the optimizer would move it below the filter.
+    classes = found.mapInArrow(classed, "doc_id bigint, text string, c binary")
+    return classes.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of classes whose sets are similar enough."""
+    """Those of the distinct ``pairs`` (lead, c) of classes whose sets are similar enough, as (a, b)."""
+    spark = docs.sparkSession
     steps = least_matches(percent / 100, miss)
-    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "rep", "sig")])
-    sized = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized)
+    limit = share(pairs.count(), spark)
+    led = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
+    leads = cut(led.join(classes.withColumnRenamed("c", "lead"), "lead").select("lead", "members", *[F.col(k).alias(f"{k}_lead") for k in ("n", "rep", "sig")]))
+    sized = (F.col("n_lead") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_lead") * percent)
+    both = spread_join(pairs, leads, "lead", "c", limit).join(classes, "c").filter(sized)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(batch[k]), dtype=np.uint32).reshape(len(batch), -1) for k in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(batch[k]), dtype=np.uint32).reshape(len(batch), -1) for k in ("sig_lead", "sig"))
             alive, same, done = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64), 0
             for n, least in steps:
                 same[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
                 alive, done = alive[same[alive] >= least], n
-            yield batch.iloc[alive][["a", "b", "rep_a", "rep_b"]]
-
-    likely = cut(both.mapInPandas(prune, "a binary, b binary, rep_a bigint, rep_b bigint"))
-    ids = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    texts = _texts_of(docs, ids)
-    text = lambda x: texts.select(F.col("doc_id").alias(f"rep_{x}"), F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
+            yield batch.iloc[alive][["lead", "c", "rep_lead", "rep"]]
+
+    likely = cut(both.mapInPandas(prune, "lead binary, c binary, rep_lead bigint, rep bigint"))
+    texts = cut(_texts_of(docs, likely.select(F.explode(F.array("rep_lead", "rep")).alias("rep")).distinct()))
+    # A leader's text goes before the texts it is compared with, once for each share of its pairs.
+    meetings = cut(likely.groupBy("lead", "rep_lead").agg(F.count(F.lit(1)).alias("members")))
+    shares = F.call_function("div", F.col("members"), F.lit(limit)) + 1
+    led = likely.join(
+        F.broadcast(meetings.filter(F.col("members") >= limit).select("lead", "rep_lead", shares.alias("shares"))), ["lead", "rep_lead"], "left"
+    ).select("lead", F.pmod(F.xxhash64("c"), F.coalesce("shares", F.lit(1))).alias("share"), "rep", "c")
+    member = led.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "c"]).select("lead", "share", F.lit(True).alias("led"), "c", "text")
+    leader = meetings.join(texts.select(F.col("doc_id").alias("rep_lead"), F.col("c").alias("lead"), "text"), ["rep_lead", "lead"]).select(
+        "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share"), F.lit(False).alias("led"), F.col("lead").alias("c"), "text"
+    )
+    streams = leader.unionByName(member).repartition("lead", "share").sortWithinPartitions("lead", "share", "led")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, set] = {}
-        for columns in chunks(batches, "a", "b", "text_a", "text_b"):
+        of, x = None, set()
+        for columns in chunks(batches, "lead", "led", "c", "text"):
             linked = []
-            for a, b, text_a, text_b in zip(*columns, strict=True):
-                if a not in known:
-                    known.clear()  # rows come ordered by neither side, but a large group repeats its first member
-                    known[a] = shingle_set(text_a)
-                x, y = known[a], shingle_set(text_b)
+            for lead, led, c, text in zip(*columns, strict=True):
+                if not led:
+                    of, x = lead, shingle_set(text)
+                    continue
+                if of != lead:
+                    raise RuntimeError("a leader's text is missing")
+                y = shingle_set(text)
                 shared = len(x & y)
                 if x and 100 * shared >= percent * (len(x) + len(y) - shared):
-                    linked.append((a, b))
+                    linked.append((lead, c))
             yield pa.record_batch({k: pa.array([pair[i] for pair in linked], pa.binary()) for i, k in enumerate("ab")})
 
-    joined = likely.join(text("a"), ["rep_a", "a"]).join(text("b"), ["rep_b", "b"])
-    return cut(joined.mapInArrow(confirm, "a binary, b binary").distinct())
+    return cut(streams.mapInArrow(confirm, "a binary, b binary").distinct())
+
+
+def _longs(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _hashed(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(c, label, delta): the shingle hashes of ``members`` (c, rep, label), written once."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, label, texts in chunks(batches, "c", "label", "text"):
+            sets = [shingle_hashes(text).view(np.int64) for text in texts]
+            ends = np.cumsum([0, *map(len, sets)])
+            delta = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])))
+            yield pa.record_batch({"c": pa.array(c, pa.binary()), "label": pa.array(label, pa.binary()), "delta": delta})
+
+    texts = _texts_of(docs, members).join(members.select("c", "label", F.col("rep").alias("doc_id")), ["doc_id", "c"])
+    once = texts.dropDuplicates(["doc_id", "c"])  # a row may be stored twice
+    return cut(once.mapInArrow(hashes, "c binary, label binary, delta array<bigint>"))
+
+
+def _meetings(places: DataFrame) -> DataFrame:
+    """(g, members) of the groups in ``places`` (g, label, ...) that hold more than one component."""
+    of = places.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"))
+    return of.filter("x <> y").select("g", "members")
+
+
+def _pairs_in(places: DataFrame, percent: int) -> DataFrame:
+    """(lead, c): pairs of members of one group in different components that may be linked.
+
+    ``places`` has (g, c, label, n, need, spare, rest): the set's size; 2 (100 + percent) times the part that it needs
+    of the overlap of two sets of differences; the most that the other may need; how many of its differences that
+    others have are still to come at this one, itself included.
+    """
+    other = places.select("g", *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "n", "need", "spare", "rest")])
+    fits = (
+        (F.col("c") < F.col("c_b"))
+        & (F.col("label") != F.col("label_b"))
+        & (F.col("n") * 100 >= F.col("n_b") * percent)
+        & (F.col("n_b") * 100 >= F.col("n") * percent)
+        & (F.col("need") <= F.col("spare_b"))
+        & (F.col("need_b") <= F.col("spare"))
+        & (F.least("rest", "rest_b") * (2 * (100 + percent)) >= F.col("need") + F.col("need_b"))
+    )
+    pairs = places.join(other.withColumnRenamed("g", "g_b"), (F.col("g") == F.col("g_b")) & fits)
+    return pairs.select(F.col("c").alias("lead"), F.col("c_b").alias("c"))
+
+
+def _rarest(deltas: Iterator[np.ndarray], counts: list[int], often: np.ndarray) -> list[np.ndarray]:
+    """Of each array of hashes the given number of those that are rare by a table of counts, in an order common to all."""
+    out = []
+    for signed, n in zip(deltas, counts, strict=True):
+        hashes = signed.view(np.uint64)
+        out.append(signed[np.lexsort((hashes, often[(hashes % np.uint64(FREQUENCIES)).astype(np.int64)]))[:n]])
+    return out
+
+
+def _apart(held: DataFrame, percent: int, often, first_level: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of members of large groups that may be linked; none is missed.
+
+    ``held`` has (g, c, label, n, alone, delta): in a group g, the class c of component label and set size n
+    differs from what the group has in common by the hashes in delta and by ``alone`` more, which no other
+    component has. Returns certain links (lead, c), places as ``_pairs_in`` takes them, and each (g, c) with what
+    is left of delta for the next level.
+
+    The common hashes are those of most of a few members. Whatever they are, the symmetric difference of two sets is that
+    of their deltas, so with the threshold p per cent, sets a and b are linked just if
+    (100 + p) (|da| + |db| - 2 |da and db|) <= (100 - p) (|a| + |b|). With need = (100 + p) |d| - (100 - p) |set|
+    this says 2 (100 + p) |da and db| >= need_a + need_b. Where the right side is not positive the link is certain.
+    Otherwise a and b share one of the |d| - ceil((need_a + need_b) / (2 (100 + p))) + 1 rarest members of each delta.
+    Since they can share only what other components have too, need_a is at most 2 (100 + p) |db| - need_b,
+    with those members of db alone counted.
+    """
+    spark = held.sparkSession
+    over, under = 100 + percent, 100 - percent
+    limit = share(held.count(), spark)
+    sizes = cut(held.groupBy("g").agg(F.count(F.lit(1)).alias("members")))
+    first = F.min(F.struct(F.xxhash64("g", "c").alias("order"), F.col("c").alias("c")))
+    picked = held.groupBy("g", F.pmod(F.xxhash64("c"), F.lit(SAMPLED)).alias("slot")).agg(first["c"].alias("c")).select("g", "c")
+    sample = cut(held.join(picked, ["g", "c"], "left_semi").select("g", "delta"))
+    most = (
+        sample.select("g", F.explode("delta").alias("token"))
+        .groupBy("g", "token")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .join(sample.groupBy("g").agg(F.count(F.lit(1)).alias("of")), "g")
+        .filter(F.col("times") * 2 > F.col("of"))
+        .groupBy("g")
+        .agg(F.collect_list("token").alias("common"))
+    )
+    common = cut(sizes.join(most, "g", "left").select("g", "members", F.coalesce("common", F.array().cast("array<bigint>")).alias("common")))
+    moved = (
+        spread_join(held, common, "g", "c", limit)
+        .withColumns({"more": F.array_except("delta", "common"), "fewer": F.array_except("common", "delta")})
+        # Of the overlap that a needs, p per cent of its size, what is not among the common hashes is in both deltas.
+        .withColumn("both", F.ceil(F.col("n") * percent / 100) - F.col("n") + F.size("more") if first_level else F.lit(1))
+        .withColumn("delta", F.concat("more", "fewer"))
+        .withColumn("need", (F.col("alone") + F.size("delta")) * over - F.col("n") * under)
+        .select("g", "c", "label", "n", "alone", "delta", "need", F.col("both").cast("bigint").alias("both"))
+    )
+    moved = cut(moved)
+    least = F.min(F.struct(F.col("need").alias("need"), F.col("c").alias("c"), F.col("label").alias("label")))
+    lowest = cut(moved.groupBy("g").agg(least.alias("least"), F.count(F.lit(1)).alias("members")))
+    known = spread_join(moved, lowest, "g", "c", limit).withColumn(
+        "shares", F.greatest(F.lit(1), "both", F.ceil((F.col("need") + F.col("least.need")) / (2 * over)))
+    )
+    certain = known.filter(F.expr("need + least.need <= 0 and label <> least.label and c <> least.c")).select(F.col("least.c").alias("lead"), "c")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                tokens = _rarest(_longs(part.column("delta")), part.column("take").to_pylist(), often.value)
+                where = pa.array(np.repeat(np.arange(part.num_rows), list(map(len, tokens))))
+                named = {name: part.column(name).take(where) for name in ("g", "c", "label")}
+                yield pa.record_batch({**named, "token": pa.array(np.concatenate(tokens))})
+
+    # Who shares none of a prefix with other components is out; hashes of labels are told apart here, which is enough to tell that.
+    taken = known.select("g", "c", "label", "delta", F.greatest(F.lit(0), F.size("delta") - F.col("shares") + 1).alias("take"))
+    tried = cut(
+        taken.filter("take > 0")
+        .mapInArrow(prefixes, "g bigint, c binary, label binary, token bigint")
+        .select("g", "c", F.xxhash64("label").alias("label"), F.xxhash64("g", "token").alias("t"))
+    )
+    seen = cut(_meetings(tried.select(F.col("t").alias("g"), "label")).withColumnRenamed("g", "t"))
+    able = spread_join(tried, seen, "t", "c", share(seen.agg(F.sum("members")).first()[0] or 0, spark)).select("g", "c").distinct()
+    moved = cut(known.select("g", "c", "label", "n", "alone", "delta", "need", "both").join(able, ["g", "c"]))
+    tokens = moved.select("g", "c", F.xxhash64("label").alias("label"), F.explode("delta").alias("token")).withColumn("t", F.xxhash64("g", "token"))
+    met = cut(_meetings(tokens.select(F.col("t").alias("g"), "label")).withColumnRenamed("g", "t"))
+    shared = (
+        spread_join(tokens.drop("label"), met, "t", "c", share(met.agg(F.sum("members")).first()[0] or 0, spark))
+        .groupBy("g", "c")
+        .agg(F.sort_array(F.collect_list(F.struct("members", "token"))).alias("ordered"))
+    )
+    state = (
+        moved.join(shared, ["g", "c"], "left")
+        .withColumn("ordered", F.coalesce(F.col("ordered")["token"], F.array().cast("array<bigint>")))
+        .withColumn("spare", F.size("ordered") * (2 * over) - F.col("need"))
+        .withColumn("alone", F.col("alone") + F.size("delta") - F.size("ordered"))
+        .drop("delta")
+    )
+    state = cut(state)
+    bounds = state.groupBy("g").agg(F.max("spare").alias("most"), F.min("need").alias("low"), F.count(F.lit(1)).alias("members"))
+    able = spread_join(state, cut(bounds), "g", "c", limit).filter("need <= most")
+    least_shared = F.greatest(F.lit(1), "both", F.ceil((F.col("need") + F.col("low")) / (2 * over)))
+    prefix = F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.size("ordered") - least_shared + 1).cast("int"))
+    places = able.select("g", "c", "label", "n", "need", "spare", F.size("ordered").alias("all"), F.posexplode(prefix).alias("at", "token")).select(
+        F.xxhash64("g", "token").alias("g"), "c", "label", "n", "need", "spare", (F.col("all") - F.col("at")).alias("rest"), F.col("g").alias("of")
+    )
+    return certain, places, state.select("g", "c", "label", "n", "alone", F.col("ordered").alias("delta"))
+
+
+def _split(places: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """``places`` of groups with several components: those of at most ``few`` members, and the others."""
+    met = cut(_meetings(places))
+    mixed = cut(spread_join(places, met, "g", "c", share(met.agg(F.sum("members")).first()[0] or 0, places.sparkSession)))
+    return mixed.filter(F.col("members") <= few).drop("members"), mixed.filter(F.col("members") > few)
+
+
+def _gathered(many: DataFrame, held: DataFrame, of: str | None) -> DataFrame:
+    """The rows of ``held`` dealt into groups for the next level.
+
+    Members that meet at several hashes should be compared once. So hashes are gathered under the member that has
+    most of them: a pair that meets at a hash is in the group of that hash's leader.
+    """
+    often = many.groupBy("c").agg(F.count(F.lit(1)).alias("often"))
+    placed = cut(many.join(often, "c").select("g", "c", "often", "members", *([of] if of else [])))
+    lead = F.max(F.struct("often", "c"))["c"]
+    leads = cut(placed.groupBy("g").agg(lead.alias("lead"), F.count(F.lit(1)).alias("members")))
+    keys = [F.xxhash64(*([F.col(of)] if of else []), F.col("lead")).alias("g"), "c", *([F.col(of)] if of else [])]
+    dealt = spread_join(placed.drop("members"), leads, "g", "c", share(placed.count(), held.sparkSession)).select(*keys).distinct()
+    if of is None:
+        return cut(dealt.join(held, "c"))
+    return cut(dealt.join(held.withColumnRenamed("g", of), [of, "c"]).drop(of))
 
 
 def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (c, rep, label) in different components that may be linked; none is missed.
+    """Pairs (lead, c) of ``members`` (c, rep, label) in different components that may be linked; none is missed.
 
     Linked sets share one of the rarest n - ceil(percent n / 100) + 1 shingles of each, in any order common to
     all sets; a table of bounded size says how common a shingle is. Where they share the first one in this order,
     both have enough shingles left.
     """
     spark = docs.sparkSession
-    texts = _texts_of(docs, members).join(members.select("c", "label").distinct(), "c")
+    held = _hashed(docs, members)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FREQUENCIES, dtype=np.int64)
-        for (texts,) in chunks(batches, "text"):
-            spots = [(shingle_hashes(text) % np.uint64(FREQUENCIES)).astype(np.int64) for text in texts]
-            total += np.bincount(np.concatenate(spots), minlength=FREQUENCIES)
+        for batch in batches:
+            spots = batch.column("delta").flatten().to_numpy().view(np.uint64) % np.uint64(FREQUENCIES)
+            total += np.bincount(spots.astype(np.int64), minlength=FREQUENCIES)
         filled = np.flatnonzero(total > 1)
         yield pa.record_batch({"spot": pa.array(filled), "n": pa.array(total[filled])})
 
-    tallied = texts.select("text").mapInArrow(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
+    tallied = held.select("delta").mapInArrow(tally, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).toArrow()
     common = np.ones(FREQUENCIES, dtype=np.int64)
     common[tallied["spot"].to_numpy()] = tallied["n"].to_numpy()
     shared = spark.sparkContext.broadcast(common)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for columns in chunks(batches, "c", "label", "text"):
-            token, c_of, label_of, n_of, rest = [], [], [], [], []
-            for c, label, text in zip(*columns, strict=True):
-                hashes = shingle_hashes(text)
-                n = len(hashes)
-                rare = np.lexsort((hashes, often[(hashes % np.uint64(FREQUENCIES)).astype(np.int64)]))
-                first = hashes[rare[: n - (percent * n + 99) // 100 + 1]]
-                token.append(first.view(np.int64))
-                c_of += [c] * len(first)
-                label_of += [label] * len(first)
-                n_of += [n] * len(first)
-                rest.append(n - np.arange(len(first)))
-            yield pa.record_batch(
-                {
-                    "token": pa.array(np.concatenate(token)),
-                    "c": pa.array(c_of, pa.binary()),
-                    "label": pa.array(label_of, pa.binary()),
-                    "n": pa.array(n_of, pa.int64()),
-                    "rest": pa.array(np.concatenate(rest)),
-                }
-            )
-
-    tokens = cut(texts.mapInArrow(prefixes, "token bigint, c binary, label binary, n bigint, rest bigint").distinct())
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    left = cut(tokens.join(mixed, "token", "left_semi"))
-    right = left.select("token", *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "n", "rest")]).withColumnRenamed("c_b", "b")
-    # At the first shared shingle both sets must have enough members left, that one included, for the overlap needed.
-    enough = F.least("rest", "rest_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-    return (
-        left.withColumnRenamed("c", "a")
-        .join(
-            right,
-            (left["token"] == right["token"])
-            & (F.col("a") < F.col("b"))
-            & (F.col("label") != F.col("label_b"))
-            & (F.col("n") * 100 >= F.col("n_b") * percent)
-            & (F.col("n_b") * 100 >= F.col("n") * percent)
-            & enough,
-        )
-        .select("a", "b")
-        .distinct()
-    )
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                sizes = np.diff(part.column("delta").offsets.to_numpy()).astype(np.int64)
+                times = sizes - (percent * sizes + 99) // 100 + 1
+                tokens = _rarest(_longs(part.column("delta")), times.tolist(), shared.value)
+                rests = [n - np.arange(k) for n, k in zip(sizes, times, strict=True)]
+                where = pa.array(np.repeat(np.arange(part.num_rows), times))
+                yield pa.record_batch(
+                    {
+                        "g": pa.array(np.concatenate(tokens)),
+                        "c": part.column("c").take(where),
+                        "label": part.column("label").take(where),
+                        "n": pa.array(np.repeat(sizes, times)),
+                        "rest": pa.array(np.concatenate(rests)),
+                    }
+                )
+
+    # Against nothing in common a set is its own delta: need = percent n, and at most all of it is shared.
+    rare = held.mapInArrow(prefixes, "g bigint, c binary, label binary, n bigint, rest bigint")
+    rare = cut(rare.withColumn("need", F.col("n") * (2 * percent)).withColumn("spare", F.col("n") * 200))
+    few, many = _split(rare, FEW)
+    found = [_pairs_in(few, percent)]
+    if many.isEmpty():
+        return cut(found[0].distinct())
+    sets = held.select("c", "label", F.size("delta").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("alone"), "delta")
+    grouped = _gathered(many, sets, None)
+    for level in range(LEVELS):
+        certain, places, left = _apart(grouped, percent, shared, level == 0)
+        few, many = _split(cut(places), FEW_APART)
+        found += [certain, _pairs_in(few.drop("of"), percent)]
+        if many.isEmpty():
+            break
+        if level == LEVELS - 1:
+            found.append(_pairs_in(many.drop("of", "members"), percent))
+        else:
+            grouped = _gathered(many, left, "of")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return cut(pairs.select(F.least("lead", "c").alias("lead"), F.greatest("lead", "c").alias("c")).distinct())
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    spark = docs.sparkSession
     slim = cut(_sketches(docs))
     classes = cut(
         slim.filter("n > 0 and doc_id is not null")
@@ -299,25 +496,27 @@ def near_components(docs: DataFrame, percent: int = PERCENT, miss: float = MISS)
     )
     width = 4 * ROWS
     keys = [F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)]
-    bands = classes.select("c", F.posexplode(F.array(*keys)).alias("band", "key"))
-    # Bands choose their leaders by LEADERS different orders, so a large group is tied together in several ways.
-    first = F.min(F.struct(F.xxhash64(F.col("band") % LEADERS, "c").alias("order"), F.col("c").alias("c")))
-    crowds = bands.groupBy("key").agg(first["c"].alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(bands.select("c", "key").join(crowds.select("key", "lead"), "key"))
-    star = cut(shared.filter("c <> lead").select(F.least("lead", "c").alias("a"), F.greatest("lead", "c").alias("b")).distinct())
+    bands = classes.select("c", F.explode(F.array(*keys)).alias("key"))
+    crowds = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    limit = share(crowds.agg(F.sum("members")).first()[0] or 0, spark)
+    shared = cut(spread_join(bands, crowds, "key", "c", limit))
+    central = shared.groupBy("c").agg(F.sum("members").alias("weight"))
+    weighed = cut(shared.join(central, "c"))
+    leads = cut(weighed.groupBy("key").agg(F.max(F.struct("weight", "c"))["c"].alias("lead"), F.count(F.lit(1)).alias("members")))
+    star = cut(spread_join(weighed.select("key", "c"), leads, "key", "c", limit).filter("c <> lead").select("lead", "c").distinct())
     links = _verify(docs, classes, star, percent, miss)
 
     labels = cut(connected_components(links, "a", "b"))
-    labelled = shared.join(labels.select(F.col("id").alias("c"), "component"), "c", "left").select(
-        "key", "c", F.coalesce("component", "c").alias("label")
+    labelled = cut(
+        shared.join(labels.select(F.col("id").alias("c"), "component"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("label"))
     )
-    labelled = cut(labelled)
-    undecided = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    members = labelled.join(undecided, "key", "left_semi").select("c", "label").distinct().join(classes.select("c", "rep"), "c")
-    members = cut(members)
+    undecided = cut(_meetings(labelled.withColumnRenamed("key", "g")).withColumnRenamed("g", "key"))
+    open_rows = spread_join(labelled, undecided, "key", "c", limit)
+    members = cut(open_rows.select("c", "label").distinct().join(classes.select("c", "rep"), "c"))
     if not members.isEmpty():
-        pairs = _across(docs, members, percent).join(star, ["a", "b"], "left_anti")
-        links = links.unionByName(_verify(docs, classes, cut(pairs), percent, miss))
+        met = star.select(F.least("lead", "c").alias("lead"), F.greatest("lead", "c").alias("c"))
+        pairs = cut(_across(docs, members, percent).join(met, ["lead", "c"], "left_anti"))
+        links = links.unionByName(_verify(docs, classes, pairs, percent, miss))
 
     nodes = slim.filter("n > 0 and doc_id is not null").select("doc_id", "c")
     several = nodes.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z")

@@ -138,3 +138,48 @@ def test_pruning_table_keeps_pairs_at_the_threshold():
     assert [n for n, _ in steps] == list(range(16, 129, 16))
     assert all(m / n < 0.75 for n, m in steps)
     assert steps[-1][1] > 60
+
+
+def copies_of_one_text(n, with_base=True, seed=9):
+    """A text of 40 words and copies of it with one word changed: they link to the text, not to each other."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(base), "en", "hot")] if with_base else []
+    for i in range(1, n):
+        changed = list(base)
+        changed[rng.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(changed), "en", "hot"))
+    return rows
+
+
+def test_pairs_grow_in_proportion(spark, monkeypatch):
+    compared = []
+    verify = near_dedup._verify
+    monkeypatch.setattr(near_dedup, "_verify", lambda docs, classes, pairs, *more: (compared.append(pairs.count()), verify(docs, classes, pairs, *more))[1])
+    for n in (400, 800, 1600):
+        rows = copies_of_one_text(n)
+        compared.append(0)
+        got = near_dedup.near_components(cases.frame(spark, rows))
+        assert {r["component_id"] for r in got.select("component_id").collect()} == {0}
+        compared[:] = [*compared[: compared.index(0)], sum(compared[compared.index(0) :])] if 0 in compared else compared
+    few, more, most = compared
+    assert more < 2.6 * few and most < 2.6 * more
+
+
+def test_copies_whose_text_is_missing(spark):
+    rows = copies_of_one_text(300, with_base=False)
+    got = near_dedup.near_components(cases.frame(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, got.collect()), key=str) == expected_components(rows)
+
+
+def test_line_dedup_of_a_text_of_very_many_lines(spark):
+    import time
+
+    text = "\n".join(f"line number {i}" for i in range(200_000))
+    began = time.time()
+    got = line_dedup.apply_bitmaps(cases.frame(spark, [(1, text, "en", "a"), (2, text + "\nmore of it here", "en", "a")]))
+    rows = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in got.collect()}
+    assert rows == {1: (200_000, 0, text), 2: (200_001, 200_000, "more of it here")}
+    assert time.time() - began < 60
