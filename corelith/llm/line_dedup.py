@@ -33,9 +33,9 @@ def line_key(line: Column) -> Column:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, row, pos, h1, h2) of every line whose key is long enough to be judged."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.select(
-        F.col("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line")
-    ).select("doc_id", "row", "pos", line_key(F.col("line")).alias("key"))
+    # The hash is made below the explosion: beside it, it would be made again for each line.
+    whole = docs.select("doc_id", F.xxhash64(text).alias("row"), F.split(text, "\n").alias("lines"))
+    each = whole.select("doc_id", "row", F.posexplode("lines").alias("pos", "line")).select("doc_id", "row", "pos", line_key(F.col("line")).alias("key"))
     h1, h2 = key128(F.col("key"))
     return each.filter(F.char_length("key") >= min_chars).select("doc_id", "row", "pos", h1.alias("h1"), h2.alias("h2"))
 
@@ -85,21 +85,34 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return words
 
 
+def _by_place(words: Column) -> Column:
+    """The masks as an array with a 0 for each word that the bitmap leaves out, so that a line finds its mask at once."""
+
+    def with_gap(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(words, i - 1)["word"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0).cast("bigint"), x["word"] - before - 1), F.array(x["mask"]))
+
+    return F.flatten(F.transform(words, with_gap))
+
+
 def apply_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped, which replace columns of these names."""
     words = line_bitmaps(docs, min_chars).select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("words").alias("__words")
+        F.col("doc_id").alias("__id"),
+        F.col("row").alias("__row"),
+        F.col("words").alias("__words"),
+        # Made on this side of the join: below it, the optimizer could move the array into the test of each line.
+        _by_place(F.col("words")).alias("__masks"),
     )
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.withColumn("__own_row", F.xxhash64(text)).join(
         words, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own_row") == F.col("__row")), "left"
     )
     lines = F.split(text, "\n")
-    masks = F.map_from_entries(F.col("__words"))
     stays = lambda x, i: (
         F.coalesce(
             F.call_function(
-                "shiftright", F.element_at(masks, F.floor(i / WORD_BITS).cast("int")), (i % WORD_BITS).cast("int")
+                "shiftright", F.get(F.col("__masks"), F.floor(i / WORD_BITS).cast("int")), (i % WORD_BITS).cast("int")
             ).bitwiseAND(F.lit(1).cast("bigint")),
             F.lit(0).cast("bigint"),
         )
