@@ -2,8 +2,9 @@
 
 Texts become code points; lower-cased letters stay and every run of other characters is one blank.
 Pairs and triples of them are hashed into ``BUCKETS`` buckets. Training counts buckets per language
-over a bounded sample of labelled rows; the log-probability matrix (languages x buckets) is broadcast
-and documents are scored in numpy, in slices of bounded length, however long a text is.
+over a bounded sample of labelled rows, stratified by language; the log-probability matrix (languages x buckets) is
+broadcast, and batches of documents, sparse rows of buckets, are multiplied with it in numpy. However long a text is, only
+a piece of bounded length is worked on at a time.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is every text when there
 is nothing to learn from; rows with a null doc_id are never trained on and not held out; ties go to the
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 from corelith.llm.common import chunks
 
 BUCKETS = 1 << 15
+#: Characters that are turned into grams at a time, and grams that are scored at a time.
 SLICE = 500_000
+TOGETHER = 200_000
+#: The bound on languages that are learned, the most frequent ones.
+LANGUAGES = 500
 #: The bound on labelled rows that a model is fitted on.
 TRAINING_ROWS = 40_000
 UNKNOWN = "und"
@@ -36,29 +41,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def _points(text: str) -> np.ndarray:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
-        return points[:0].astype(np.uint64)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of each run of other characters stays, as a blank
-    return np.where(letter, points, 32)[keep].astype(np.uint64)
-
-
-def _grams(points: np.ndarray) -> np.ndarray:
-    """The bucket of each pair and triple of characters; blanks surround the text."""
-    padded = np.concatenate(([32], points, [32])).astype(np.uint64)
+def _grams(padded: np.ndarray) -> np.ndarray:
+    """The bucket of each pair and triple of characters that start before the last two places."""
     a, b, c = padded[:-2], padded[1:-1], padded[2:]
     two = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(13)
     three = (two * np.uint64(0x165667B19E3779F9) + c * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(29)
     return np.concatenate((two % np.uint64(BUCKETS), three % np.uint64(BUCKETS))).astype(np.int64)
 
 
-def _slices(text: str) -> Iterator[np.ndarray]:
-    for start in range(0, len(text), SLICE):
-        if len(points := _points(text[max(0, start - 2) * (start > 0) : start + SLICE])):
-            yield _grams(points)
+def _slices(text: str, size: int = SLICE) -> Iterator[np.ndarray]:
+    """The grams of a text, with a blank before and after it, ``size`` characters at a time; slices leave no trace.
+
+    Without letters there are none.
+    """
+    low = text.lower()
+    carried, after_letter, any_letter = np.array([32], dtype=np.uint64), False, False
+    for start in range(0, len(low), size):
+        points = np.frombuffer(low[start : start + size].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[points]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the first of each run of other characters stays, as a blank
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        any_letter |= bool(letter.any())
+        padded = np.concatenate((carried, np.where(letter, points, 32)[keep].astype(np.uint64)))
+        if len(padded) > 2:
+            yield _grams(padded)
+        carried = padded[-2:]
+    if any_letter:
+        yield _grams(np.append(carried, np.uint64(32)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,12 +79,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and a matrix of log-probabilities: a row of priors, then a row for each bucket.
 
-    Learns from text and lang of at most about ``training_rows`` rows, drawn by a hash of their doc_id.
+    Learns from text and lang of at most about ``training_rows`` rows of the ``LANGUAGES`` most frequent languages, drawn
+    by a hash of their doc_id. Every language has the same share of them, as far as it has rows; priors go by all rows.
     """
     labelled = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    rows = labelled.count()
-    part = min(1_000_000, 1_000_000 * training_rows // max(rows, 1))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < part).select("lang", "text")
+    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(LANGUAGES).toPandas()
+    share = training_rows / max(len(rows_of), 1)
+    parts = docs.sparkSession.createDataFrame(
+        [(lang, int(min(1.0, share / rows) * (1 << 40))) for lang, rows in zip(rows_of["lang"], rows_of["rows"], strict=True)],
+        "lang string, part bigint",
+    )
+    sample = (
+        labelled.join(F.broadcast(parts), "lang")
+        .filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 40)) < F.col("part"))
+        .select("lang", "text")
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -93,24 +113,44 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[list[str],
     table = np.zeros((BUCKETS + 1, len(languages)))
     table[counts["bucket"], np.searchsorted(languages, counts["lang"])] = counts["n"]
     if languages:
-        table[0] = np.log(table[0] / table[0].sum())
+        known = dict(zip(rows_of["lang"], rows_of["rows"], strict=True))
+        table[0] = np.log(np.array([known[lang] for lang in languages]) / sum(known[lang] for lang in languages))
         table[1:] = np.log((table[1:] + 0.5) / (table[1:] + 0.5).sum(axis=0))
     return languages, table
 
 
-def _judge(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, float]:
-    total, seen = logs[0].astype(float), False
-    for grams in _slices(text or ""):
-        seen = True
-        if len(grams) > BUCKETS:
-            filled, often = np.unique(grams, return_counts=True)
-            total = total + often @ logs[1 + filled].astype(float)
-        else:
-            total = total + logs[1 + grams].sum(axis=0, dtype=float)
-    if not seen or not names:
-        return UNKNOWN, 0.0
-    best = int(np.argmax(total))
-    return names[best], float(1 / np.exp(total - total[best]).sum())
+def _judge(texts: list[str | None], names: list[str], logs: np.ndarray) -> list[tuple[str, float]]:
+    """(language, score) of each text. The texts are the rows of a sparse matrix of buckets, multiplied with ``logs`` piece by piece."""
+    totals = np.tile(logs[0].astype(float), (len(texts), 1))
+    seen = np.zeros(len(texts), dtype=bool)
+    rows: list[int] = []
+    pieces: list[np.ndarray] = []
+
+    def multiply() -> None:
+        if pieces:
+            starts = np.cumsum([0, *map(len, pieces[:-1])])
+            sums = np.add.reduceat(logs[1 + np.concatenate(pieces)], starts, axis=0, dtype=float)
+            np.add.at(totals, rows, sums)
+            rows.clear()
+            pieces.clear()
+
+    waiting = 0
+    for row, text in enumerate(texts):
+        for grams in _slices(text or "") if names else ():
+            seen[row] = True
+            rows.append(row)
+            pieces.append(grams)
+            waiting += len(grams)
+            if waiting >= TOGETHER:
+                multiply()
+                waiting = 0
+    multiply()
+    if not names:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    best = totals.argmax(axis=1)
+    top = totals[np.arange(len(texts)), best]
+    scores = 1 / np.exp(totals - top[:, None]).sum(axis=1)
+    return [(names[i], float(x)) if ok else (UNKNOWN, 0.0) for i, x, ok in zip(best, scores, seen, strict=True)]
 
 
 def _shared(docs: DataFrame, model: tuple[list[str], np.ndarray]):
@@ -124,7 +164,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, held, texts in chunks(batches, "doc_id", "held_out", "text"):
-            said = [_judge(text, *shared.value) for text in texts]
+            said = _judge(texts, *shared.value)
             yield pa.record_batch(
                 {
                     "doc_id": pa.array(doc_ids, pa.int64()),
@@ -145,7 +185,7 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [s[0] != UNKNOWN and s[1] >= least_score for (texts,) in chunks([batch], "text") for s in (_judge(t, *shared.value) for t in texts)]
+            good = [s[0] != UNKNOWN and s[1] >= least_score for (texts,) in chunks([batch], "text") for s in _judge(texts, *shared.value)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
