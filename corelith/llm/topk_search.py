@@ -1,14 +1,14 @@
 """Exact top-k inner-product search by MaxScore.
 
 Components of vectors are terms, vectors are documents, and a term's posting list holds the documents where
-the component is not 0. Vectors are dealt to shards of bounded size, queries to blocks of bounded size,
-and each (shard, block) pair is searched by itself; the k best of the shards are merged by query.
+the component is not 0. Vectors are dealt to shards of bounded size, each to one; queries go to every shard and are streamed past
+its index; the k best of the shards are merged by query.
 
-Within a shard, a query's terms are ordered by the most they can add to a score. Those at the low end whose
-bounds together stay below the threshold are non-essential: a document in no other list cannot be among the
-k best. The lists of essential terms are traversed; documents stay as long as their sum and the bounds of
+Within a shard, documents come in blocks, and a query's terms are ordered by the most they can add to a score of a block. Those at
+the low end whose bounds together stay below the threshold are non-essential: a document in no other list cannot be
+among the k best. The lists of essential terms are traversed; documents stay as long as their sum and the bounds of
 the terms still open reach the threshold, and non-essential terms are probed for these only. The threshold is the
-query's k-th best score in a sample of fixed size and stays; where that is 0 or less, every document is scored.
+query's k-th best score so far: in a sample of fixed size at first, then, rising, among the documents of the shard.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part, nor does one with a
 null vec_id; absent components of shorter vectors count as 0; rows with a query's own vec_id are no candidates
@@ -19,60 +19,78 @@ they and their partial sums stay below 2^53.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelith.plans.session import cut
 
-SHARD_ROWS = 4096
-BLOCK_QUERIES = 1024
+SHARD_ROWS = 16_384
+BLOCK_ROWS = 1024
 SAMPLE_ROWS = 512
 PROBE = 8
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors as rows, with 0 where a shorter one has no component."""
+    ends = vectors.offsets.to_numpy()
+    sizes = np.diff(ends)
     out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    rows = np.repeat(np.arange(len(vectors)), sizes)
+    out[rows, np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], sizes)] = vectors.values.to_numpy()[ends[0] : ends[-1]]
     return out
 
 
-def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, vec_id, score) of each query's k best in this shard that may reach its floor."""
-    n, width = rows.shape
-    lists = [np.flatnonzero(rows[:, d]) for d in range(width)]
-    weights = [rows[docs, d] for d, docs in enumerate(lists)]
-    most = np.array([max(0.0, w.max()) if len(w) else 0.0 for w in weights])
-    least = np.array([min(0.0, w.min()) if len(w) else 0.0 for w in weights])
-    for query_id, q, floor in zip(query_ids, queries, floors, strict=True):
-        bounds = np.maximum(q * most, q * least)
-        order = np.argsort(-bounds, kind="stable")
-        open_after = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0.0]))  # bounds of terms from each place on
-        if floor > 0:
-            essential = int(np.argmax(open_after < floor))  # the last entry is 0
-            sums, touched = np.zeros(n), np.zeros(n, dtype=bool)
+class Shard:
+    """The posting lists of a shard's vectors, block by block, with the bounds of their weights."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        order = np.argsort(-np.abs(rows).sum(axis=1), kind="stable")  # long vectors first: the threshold rises early
+        self.blocks = []
+        for start in range(0, len(ids), BLOCK_ROWS):
+            some = order[start : start + BLOCK_ROWS]
+            part = rows[some]
+            lists = [np.flatnonzero(column) for column in part.T]
+            weights = [part[docs, d] for d, docs in enumerate(lists)]
+            self.blocks.append((ids[some], part, lists, weights, np.maximum(part.max(axis=0), 0.0), np.minimum(part.min(axis=0), 0.0)))
+
+    def search(self, query_id: int, q: np.ndarray, floor: float, k: int) -> list[tuple[int, int]]:
+        """(score, vec_id) of the k best that reach ``floor``, ties to the smaller id."""
+        best: list[tuple[int, int]] = []  # score and negative id, the worst first
+        for ids, part, lists, weights, most, least in self.blocks:
+            bounds = np.maximum(q * most, q * least)
+            order = np.argsort(-bounds, kind="stable")
+            left = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0.0]))  # bounds of the terms from each place on
+            if left[0] < floor:
+                continue
+            below = np.flatnonzero(left < floor)
+            essential = int(below[0]) if len(below) else len(order)
+            sums, touched = np.zeros(len(ids)), np.full(len(ids), floor <= 0)  # without common terms the score is 0
             for d in order[:essential]:
                 if q[d]:
                     sums[lists[d]] += q[d] * weights[d]
                     touched[lists[d]] = True
-            alive = np.flatnonzero(touched & (sums + open_after[essential] >= floor))
-        else:
-            essential, sums, alive = 0, np.zeros(n), np.arange(n)
-        alive = alive[ids[alive] != query_id]
-        place = essential
-        while place < width and len(alive):
-            some = order[place : place + PROBE] if floor > 0 else order
-            sums[alive] += rows[np.ix_(alive, some)] @ q[some]
-            place += len(some)
-            alive = alive[sums[alive] + open_after[place] >= floor]
-        best = alive[np.lexsort((ids[alive], -sums[alive]))[:k]]
-        for i in best:
-            yield int(query_id), int(ids[i]), int(sums[i])
+            alive = np.flatnonzero(touched & (sums + left[essential] >= floor) & (ids != query_id))
+            for place in range(essential, len(order), PROBE):
+                if not len(alive):
+                    break
+                some = order[place : place + PROBE]
+                sums[alive] += part[np.ix_(alive, some)] @ q[some]
+                alive = alive[sums[alive] + left[min(place + PROBE, len(order))] >= floor]
+            for i in alive[np.lexsort((ids[alive], -sums[alive]))[:k]]:
+                found = (int(sums[i]), -int(ids[i]))
+                if len(best) < k:
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+            if len(best) == k:
+                floor = max(floor, float(best[0][0]))
+        return [(score, -negative) for score, negative in best]
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float = 256.0, column: str = "embedding") -> DataFrame:
@@ -87,33 +105,47 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: float =
     )
     asked = cut(rows.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]))
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n_asked = asked.count()
-    if not n_asked or not width:
+    if asked.isEmpty() or not width:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    shards, blocks = -(-n // SHARD_ROWS), -(-n_asked // BLOCK_QUERIES)
+    shards = -(-n // SHARD_ROWS)
 
     part = min(1_000_000, max(1, 1_000_000 * SAMPLE_ROWS // n))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("floor"), "vec_id"), F.lit(1_000_000)) < part).limit(4 * SAMPLE_ROWS).toPandas()
-    known = spark.sparkContext.broadcast((sample["vec_id"].to_numpy(dtype=np.int64), _matrix(sample["v"], width)))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            sample_ids, sample_rows = known.value
-            queries, query_ids = _matrix(right["v"], width), right["vec_id"].to_numpy(dtype=np.int64)
-            floors = np.full(len(right), -np.inf)
-            if len(sample_ids) > k:
-                scores = queries @ sample_rows.T
-                scores[query_ids[:, None] == sample_ids[None, :]] = -np.inf
-                floors = np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k]
-            found = list(search_shard(left["vec_id"].to_numpy(dtype=np.int64), _matrix(left["v"], width), query_ids, queries, floors, k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    deal = lambda of, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(of)).cast("int")
-    candidates = rows.withColumn("shard", deal(shards, "shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.withColumn("block", deal(blocks, "block")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    )
-    found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, FOUND)
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("floor"), "vec_id"), F.lit(1_000_000)) < part).limit(4 * SAMPLE_ROWS).toArrow()
+    known = spark.sparkContext.broadcast((sample["vec_id"].to_numpy(), _matrix(pa.concat_arrays(sample["v"].chunks), width) if len(sample) else np.zeros((0, width))))
+
+    def floors(query_ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        sample_ids, sample_rows = known.value
+        if len(sample_ids) <= k:
+            return np.full(len(queries), -np.inf)
+        scores = queries @ sample_rows.T
+        scores[query_ids[:, None] == sample_ids[None, :]] = -np.inf
+        return np.partition(scores, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, waiting, shard = -1, [], None  # rows come by shard, its documents before the queries
+        for batch in batches:
+            place, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            ids, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width)
+            edges = np.flatnonzero((np.diff(place) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
+            out = []
+            for start, end in zip([0, *edges], [*edges, len(ids)], strict=True):
+                if start == end:
+                    continue
+                if place[start] != of:
+                    of, waiting, shard = place[start], [], None
+                if not asks[start]:
+                    waiting.append((ids[start:end], vectors[start:end]))
+                    continue
+                if shard is None:
+                    shard = Shard(*map(np.concatenate, zip(*waiting, strict=True))) if waiting else Shard(ids[:0], vectors[:0])
+                for query_id, q, floor in zip(ids[start:end], vectors[start:end], floors(ids[start:end], vectors[start:end]), strict=True):
+                    out += [(int(query_id), vec_id, score) for score, vec_id in shard.search(int(query_id), q, float(floor), k)]
+            yield pa.record_batch({name: pa.array([row[i] for row in out], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
+
+    dealt = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).cast("int")
+    documents = rows.select(dealt.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    ordered = documents.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "vec_id")
+    found = ordered.mapInArrow(search, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
