@@ -39,7 +39,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).select(
+    words = secrets.vocabulary_words(tokenizer_files()[0])
+    return secrets.scan(table(spark, sf_dir, "documents"), words=words).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_guess"
     )
 

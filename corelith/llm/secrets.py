@@ -2,8 +2,10 @@
 
 Three fixed patterns give the base spans. In a wider set of credential contexts (a keyword, a
 separator, a value) the value is taken apart by dynamic programming into the cheapest sequence of dictionary words,
-dates, repeats, keyboard or alphabet walks, blanks and brute-force characters; its cost is the sum of the parts' bits. A value that
-costs at least ``BITS`` to guess is a secret and adds a span of kind ``guess``.
+dates, repeats, keyboard or alphabet walks, blanks, joints and brute-force characters; its cost is the sum of the parts' bits. A value
+that costs at least ``BITS`` to guess is a secret and adds a span of kind ``guess``. A word costs the logarithm of its
+rank: first the words that passwords and code are full of, then those of a public tokenizer's vocabulary, whose order
+follows how frequent they are.
 
 Defined cases: a null or empty text has no spans; offsets count code points and ends are exclusive; letters in
 keywords match in either case, ASCII only; a value of any length is costed in time linear in its length; repeated
@@ -12,15 +14,17 @@ rows each give a row; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-import functools
+import base64
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corelith.llm.common import chunks
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,24 +44,38 @@ COMMON = (
     " princess football baseball soccer hockey summer winter spring autumn monday friday sunday january february march april june july"
     " august september october november december love money magic freedom whatever computer internet server database system default"
     " change changeme example sample please trust hunter flower cookie pepper ginger tiger eagle angel michael jordan thomas daniel robert"
-    " ashley jessica charlie andrew london paris berlin super batman starwars pokemon mustang corvette yankees the and for you that with this"
-    " from have your token key value string null none true false your here insert replace placeholder"
+    " ashley jessica charlie andrew london paris berlin super batman starwars pokemon mustang corvette yankees and for you that with this"
+    " from have your token key value string null none true false your here insert replace placeholder process env environ getenv getpass get"
+    " set input config settings self args os vault the"
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop")
 LOOKALIKE = str.maketrans("@4301!$5+7", "aaeoiisstt")
 
 DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 PART_BITS = 1.0
+#: Characters between words, as in paths, calls and joined words.
+JOINTS = frozenset("-_./()")
+JOINT_BITS = 1.0
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The words of 3 to 24 letters in a file of tokens and ranks (one base64 token and its rank a line), by rank."""
+    with open(path, "rb") as lines:
+        tokens = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in lines if line.strip())
+        return list(dict.fromkeys(t.strip().lower() for t in tokens if 2 < len(t.strip()) < 25 and t.strip().isalpha()))
+
 
+class Dictionary:
+    """Words with the bits of their ranks, and the pairs of keys that lie beside each other."""
 
-@functools.cache
-def _tables(extra: tuple[str, ...]) -> tuple[dict[str, float], int, set[tuple[str, str]]]:
-    words = {}
-    for rank, word in enumerate(dict.fromkeys((*COMMON, *extra)), 1):
-        if len(word) > 2:
-            words[word] = math.log2(rank + 1)
-    near = {pair for row in ROWS for pair in zip(row, row[1:], strict=False)}
-    return words, max(map(len, words)), near | {(b, a) for a, b in near}
+    def __init__(self, words: Iterable[str] = ()):
+        self.words = {w: math.log2(rank + 1) for rank, w in enumerate(dict.fromkeys((*COMMON, *words)), 1) if len(w) > 2}
+        self.longest = max(map(len, self.words))
+        beside = {pair for row in ROWS for pair in zip(row, row[1:], strict=False)}
+        self.near = beside | {(b, a) for a, b in beside}
+
+
+PLAIN = Dictionary()
 
 
 def _character_bits(c: str) -> float:
@@ -75,13 +93,13 @@ def _case_bits(part: str) -> float:
     return min(float(len(part)), math.log2(math.comb(len(part), upper)) + 1)
 
 
-def guess_bits(value: str, extra: tuple[str, ...] = ()) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_bits(value: str, known: Dictionary = PLAIN) -> tuple[float, list[tuple[str, int, int]]]:
     """The bits of the cheapest segmentation, and its parts as (kind, start, end).
 
     A chain of brute-force characters counts as one part. Runs (repeats of a period up to 8, and walks) are only
     taken from where they start or in whole periods, so each position has a bounded number of choices.
     """
-    words, longest, near = _tables(extra)
+    words, longest, near = known.words, known.longest, known.near
     low = value.lower()
     plain = low.translate(LOOKALIKE)
     n = len(value)
@@ -109,6 +127,8 @@ def guess_bits(value: str, extra: tuple[str, ...] = ()) -> tuple[float, list[tup
         options.append((brute[end], "brute", brute_from[end]))
         if value[i].isspace():
             options.append((best[i] + PART_BITS, "blank", i))
+        elif value[i] in JOINTS:
+            options.append((best[i] + PART_BITS + JOINT_BITS, "joint", i))
         for start in range(max(0, end - longest), end - 2):
             found = words.get(low[start:end])
             swapped = 0.0
@@ -144,7 +164,7 @@ def guess_bits(value: str, extra: tuple[str, ...] = ()) -> tuple[float, list[tup
     return best[n], parts[::-1]
 
 
-def find_spans(text: str, bits: float = BITS, extra: tuple[str, ...] = ()) -> list[tuple[str, int, int]]:
+def find_spans(text: str, bits: float = BITS, known: Dictionary = PLAIN) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of ``KINDS``."""
     spans = []
     low = text.lower()
@@ -157,7 +177,7 @@ def find_spans(text: str, bits: float = BITS, extra: tuple[str, ...] = ()) -> li
     if hinted:
         for m in CONTEXT.finditer(text):
             value, (start, end) = m[m.lastindex], m.span(m.lastindex)
-            if guess_bits(value, extra)[0] >= bits:
+            if guess_bits(value, known)[0] >= bits:
                 spans.append(("guess", start, end))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -166,20 +186,25 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def scan(docs: DataFrame, bits: float = BITS, extra_words: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_guess, base_spans, spans) for each row of ``docs``."""
+def scan(docs: DataFrame, bits: float = BITS, words: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, n_guess, base_spans, spans) for each row of ``docs``.
 
-    def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                spans = find_spans(text or "", bits, extra_words)
-                kinds = [k for k, _, _ in spans]
-                out.append((*map(kinds.count, KINDS), spans_text([s for s in spans if s[0] != "guess"]), spans_text(spans)))
-            made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_guess", "base_spans", "spans"])
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield made.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(
+    ``words``, by rank, are broadcast: a vocabulary, whose size does not depend on ``docs``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(list(words))
+    names = ("n_assign", "n_access", "n_hex", "n_guess")
+
+    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Dictionary(shared.value)
+        for doc_ids, texts in chunks(batches, "doc_id", "text"):
+            found = [find_spans(text or "", bits, known) for text in texts]
+            kinds = [[k for k, _, _ in spans] for spans in found]
+            made = {name: pa.array([k.count(kind) for k in kinds], pa.int64()) for name, kind in zip(names, KINDS, strict=True)}
+            base = [spans_text([s for s in spans if s[0] != "guess"]) for spans in found]
+            yield pa.record_batch(
+                {"doc_id": pa.array(doc_ids, pa.int64()), **made, "base_spans": pa.array(base, pa.string()), "spans": pa.array(map(spans_text, found), pa.string())}
+            )
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         scan_batches, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_spans string, spans string"
     )
