@@ -1,18 +1,19 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Mail addresses, IP addresses, phone, card, social-security and bank-account numbers, and names after a title are found by one
-regular expression. Every distinct value gets a surrogate from a digest of a secret key and the value: of the same kind, script,
+Mail addresses, IP addresses of both versions, phone, card, social-security and bank-account numbers, and names after a title are
+found by one regular expression. A name that a document has after a title is replaced without one as well in that document. Every distinct value gets a surrogate from a digest of a secret key and the value: of the same kind, script,
 letter case, punctuation and length, valid where the original is (octets, check digits), and for names of the
 same gender. Values that occur in several documents, and a domain or a surname that several values share, get the same
-surrogate everywhere, so coreference stays. Surrogates are checked: one that another value has got, or that occurs as an original
-itself, is drawn again, with a longer tail from the third draw on, until all are distinct.
+surrogate everywhere, so coreference stays. Surrogates, those of domains and local parts of addresses each by themselves, are
+checked: one that another value has got, or that occurs as an original itself, is drawn again until all are distinct, letters
+with a longer tail from the third draw on.
 
 Only documents with entities are shuffled. Values that occur in a third of all documents are aggregated before the
 shuffle and joined to a table with one row per value, which adaptive execution can split.
 
 Defined cases: a null text stays null and has no entities; a text without entities stays as it is; values are compared
 as written; equal rows get equal results; a null doc_id is a document like any other; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. Mentions of a name without its title are not counted or listed as spans.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelith.plans.session import cut
+from corelith.plans.session import cut, partitions
 
 # Patterns of the kinds, titles and the syllables of invented names.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,5}\)[\x20.-]?)?\d{2,5}(?:[\x20.-]?\d{2,5}){1,4}"
@@ -74,7 +76,12 @@ def _units(entity: Column) -> Column:
         )
     )
     whole = F.concat(F.array(F.struct(F.lit("stays").alias("kind"), title.alias("value"))), joined)
-    return F.when(kind == "name", whole).otherwise(single)
+    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    host = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top) - 1)
+    pairs = (("local", local), ("stays", F.lit("@")), ("domain", host), ("stays", F.concat(F.lit("."), top)))
+    mail = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in pairs])
+    return F.when(kind == "name", whole).when(kind == "email", mail).otherwise(single)
 
 
 def _hex_at(stream: Column, i: Column) -> Column:
@@ -123,12 +130,32 @@ def _address(stream: Column) -> Column:
     return F.concat_ws(".", *[octet(k) for k in (1, 3, 5, 7)])
 
 
-def _mail(value: Column, stream: Column, key: str) -> Column:
-    """Local part and domain drawn apart, so that addresses of a domain stay together; the last label stays."""
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
-    return F.concat(_reshaped(local, stream, True), F.lit("@"), _reshaped(host, F.sha2(F.concat(F.lit(f"{key}|domain|"), domain), 256), True), top)
+def _hex_reshaped(value: Column, stream: Column) -> Column:
+    """``value`` with other hexadecimal digits of the same case in the same places."""
+
+    def other(c: Column, i: Column) -> Column:
+        digit = F.substr(stream, (i % 64) + 1, F.lit(1))
+        return F.when(c.rlike("[0-9a-f]"), digit).when(c.rlike("[A-F]"), F.upper(digit)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, ""), other), "")
+
+
+def _mod97(text: Column) -> Column:
+    """The number that digits and capital letters (A is 10) spell, modulo 97."""
+
+    def add(total: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), (total * 10 + c.cast("int")) % 97).otherwise((total * 100 + letter) % 97)
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    country, bare = F.substring(value, 1, 2), F.regexp_replace(value, " ", "")
+    account = _reshaped(F.substr(value, F.lit(5)), stream, True)
+    check = F.lpad((98 - _mod97(F.concat(F.regexp_replace(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _mod97(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))) == 1
+    return F.when(valid, F.concat(country, check, account)).otherwise(F.concat(country, _reshaped(F.substr(value, F.lit(3)), stream, True)))
 
 
 def _name(value: Column, stream: Column, ending: Column) -> Column:
@@ -149,23 +176,24 @@ def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     after = F.substr(value, F.char_length(phone) + 1)
     digits = F.translate(F.substring(stream, 20, 40), "abcdef", "012345")
     longer = F.when(draw < 6, "").otherwise(F.substr(digits, F.lit(1), draw - 5))
-    country = F.substring(value, 1, 2)
     return (
-        F.when(kind == "email", F.concat(tail, _mail(value, stream, key)))
+        F.when(kind.isin("local", "domain"), F.concat(tail, _reshaped(value, stream, True)))
         .when(kind == "ip", _address(stream))
+        .when(kind == "ipv6", _hex_reshaped(value, stream))
         .when(kind == "phone", F.concat(phone, _reshaped(after, stream, False), longer))
-        .when(kind == "card", F.concat(_card(value, stream), longer))
-        .when(kind == "iban", F.concat(country, _reshaped(F.substr(value, F.lit(3)), stream, True), longer))
-        .when(kind == "ssn", F.concat(_reshaped(value, stream, False), longer))
+        .when(kind == "card", _card(value, stream))
+        .when(kind == "iban", _iban(value, stream))
+        .when(kind == "ssn", _reshaped(value, stream, False))
         .when(kind == "given-f", F.concat(_name(value, stream, F.lit("a")), tail))
         .when(kind == "given-m", F.concat(_name(value, stream, F.lit("o")), tail))
         .otherwise(F.concat(_name(value, stream, F.lit("er")), tail))
     )
 
 
-def assign_surrogates(values: DataFrame, key: str, max_draws: int = 20) -> DataFrame:
+def assign_surrogates(values: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value); surrogates differ from each other and from all values."""
-    table = cut(values.select("kind", "value").distinct().withColumn("draw", F.lit(0)))
+    n = partitions(values.sparkSession)  # a given number, so that few but costly rows are not gathered in one task
+    table = cut(values.select("kind", "value").distinct().repartition(n, "kind", "value").withColumn("draw", F.lit(0)))
     same = Window.partitionBy("kind", "surrogate").orderBy("draw", "value")
     for _ in range(max_draws):
         drawn = table.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("draw"), key))
@@ -191,9 +219,10 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     marked = F.col("text").rlike("[0-9@]")
     has = F.coalesce(F.when(marked, F.col("text").rlike(ENTITY)).otherwise(F.col("text").rlike(PATTERNS["name"])), F.lit(False))
     without = rows.filter(~has).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("spans"))
+    # The texts with entities are taken apart once and written out.
+    hits = cut(rows.filter(has).select("doc_id", "row", F.split("text", ENTITY).alias("gaps"), found.alias("found")))
     units = (
-        rows.filter(has)
-        .select("doc_id", "row", F.posexplode(found).alias("pos", "entity"))
+        hits.select("doc_id", "row", F.posexplode("found").alias("pos", "entity"))
         .select("doc_id", "row", "pos", F.posexplode(_units(F.col("entity"))).alias("part", "unit"))
         .select("doc_id", "row", "pos", "part", "unit.kind", "unit.value")
     )
@@ -202,18 +231,29 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     new_parts = (
         units.join(table, ["kind", "value"], "left")
         .groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "part", F.coalesce("surrogate", "value").alias("new"), "kind"))).alias("parts"))
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "part", F.coalesce("surrogate", "value").alias("new"), "kind", "value"))).alias("parts"))
         .select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "parts")
     )
-    gaps = F.split("text", ENTITY)
+    names = F.transform(
+        F.filter("parts", lambda p: p["kind"].rlike("^(given-.|family)$")), lambda p: F.struct(p["value"].alias("value"), p["new"].alias("new"))
+    )
+
+    def renamed(gap: Column) -> Column:
+        alone = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["value"], F.lit(r"(?![\p{L}\p{N}])"))
+        return F.aggregate("names", gap, lambda text, x: F.regexp_replace(text, alone(x), x["new"]))
+
     fresh = F.transform(
         F.col("found"),
         lambda _, i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["new"]), ""),
     )
-    mixed = F.array_join(F.transform(F.arrays_zip("gaps", "fresh"), lambda x: F.concat(x["gaps"], F.coalesce(x["fresh"], F.lit("")))), "")
+    mixed = F.array_join(F.transform(F.arrays_zip("gaps", "fresh"), lambda x: F.concat(renamed(x["gaps"]), F.coalesce(x["fresh"], F.lit("")))), "")
     kinds = F.transform(
         F.col("found"),
-        lambda _, i: F.regexp_replace(F.filter("parts", lambda p: (p["pos"] == i) & (p["kind"] != "stays"))[0]["kind"], "^(given-.|family)$", "name"),
+        lambda _, i: F.regexp_replace(
+            F.regexp_replace(F.filter("parts", lambda p: (p["pos"] == i) & (p["kind"] != "stays"))[0]["kind"], "^(given-.|family)$", "name"),
+            "^(local|domain)$",
+            "email",
+        ),
     )
     walked = F.aggregate(
         F.arrays_zip("gaps", "found", "kinds"),
@@ -239,10 +279,9 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         lambda acc: F.array_join(acc["out"], ","),
     )
     having = (
-        rows.filter(has)
-        .join(new_parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
-        .select("doc_id", "text", "parts", gaps.alias("gaps"), found.alias("found"))
-        .select("doc_id", "gaps", "found", fresh.alias("fresh"), kinds.alias("kinds"))
+        hits.join(new_parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
+        .select("doc_id", "gaps", "found", "parts", F.array_distinct(names).alias("names"))
+        .select("doc_id", "gaps", "found", "names", fresh.alias("fresh"), kinds.alias("kinds"))
         .select("doc_id", mixed.alias("text"), F.size("found").cast("bigint").alias("n_entities"), walked.alias("spans"))
     )
     return without.unionByName(having)
