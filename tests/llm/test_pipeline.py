@@ -72,3 +72,30 @@ def test_registered():
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_planted_copies_are_caught_by_the_whole_pipeline(spark, tmp_path):
+    """Near copies on one line pass line dedup whole; one of each group is left, and exact copies keep one text."""
+    import random
+
+    rng = random.Random(3)
+    made, groups = [], {}
+    for g in range(12):
+        base = [rng.choice(cases.WORDS) + rng.choice(cases.WORDS) for _ in range(90)]
+        groups[g] = [100 * g + i for i in range(6)]
+        for i, doc_id in enumerate(groups[g]):
+            words = list(base)
+            if i:
+                words[rng.randrange(90)] = f"changed{i}"
+            text = " ".join(base if i == 5 else words)
+            made.append((doc_id, text, "en", "ab"[g % 2], len(text), "clash", "clash"))
+    spark.createDataFrame(made, SCHEMA + ", kept string, row string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*COLUMNS, "kept", "row"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for ids in groups.values():
+        assert [i for i in ids if texts.get(i)] == [ids[0]]
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {ids[0] for ids in groups.values()}
