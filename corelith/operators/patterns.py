@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corelith.functions import binomial
 from corelith.operators.cliques import list_cliques
-from corelith.operators.graph import degrees, symmetric
+from corelith.operators.graph import ball, degrees, induced, symmetric
+from corelith.plans.session import cut
 
 
 @dataclass(frozen=True)
@@ -135,6 +136,14 @@ def pattern_degrees(found: DataFrame, vertices: DataFrame | None = None) -> Data
     return vertices.join(deg, "id", "left").select("id", F.coalesce("pattern_degree", F.lit(0).cast("bigint")).alias("pattern_degree"))
 
 
+def instances_at(edges: DataFrame, pattern: Pattern, vertex: int) -> DataFrame:
+    """The instances that hold ``vertex``, matched in what lies within the pattern's diameter of it only."""
+    edges = cut(edges)
+    start = edges.sparkSession.createDataFrame([(vertex,)], "id bigint")
+    near = cut(induced(edges, ball(edges, start, pattern.diameter())))
+    return instances(near, pattern).filter(F.array_contains("members", vertex))
+
+
 def degrees_at(found: DataFrame, vertex: int) -> DataFrame:
     """(id, pattern_degree) of the instances that contain ``vertex``: what leaves with it."""
     return pattern_degrees(found.filter(F.array_contains("members", vertex)))
@@ -161,6 +170,21 @@ def tailed_triangle_count(edges: DataFrame) -> DataFrame:
     return corners.join(degrees(edges), "id").agg(*_total(F.col("degree") - 2))
 
 
+def tailed_triangle_degrees(edges: DataFrame) -> DataFrame:
+    """(id, pattern_degree): the tails of each triangle at its corners, and at the end of a tail the triangles that it hangs on."""
+    deg, triangles = degrees(edges), list_cliques(edges, 3)
+    tails = F.array(*[F.col("members")[i] for i in range(3)])
+    cornered = triangles.select(F.monotonically_increasing_id().alias("t"), tails.alias("all")).select("t", F.explode("all").alias("id"))
+    cornered = cut(cornered)
+    open_ends = cornered.join(deg, "id").groupBy("t").agg(F.sum(F.col("degree") - 2).alias("n"))
+    at_corners = cornered.join(open_ends, "t").select("id", "n")
+    held = cornered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("id", "u")
+    at_ends = symmetric(edges).join(held, "u").select(F.col("v").alias("id"), "n")
+    shared = codegrees(edges).select(F.explode(F.array("src", "dst")).alias("id"), (-F.col("codegree")).alias("n"))
+    parts = at_corners.unionByName(at_ends).unionByName(shared)
+    return parts.groupBy("id").agg(F.sum("n").alias("pattern_degree")).filter("pattern_degree > 0")
+
+
 def common_edge_triangles_count(edges: DataFrame, triangles: int) -> DataFrame:
     """Sum over edges of C(codegree, triangles): the 2-triangle and the 3-triangle."""
     return codegrees(edges).agg(*_total(binomial(F.col("codegree"), triangles)))
@@ -189,6 +213,26 @@ def basket_count(edges: DataFrame) -> DataFrame:
     return list_cliques(edges, 4).select(F.explode(sides).alias("e")).select("e.*").join(codegrees(edges), ["src", "dst"]).agg(*_total(F.col("codegree") - 2))
 
 
+def basket_degrees(edges: DataFrame) -> DataFrame:
+    """(id, pattern_degree): a 4-clique's members have all its baskets; an apex over an edge has the 4-cliques of the edge without itself."""
+    m, e = F.col("members"), ["src", "dst"]
+    four = cut(list_cliques(edges, 4).select(F.monotonically_increasing_id().alias("q"), "members"))
+    pair = lambda a, b: F.struct(m[a].alias("src"), m[b].alias("dst"))
+    sides = four.select("q", F.explode(F.array(*[pair(a, b) for b in range(4) for a in range(b)])).alias("e")).select("q", "e.*")
+    baskets = sides.join(codegrees(edges), e).groupBy("q").agg(F.sum(F.col("codegree") - 2).alias("n"))
+    inside = four.join(baskets, "q").select(F.explode("members").alias("id"), "n")
+    on_edge = sides.groupBy(*e).agg(F.count(F.lit(1)).alias("n"))
+    triple = lambda x, y, z: F.struct(m[x].alias("a"), m[y].alias("b"), m[z].alias("c"))
+    triples = four.select(F.explode(F.array(*[triple(*[i for i in range(4) if i != left]) for left in range(4)])).alias("t")).select("t.*")
+    within = triples.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+    apex = lambda a, b, c: F.struct(m[a].alias("src"), m[b].alias("dst"), m[c].alias("id"))
+    over = list_cliques(edges, 3).select(F.explode(F.array(apex(0, 1, 2), apex(0, 2, 1), apex(1, 2, 0))).alias("e")).select("e.*")
+    outside = over.join(on_edge, e).select("id", "n")
+    again = within.select(F.explode(F.array("a", "b", "c")).alias("id"), (-F.col("n")).alias("n"))
+    parts = inside.unionByName(outside).unionByName(again)
+    return parts.groupBy("id").agg(F.sum("n").alias("pattern_degree")).filter("pattern_degree > 0")
+
+
 def star_degrees(edges: DataFrame, s: int) -> DataFrame:
     """(id, pattern_degree): C(d, s) as the centre and C(d(u) - 1, s - 1) as a leaf of each neighbour u."""
     deg = degrees(edges)

@@ -42,7 +42,7 @@ def covered_edges(edges: DataFrame, cliques: DataFrame) -> DataFrame:
 def instance_components(instances: DataFrame) -> DataFrame:
     """(id, component) of the vertices that instances join; component is the smallest id."""
     m = F.col("members")
-    chain = instances.select(F.explode(F.slice(m, 2, 1000)).alias("dst"), m[0].alias("src"))
+    chain = instances.select(F.explode(F.slice(m, F.lit(2), F.size(m) - 1)).alias("dst"), m[0].alias("src"))
     return connected_components(chain)
 
 

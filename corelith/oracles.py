@@ -116,6 +116,31 @@ _BOUND_COLUMNS = """round(t / n, 6) as lower_density, round(k_max / 3, 6) as low
   round(pow(t::double, 2.0::double / 3) / pow(6.0::double, 1.0::double / 3), 6) as upper_cliques, round(squares / (9 * t), 6) as spread,
   round(n::double * (n - 1) / 2 * (n - 2) / 3 / n, 6) as upper_choose, round(1.0::double / (n * greatest(n - 1, 1)), 6) as gap"""
 _TAILED = "select coalesce(sum(d0.degree + d1.degree + d2.degree - 6), 0)::bigint as n_instances from tri join deg d0 on d0.id = v0 join deg d1 on d1.id = v1 join deg d2 on d2.id = v2"
+_TAILED_DEGREES = """corner as (
+  select unnest([v0, v1, v2]) as id, d0.degree + d1.degree + d2.degree - 6 as n
+  from tri join deg d0 on d0.id = v0 join deg d1 on d1.id = v1 join deg d2 on d2.id = v2),
+held as (select id, count(*) as n from corner group by id),
+tailed as (
+  select id, sum(n)::bigint as pattern_degree from (
+    select id, n from corner union all select a.v, h.n from adj a join held h on h.id = a.u
+    union all select src, -codegree from co union all select dst, -codegree from co) x group by id having sum(n) > 0)"""
+_BASKET_DEGREES = """q as (select row_number() over (order by v0, v1, v2, v3) as q, * from four),
+six as (
+  select q, v0 as src, v1 as dst from q union all select q, v0, v2 from q union all select q, v0, v3 from q
+  union all select q, v1, v2 from q union all select q, v1, v3 from q union all select q, v2, v3 from q),
+inside as (select q, sum(codegree - 2) as n from six join co using (src, dst) group by q),
+ek as (select src, dst, count(*) as n from six group by 1, 2),
+tk as (
+  select a, b, c, count(*) as n from (
+    select v0 as a, v1 as b, v2 as c from four union all select v0, v1, v3 from four
+    union all select v0, v2, v3 from four union all select v1, v2, v3 from four) x group by 1, 2, 3),
+over_edge as (
+  select v2 as id, n from tri join ek on src = v0 and dst = v1 union all select v1, n from tri join ek on src = v0 and dst = v2
+  union all select v0, n from tri join ek on src = v1 and dst = v2),
+basket as (
+  select id, sum(n)::bigint as pattern_degree from (
+    select unnest([v0, v1, v2, v3]) as id, n from q join inside using (q) union all select id, n from over_edge
+    union all select unnest([a, b, c]), -n from tk) x group by id having sum(n) > 0)"""
 _WEDGE = "wedge as (select a.v as x, b.v as y, count(*) as n from adj a join adj b on a.u = b.u where a.v < b.v group by 1, 2)"
 _CYCLES = """cyc as (
   select a.u as x, a.v as p, c.v as y, b.v as q from adj a join adj b on a.u = b.u and a.v < b.v
@@ -188,6 +213,13 @@ ORACLES: dict[str, str] = {
     "triangle_degree_drop": _with(CLICK, TRI)
     + "select id, count(*) as pattern_degree from (select unnest([v0, v1, v2]) as id from tri where v0 = (select min(src) from e)) group by id",
     "pattern_tailed_triangle": _with(CLICK, ADJ, DEG, TRI) + _TAILED,
+    "pattern_tailed_triangle_degrees": _with(CLICK, ADJ, DEG, TRI, CO, _TAILED_DEGREES) + "select id, pattern_degree from tailed",
+    "pattern_tailed_triangle_at_smallest": _with(CLICK, ADJ, DEG, TRI, CO, _TAILED_DEGREES)
+    + "select coalesce(sum(pattern_degree), 0)::bigint as n_instances from tailed where id = (select min(src) from e)",
+    "pattern_basket_degrees": _with(CLICK, TRI, CO, FOUR, _BASKET_DEGREES) + "select id, pattern_degree from basket",
+    "pattern_three_triangle_degrees": _with(CLICK, TRI, CO, _SIDE)
+    + f"select id, sum(n)::bigint as pattern_degree from (select src as id, {_choose('codegree', 3)} as n from co union all select dst, {_choose('codegree', 3)} from co"
+    + f" union all select x, {_choose('(codegree - 1)', 2)} from side join co on src = a and dst = b) y group by id having sum(n) > 0",
     "pattern_two_triangle": _with(CLICK, TRI, CO) + f"select coalesce(sum({_choose('codegree', 2)}), 0)::bigint as n_instances from co",
     "pattern_three_triangle": _with(CLICK, TRI, CO) + f"select coalesce(sum({_choose('codegree', 3)}), 0)::bigint as n_instances from co",
     "pattern_two_triangle_degrees": _with(CLICK, TRI, _SIDE)

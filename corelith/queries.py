@@ -163,6 +163,13 @@ def degree_drop(edges: DataFrame) -> DataFrame:
     return patterns.degrees_at(triangles, smallest)
 
 
+def tailed_at_smallest(edges: DataFrame) -> DataFrame:
+    """How many tailed triangles the smallest vertex is in, from those around it alone."""
+    edges = cut(edges)
+    found = patterns.instances_at(edges, patterns.PATTERNS["tailed-triangle"], smallest_vertex(edges).first()[0])
+    return found.agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
+
+
 def clique_cores(edges: DataFrame, k: int) -> DataFrame:
     return cores.instance_core_numbers(cliques.incidence(cliques.identified(cliques.list_cliques(edges, k))))
 
@@ -297,6 +304,10 @@ QUERIES: dict[str, Query] = {
     "triangle_degree_drop": on(click, degree_drop),
     # patterns
     "pattern_tailed_triangle": on(click, patterns.tailed_triangle_count),
+    "pattern_tailed_triangle_degrees": on(click, patterns.tailed_triangle_degrees),
+    "pattern_basket_degrees": on(click, patterns.basket_degrees),
+    "pattern_three_triangle_degrees": on(click, lambda e: patterns.common_edge_triangles_degrees(e, 3)),
+    "pattern_tailed_triangle_at_smallest": on(click, tailed_at_smallest),
     "pattern_two_triangle": on(click, lambda e: patterns.common_edge_triangles_count(e, 2)),
     "pattern_three_triangle": on(click, lambda e: patterns.common_edge_triangles_count(e, 3)),
     "pattern_two_triangle_degrees": on(click, lambda e: patterns.common_edge_triangles_degrees(e, 2)),

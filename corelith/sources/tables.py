@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corelith.operators.graph import canonical_edges
+from corelith.plans.session import cut, partitions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def next_user_edges(spark: SparkSession, sf_dir: str, event_type: str | None = "click") -> DataFrame:
     """Users of consecutive events, in the order of event ids.
 
-    A global order needs each event's successor. Events are range-partitioned by id and linked inside a
-    partition; the last event of a partition meets the first of the next one that has any.
+    A global order needs each event's successor; see ``consecutive_edges``.
     """
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     if event_type is not None:
@@ -27,15 +27,20 @@ def next_user_edges(spark: SparkSession, sf_dir: str, event_type: str | None = "
 def consecutive_edges(steps: DataFrame, span: int = 100_000) -> DataFrame:
     """Edges between the ids of consecutive rows of (at, id), at being unique.
 
-    Rows are linked within blocks of ``span`` values of ``at``; one row for each block links the blocks.
+    Rows are linked within blocks of ``span`` values of ``at``; the first and last rows of blocks are range-partitioned
+    and linked within a partition, and one row for each partition links the partitions.
     """
     block = F.floor(F.col("at") / span)
     steps = steps.withColumn("block", block)
     inside = Window.partitionBy("block").orderBy("at")
     linked = steps.select("id", F.lead("id").over(inside).alias("next"))
     ends = steps.groupBy("block").agg(F.min_by("id", "at").alias("first"), F.max_by("id", "at").alias("last"))
-    between = ends.select(F.col("last").alias("id"), F.lead("first").over(Window.orderBy("block")).alias("next"))
-    return canonical_edges(linked.unionByName(between), "id", "next")
+    parted = cut(ends.repartitionByRange(partitions(steps.sparkSession), "block").withColumn("part", F.spark_partition_id()))
+    beside = Window.partitionBy("part").orderBy("block")
+    between = parted.select(F.col("last").alias("id"), F.lead("first").over(beside).alias("next"))
+    outer = parted.groupBy("part").agg(F.min_by("first", "block").alias("first"), F.max_by("last", "block").alias("last"))
+    across = outer.select(F.col("last").alias("id"), F.lead("first").over(Window.orderBy("part")).alias("next"))
+    return canonical_edges(linked.unionByName(between).unionByName(across), "id", "next")
 
 
 def bought_together_edges(spark: SparkSession, sf_dir: str, order_step: int = 1, least_orders: int = 1) -> DataFrame:

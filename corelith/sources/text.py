@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corelith.operators.graph import canonical_edges, dense_ids, side_by_side, sorted_adjacency, vertices_of
 from corelith.operators.patterns import Pattern
+from corelith.plans.session import cut
 
 log = logging.getLogger(__name__)
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
-    """(line, f): the first line's text is ``line`` of the first row read from the file's start."""
+    """(line): the lines that are not blank, with single blanks between their fields."""
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")).filter("line <> ''")
 
 
@@ -57,12 +58,19 @@ def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(edges, vertices) of a file with one row of 0 and 1 a line; rows count from 0 in the order of the file.
 
-    A line holds the whole row, so files are small and are numbered in one task.
+    Lines are numbered within each split of the file; one row for each split says where it starts.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim(F.regexp_replace("value", r"[\[\],]+", " "), F.lit(" \r\n\t")), r"\s*\n\s*")).alias("src", "line"))
-    cells = rows.select(F.col("src").cast("bigint").alias("src"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("dst", "bit"))
-    edges = canonical_edges(cells.filter("bit not in ('0', '')").select("src", F.col("dst").cast("bigint").alias("dst")))
-    return edges, vertices_of(edges, rows.select(F.col("src").cast("bigint").alias("id")))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    bare = F.btrim(F.regexp_replace("value", r"[\[\],\s]+", " "))
+    lines = cut(spark.read.text(path).select(bare.alias("line"), *split, F.monotonically_increasing_id().alias("at")).filter("line <> ''"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("file", "start").orderBy("at")
+    rows = lines.withColumn("nth", F.row_number().over(inside) - 1).join(starts.drop("n"), ["file", "start"])
+    rows = rows.select((F.col("first") + F.col("nth")).cast("bigint").alias("src"), "line")
+    cells = rows.select("src", F.posexplode(F.split("line", " ")).alias("dst", "bit"))
+    edges = canonical_edges(cells.filter("bit <> '0'").select("src", F.col("dst").cast("bigint").alias("dst")))
+    return edges, vertices_of(edges, rows.select(F.col("src").alias("id")))
 
 
 def read_pattern(lines: str) -> Pattern:

@@ -144,6 +144,26 @@ def test_closed_forms_agree_with_the_matcher(spark):
     assert pairs(patterns.common_edge_triangles_degrees(edges, 3)) == degree("3-triangle")
     assert pairs(patterns.four_cycle_degrees(edges)) == degree("4-cycle")
     assert {p for p in pairs(patterns.star_degrees(edges, 3)) if p[1]} == degree("3-star")
+    assert pairs(patterns.tailed_triangle_degrees(edges)) == degree("tailed-triangle")
+    assert pairs(patterns.basket_degrees(edges)) == degree("basket")
+
+
+@pytest.mark.parametrize("name", ["tailed-triangle", "4-cycle", "4-path"])
+def test_instances_of_one_vertex(spark, name):
+    edges = random_edges(5, 10, 0.35)
+    pattern = patterns.PATTERNS[name]
+    expected = {group: n for group, n in R.pattern_instances(edges, pattern.size, pattern.edges).items() if 2 in group}
+    got = {tuple(r["members"]): r["mult"] for r in patterns.instances_at(frame(spark, edges), pattern, 2).collect()}
+    assert got == expected
+
+
+def test_components_of_hubs_and_chains(spark):
+    """A hub of many leaves at either end of the order, and a chain, with few rows to a slice."""
+    edges = [(0, i) for i in range(1, 900)] + [(i, 5000) for i in range(1000, 1900)] + [(i, i + 1) for i in range(6000, 6100)]
+    got = dict(pairs(components.connected_components(frame(spark, edges))))
+    assert {got[i] for i in range(900)} == {0}
+    assert {got[i] for i in [*range(1000, 1900), 5000]} == {1000}
+    assert {got[i] for i in range(6000, 6101)} == {6000}
 
 
 def test_pattern_symmetry():
