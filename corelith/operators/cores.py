@@ -23,15 +23,21 @@ def _h_step(worths: DataFrame) -> DataFrame:
     return counted.withColumn("upto", F.sum("n").over(down)).groupBy("id").agg(h_value(F.col("worth"), F.col("upto")).alias("h"))
 
 
+#: Steps between two checkpoints; more make the plan longer and save jobs.
+STEPS = 2
+
+
 def _settle(start: DataFrame, step, max_rounds: int) -> DataFrame:
-    """Repeats ``step`` until the sum of values stays; values never grow, so an equal sum means equal values."""
+    """Repeats ``STEPS`` steps until the sum of values stays; values never grow, so an equal sum means equal values."""
     now, total = cut(start), None
     for _ in range(max_rounds):
         found = now.agg(F.coalesce(F.sum("h"), F.lit(0))).first()[0]
         if found == total:
             return now
         total = found
-        now = cut(step(now))
+        for _ in range(STEPS):
+            now = step(now)
+        now = cut(now)
     raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
