@@ -65,3 +65,18 @@ def test_consecutive_edges_across_blocks(spark):
     expected = {(min(a, b), max(a, b)) for a, b in zip(ids, ids[1:], strict=False) if a != b}
     for span in (1, 10, 1000):
         assert pairs(tables.consecutive_edges(steps, span)) == expected
+
+
+def test_a_run_over_a_file(spark, tmp_path, caplog):
+    from corelith.__main__ import run
+
+    lines = ["7"] + [" ".join(map(str, [v, *[w for w in range(5) if w != v]])) for v in range(5)] + ["5 4 6", "6 5"]
+    (tmp_path / "graph.txt").write_text("\n".join(lines))
+    with caplog.at_level("INFO"):
+        got = run(spark, str(tmp_path / "graph.txt"), out=str(tmp_path / "out"))
+    assert got["graph"] == {"n_vertices": 7, "n_edges": 12, "max_degree": 5}
+    assert got["answer"] == {"density": 2.0, "numer": 10, "denom": 5, "members": 5, "exact": True}
+    assert got["figures"]["n_instances"] == 10 and got["figures"]["k_max"] == 6
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0", "1", "2", "3", "4"]
+    assert {"read", "instances", "cores", "search", "total"} <= set(got["seconds"])
+    assert "search" in caplog.text
