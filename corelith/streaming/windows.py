@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelith.plans.densest import densest_subgraph
+from corelith.operators.exact import solve_components
+from corelith.operators.graph import canonical_edges
+from corelith.operators.prune import instance_components
+from corelith.plans.densest import find_instances
+from corelith.plans.session import cut, ship
 
 
 def window_edges(stream: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -23,11 +27,21 @@ def window_edges(stream: DataFrame, length: str = "1 hour", late: str = "10 minu
 def densest_by_window(edges: DataFrame, pattern: int | str = 3) -> DataFrame:
     """(window_start, numer, denom) for each window of a finished batch; made for foreachBatch.
 
-    A batch holds a handful of windows; each is one densest-subgraph query.
+    All windows are one graph, in which a vertex of two windows is two vertices, so they are solved together; a window
+    takes the union of its components of highest density.
     """
-    spark = edges.sparkSession
-    rows = []
-    for (start,) in edges.select("window_start").distinct().orderBy("window_start").collect():
-        best = densest_subgraph(edges.filter(F.col("window_start") == F.lit(start)).select("src", "dst"), pattern)
-        rows.append((start, best.numer, best.denom))
-    return spark.createDataFrame(rows, "window_start timestamp, numer bigint, denom bigint")
+    ship(edges.sparkSession)
+    ids = edges.select("window_start", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    numbered = cut(ids.withColumn("v", F.monotonically_increasing_id()))
+    by = lambda end: numbered.select("window_start", F.col("id").alias(end), F.col("v").alias(f"v_{end}"))
+    moved = edges.join(by("src"), ["window_start", "src"]).join(by("dst"), ["window_start", "dst"])
+    found = cut(find_instances(canonical_edges(moved, "v_src", "v_dst"), pattern))
+    components = cut(instance_components(found))
+    solved = solve_components(found, components, (0, 0), None)
+    sets = solved.join(numbered.select(F.col("v").alias("id"), "window_start"), "id")
+    sets = cut(sets.select("window_start", "component", "numer", "denom").distinct())
+    top = F.max_by(F.struct("numer", "denom"), F.col("numer") / F.col("denom")).alias("top")
+    best = sets.join(sets.groupBy("window_start").agg(top), "window_start").filter(F.col("numer") * F.col("top.denom") == F.col("denom") * F.col("top.numer"))
+    sums = best.groupBy("window_start").agg(F.sum("numer").alias("numer"), F.sum("denom").alias("denom"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return edges.select("window_start").distinct().join(sums, "window_start", "left").select("window_start", none("numer"), none("denom"))
