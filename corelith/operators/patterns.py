@@ -152,11 +152,12 @@ def degrees_at(found: DataFrame, vertex: int) -> DataFrame:
 # Closed forms. None of them builds instances.
 
 
-def codegrees(edges: DataFrame) -> DataFrame:
-    """(src, dst, codegree): common neighbours of the ends of every edge."""
+def codegrees(edges: DataFrame, triangles: DataFrame | None = None) -> DataFrame:
+    """(src, dst, codegree): common neighbours of the ends of every edge; ``triangles`` where they are listed already."""
     m = F.col("members")
+    triangles = list_cliques(edges, 3) if triangles is None else triangles
     sides = F.array(*[F.struct(m[a].alias("src"), m[b].alias("dst")) for a, b in ((0, 1), (0, 2), (1, 2))])
-    counted = list_cliques(edges, 3).select(F.explode(sides).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("n"))
+    counted = triangles.select(F.explode(sides).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("n"))
     return edges.join(counted, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0).cast("bigint")).alias("codegree"))
 
 
@@ -172,15 +173,14 @@ def tailed_triangle_count(edges: DataFrame) -> DataFrame:
 
 def tailed_triangle_degrees(edges: DataFrame) -> DataFrame:
     """(id, pattern_degree): the tails of each triangle at its corners, and at the end of a tail the triangles that it hangs on."""
-    deg, triangles = degrees(edges), list_cliques(edges, 3)
-    tails = F.array(*[F.col("members")[i] for i in range(3)])
-    cornered = triangles.select(F.monotonically_increasing_id().alias("t"), tails.alias("all")).select("t", F.explode("all").alias("id"))
-    cornered = cut(cornered)
+    deg = degrees(edges)
+    listed = cut(list_cliques(edges, 3).select(F.monotonically_increasing_id().alias("t"), "members"))
+    cornered = listed.select("t", F.explode("members").alias("id"))
     open_ends = cornered.join(deg, "id").groupBy("t").agg(F.sum(F.col("degree") - 2).alias("n"))
     at_corners = cornered.join(open_ends, "t").select("id", "n")
     held = cornered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("id", "u")
     at_ends = symmetric(edges).join(held, "u").select(F.col("v").alias("id"), "n")
-    shared = codegrees(edges).select(F.explode(F.array("src", "dst")).alias("id"), (-F.col("codegree")).alias("n"))
+    shared = codegrees(edges, listed).select(F.explode(F.array("src", "dst")).alias("id"), (-F.col("codegree")).alias("n"))
     parts = at_corners.unionByName(at_ends).unionByName(shared)
     return parts.groupBy("id").agg(F.sum("n").alias("pattern_degree")).filter("pattern_degree > 0")
 
@@ -193,12 +193,12 @@ def common_edge_triangles_count(edges: DataFrame, triangles: int) -> DataFrame:
 def common_edge_triangles_degrees(edges: DataFrame, triangles: int) -> DataFrame:
     """(id, pattern_degree): C(c, s) for the ends of an edge of codegree c, C(c - 1, s - 1) for each apex of it."""
     m = F.col("members")
-    co = codegrees(edges)
+    listed = cut(list_cliques(edges, 3))
+    co = codegrees(edges, listed)
     ends = co.select(F.explode(F.array("src", "dst")).alias("id"), binomial(F.col("codegree"), triangles).alias("n"))
     sides = F.array(*[F.struct(m[a].alias("src"), m[b].alias("dst"), m[c].alias("id")) for a, b, c in ((0, 1, 2), (0, 2, 1), (1, 2, 0))])
     apexes = (
-        list_cliques(edges, 3)
-        .select(F.explode(sides).alias("e"))
+        listed.select(F.explode(sides).alias("e"))
         .select("e.*")
         .join(co, ["src", "dst"])
         .select("id", binomial(F.col("codegree") - 1, triangles - 1).alias("n"))

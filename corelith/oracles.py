@@ -203,6 +203,8 @@ ORACLES: dict[str, str] = {
     + """select count(*) as n_cliques from four f join e a on a.src = f.v0 join e b on b.src = f.v1 and b.dst = a.dst
   join e c on c.src = f.v2 and c.dst = a.dst join e d on d.src = f.v3 and d.dst = a.dst""",
     "triangle_count": _with(PARTS, TRI) + "select count(*) as n_cliques from tri",
+    "follow_triangle_count": _with(FOLLOW, TRI) + "select count(*) as n_cliques from tri",
+    "follow_core_numbers": _with(FOLLOW, _instances(2), _cores(80), recursive=True) + "select id, core from core",
     "four_clique_count": _with(CLICK, TRI, FOUR) + "select count(*) as n_cliques from four",
     "triangle_degrees": _with(PARTS, TRI) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2]) as id from tri) group by id",
     "four_clique_degrees": _with(CLICK, TRI, FOUR) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2, v3]) as id from four) group by id",

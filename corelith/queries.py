@@ -294,6 +294,8 @@ QUERIES: dict[str, Query] = {
     "four_cliques": on(click, lambda e: as_columns(cliques.list_cliques(e, 4), 4)),
     "five_clique_count": on(click, lambda e: cliques.count_cliques(e, 5)),
     "triangle_count": on(parts, lambda e: cliques.count_cliques(e, 3)),
+    "follow_triangle_count": on(follow, lambda e: cliques.count_cliques(e, 3)),
+    "follow_core_numbers": on(follow, cores.core_numbers),
     "four_clique_count": on(click, lambda e: cliques.count_cliques(e, 4)),
     "triangle_degrees": on(parts, lambda e: cliques.clique_degrees(e, 3)),
     "four_clique_degrees": on(click, lambda e: cliques.clique_degrees(e, 4)),
