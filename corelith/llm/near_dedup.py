@@ -45,7 +45,7 @@ PERCENT = 75
 MISS = 1e-6
 #: Groups of up to so many members are paired across components at once: groups by a rare hash alone, and groups
 #: by a hash that sets apart from what is common, where few of the pairs pass the bounds.
-FEW, FEW_APART = 16, 256
+FEW, FEW_APART = 8, 256
 #: Members of a group whose common shingles stand for those of the group.
 SAMPLED = 9
 #: Times that a group of many members is split before its pairs are compared by their differences.
