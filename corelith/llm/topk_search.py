@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from corelith.plans.session import cut
 
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 1024
+SHARD_ROWS = 4096
+BLOCK_ROWS = 2048
 SAMPLE_ROWS = 512
 PROBE = 8
 FOUND = "query_id bigint, vec_id bigint, score bigint"
