@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelith.plans.session import partitions, ship
+from corelith.plans.session import cut, partitions, ship
 
 #: The white space that separates words and that normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -78,6 +78,37 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     )
 
 
+#: Starts of more stretches than this are joined by a shuffle instead of a broadcast.
+FEW_STARTS = 100_000
+
+
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank``, numbers from 0 without gaps in this order in each group, and ``group_rows``, a group's size.
+
+    Rows are range-partitioned and sorted by the group and the order; each partition's rows of a group start where the
+    partitions before it end, so a large group is spread over many tasks. Rows are written out once sorted. The group
+    column must not be null.
+    """
+    spark = rows.sparkSession
+    by = [F.col(group), *order]
+    in_order = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    laid = cut(in_order.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")))
+    before = Window.partitionBy("__group").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = laid.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__in")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    starts = cut(
+        stretches.select(
+            "__group",
+            "__in",
+            (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+            F.sum("__n").over(Window.partitionBy("__group")).alias("group_rows"),
+        )
+    )
+    few = F.broadcast(starts) if starts.count() <= FEW_STARTS else starts
+    joined = laid.join(few, (F.col(group) == F.col("__group")) & (F.col("__part") == F.col("__in")))
+    return joined.select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("rank"), "group_rows")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], *columns: str, rows: int = 128) -> Iterator[list[list]]:
     """The named columns as Python lists, a few rows at a time, so that a worker holds few texts at once."""
     for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelith.llm import exact_dedup, html_extract, language, line_dedup, mixing, near_dedup, packing, pii, secrets, topk_search
+from corelith.llm import bpe, exact_dedup, html_extract, language, line_dedup, merkle, mixing, near_dedup, packing, pii, resampling, secrets, topk_search
 from corelith.llm.common import table
 
 
@@ -69,6 +69,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    n_tokens = F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens")
+    return made.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_pack": op2_pack,
@@ -80,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_bpe": op12_bpe,
+    "op13_merkle": op13_merkle,
 }
