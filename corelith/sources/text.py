@@ -25,20 +25,23 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, vertices) of one adjacency-list file.
+    """(edges, vertices) of an adjacency-list file, or of a folder whose files in the order of their names make up one.
 
-    The header is the file's first line, fetched by itself; the lines that look like it are told from it by their
-    place: a body line "n m" with the same text would say that n and m are neighbours, and vertex n does not exist.
+    The header is the first line of the first file, wherever Spark reads it: splits are compared by file and offset, as
+    large files and splits are read first. That line alone is left out, even if a body line has the same text.
     """
-    lines = _fields(spark, path)
-    header = spark.read.text(path).filter(F.trim("value") != "").first()  # the first line of the first split
-    if header is None:
+    bare = F.trim(F.regexp_replace("value", r"\s+", " "))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(bare.alias("line"), place.alias("place")).filter("line <> ''")
+    first = lines.agg(F.min(F.struct("place", "line")).alias("first")).first()["first"]
+    if first is None:
         empty = spark.createDataFrame([], "src bigint, dst bigint")
         return empty, vertices_of(empty)
-    head = header[0].split()
+    head, at = first["line"].split(), first["place"]
     n = int(head[0])
     numbers = F.transform(F.split("line", " "), lambda x: x.cast("bigint"))
-    body = lines.filter(F.col("line") != " ".join(head)).select(numbers.alias("f"))
+    own = (F.col("place.file") == at["file"]) & (F.col("place.start") == at["start"]) & (F.col("place.at") == at["at"])
+    body = lines.filter(~own).select(numbers.alias("f"))
     raw = body.select(F.col("f")[0].alias("src"), F.explode(F.slice("f", 2, 2_000_000_000)).alias("dst"))
     edges = canonical_edges(raw)
     vertices = vertices_of(edges, spark.range(n).unionByName(body.select(F.col("f")[0].alias("id"))))

@@ -20,6 +20,42 @@ def test_adjacency_list(spark, tmp_path, head):
     assert pairs(vertices) == {(0,), (1,), (2,), (3,), (4,)}
 
 
+def test_adjacency_of_several_files(spark, tmp_path):
+    """The last file is the largest and is read first; a body line has the header's text."""
+    (tmp_path / "graph").mkdir()
+    names = ["part-00000", "part-00001", "part-00002"]
+    texts = ["\n7 6\n0 1", "1 0 2\n2 1 3", "".join(f"3 2 4{' ' * 500}\n" for _ in range(40)) + "7 6\n6 7\n4 3 5\n5 4\n"]
+    for name, text_of in zip(names, texts, strict=True):
+        (tmp_path / "graph" / name).write_text(text_of)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            edges, vertices = text.read_adjacency(spark, str(tmp_path / "graph"))
+            assert pairs(edges) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, 7)}
+            assert pairs(vertices) == {(v,) for v in range(8)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_round_trip_of_skewed_files(spark, tmp_path, caplog):
+    """A hub's line makes one of many files far larger than the first."""
+    hub = [(400, v) for v in range(400)] + [(v, v + 1) for v in range(0, 390, 3)]
+    edges = graph.canonical_edges(spark.createDataFrame(hub, "src bigint, dst bigint"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        text.write_adjacency(edges, graph.vertices_of(edges), str(tmp_path / "out"))
+        assert len(list((tmp_path / "out").glob("part-*"))) > 2
+        again, ids = text.read_adjacency(spark, str(tmp_path / "out"))
+        assert pairs(again) == pairs(edges)
+        assert pairs(ids) == {(v,) for v in range(401)}
+        assert not caplog.records
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def test_empty_file(spark, tmp_path):
     path = tmp_path / "none.txt"
     path.write_text("")
