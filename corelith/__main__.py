@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+from corelith.operators.approx import members_within
 from corelith.operators.cliques import incidence
-from corelith.operators.cores import instance_core_numbers
 from corelith.operators.graph import graph_counts
-from corelith.plans.densest import densest_subgraph, find_instances, report
+from corelith.plans.densest import densest_of, find_instances
 from corelith.plans.session import cut, ship
 from corelith.sources import text
 
@@ -36,15 +36,14 @@ def run(spark: SparkSession, path: str, form: str = "adjacency", pattern: int |
     began = time.time()
     edges, vertices = timed("read", lambda: tuple(map(cut, READERS[form](spark, path))))
     counts = timed("counts", lambda: graph_counts(edges, vertices).first().asDict())
-    found = timed("instances", lambda: cut(find_instances(edges, pattern)))
-    timed("cores", lambda: cut(instance_core_numbers(incidence(found))))
-    figures = timed("report", lambda: report(edges, pattern).first().asDict())
-    best = timed("search", lambda: densest_subgraph(edges, pattern, method))
+    found = timed("instances", lambda: find_instances(edges, pattern))
+    best = densest_of(found, method, stage=timed)
     members = timed("members", lambda: best.members.count())
     if out is not None:
         timed("write", lambda: best.members.orderBy("id").selectExpr("cast(id as string) as value").write.text(out))
     seconds["total"] = round(time.time() - began, 3)
-    answer = {"density": best.density, "numer": best.numer, "denom": best.denom, "members": members, "exact": best.exact}
+    answer = {"density": best.density, "numer": best.numer, "denom": best.denom, "members": members, "exact": best.exact, "gap": best.gap}
+    figures = {"n_instances": members_within(found, incidence(found)).first()["n_instances"], **best.core}
     return {"graph": counts, "figures": figures, "answer": answer, "seconds": seconds}
 
 

@@ -1,6 +1,6 @@
-"""Exact densest sets by Dinkelbach's iteration over integer minimum cuts, one component at a time.
+"""Exact densest sets of small components by Dinkelbach's iteration over integer minimum cuts, many components side by side.
 
-A component is searched in one task: the instances that pruning leaves have to fit there, and a limit says how many do.
+A component is searched in one task, so its instances have to fit there; ``balance`` finds the densest sets of larger ones.
 For a density p / q the best gain q * t(S) - p * |S| is a minimum cut: source to instance (q * mult), instance to its members
 (unbounded), vertex to sink (p). As long as the gain is positive, the set found is denser. At the optimum the
 largest set without loss is the union of all densest sets, so the answer does not depend on the order of anything.
@@ -13,10 +13,9 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corelith.operators.prune import with_component
-from corelith.plans.session import cut, ship
+from corelith.plans.session import ship
 
 SOLVED = "component bigint, id bigint, numer bigint, denom bigint, exact boolean"
 
@@ -134,23 +133,10 @@ def densest_set(
         density, seen = found, [ids[v] for v in chosen]
 
 
-def solve_components(
-    instances: DataFrame,
-    components: DataFrame,
-    start: tuple[int, int] = (0, 0),
-    most_instances: int | None = 2_000_000,
-    most_cuts: int | None = None,
-) -> DataFrame:
-    """Rows of ``SOLVED``: the members of each component's densest set that reaches the density ``start``.
-
-    A component of more instances is returned whole, with ``exact`` false: its density is a lower bound. With
-    ``most_instances`` None every component is solved.
-    """
+def solve_components(instances: DataFrame, components: DataFrame, start: tuple[int, int] = (0, 0), most_cuts: int | None = None) -> DataFrame:
+    """Rows of ``SOLVED``: the members of each component's densest set that reaches the density ``start``."""
     ship(instances.sparkSession)
     held = with_component(instances, components)
-    if most_instances is not None:
-        sizes = held.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("mult").alias("t"))
-        sizes = cut(sizes.join(components.groupBy("component").agg(F.count(F.lit(1)).alias("s")), "component"))
     floor = Fraction(*start) if start[1] else Fraction(0)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -161,11 +147,4 @@ def solve_components(
             {"component": group["component"].iloc[0], "id": pd.Series(chosen, dtype="int64"), "numer": int(held_now), "denom": len(chosen), "exact": certain}
         )
 
-    small = held if most_instances is None else held.join(sizes.filter(F.col("rows") <= most_instances).select("component"), "component", "left_semi")
-    solved = small.select("component", "members", "mult").groupBy("component").applyInPandas(solve, SOLVED)
-    if most_instances is None:
-        return solved
-    large = components.join(sizes.filter(F.col("rows") > most_instances), "component").select(
-        "component", "id", F.col("t").alias("numer"), F.col("s").alias("denom"), F.lit(False).alias("exact")
-    )
-    return solved.unionByName(large)
+    return held.select("component", "members", "mult").groupBy("component").applyInPandas(solve, SOLVED)

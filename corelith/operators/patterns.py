@@ -245,7 +245,7 @@ def star_count(edges: DataFrame, s: int) -> DataFrame:
     return degrees(edges).agg(*_total(binomial(F.col("degree"), s)))
 
 
-def _wedges(edges: DataFrame) -> DataFrame:
+def ranked_wedges(edges: DataFrame) -> DataFrame:
     """(x, u, y): paths x - u - y whose end x ranks above u and y by (degree, id).
 
     A 4-cycle has one vertex of highest rank and is seen from there only. A middle vertex has few neighbours above it, so
@@ -261,7 +261,7 @@ def _wedges(edges: DataFrame) -> DataFrame:
 
 def four_cycle_degrees(edges: DataFrame) -> DataFrame:
     """(id, pattern_degree): with n paths between x and y, C(n, 2) cycles at x and y, n - 1 of them at each middle."""
-    paths = _wedges(edges)
+    paths = ranked_wedges(edges)
     between = paths.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     ends = between.select(F.explode(F.array("x", "y")).alias("id"), binomial(F.col("n"), 2).alias("c"))
     middles = paths.join(between, ["x", "y"]).select(F.col("u").alias("id"), (F.col("n") - 1).alias("c"))
@@ -269,4 +269,4 @@ def four_cycle_degrees(edges: DataFrame) -> DataFrame:
 
 
 def four_cycle_count(edges: DataFrame) -> DataFrame:
-    return _wedges(edges).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).agg(*_total(binomial(F.col("n"), 2)))
+    return ranked_wedges(edges).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).agg(*_total(binomial(F.col("n"), 2)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,21 +59,32 @@ def component_densities(instances: DataFrame, components: DataFrame) -> DataFram
     return size.join(held, "component")
 
 
-def prune_by_components(instances: DataFrame, cores: DataFrame, max_rounds: int = 50) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+def prune_by_components(instances: DataFrame, cores: DataFrame, threshold: int = 0, max_rounds: int = 50) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     """Repeats: find components, take the densest's density as the new threshold, keep that core.
 
-    Returns the instances left, their components, and the best density as (numer, denom).
+    ``threshold`` is the core that the instances are of already. Returns the instances left, their components, and the best density as
+    (numer, denom).
     """
-    threshold = 0
     for _ in range(max_rounds):
         components = cut(instance_components(instances))
-        best = component_densities(instances, components).orderBy((F.col("n_instances") / F.col("n_vertices")).desc()).first()
+        best = densest_row(component_densities(instances, components), "n_instances", "n_vertices")
         if best is None:
             return instances, components, (0, 0)
-        found = -(-best["n_instances"] // best["n_vertices"])
+        found = -(-best.numerator // best.denominator)
         if found <= threshold:
-            return instances, components, (best["n_instances"], best["n_vertices"])
+            return instances, components, (best.numerator, best.denominator)
         threshold = found
         instances = cut(within(instances, cores.filter(F.col("core") >= threshold)))
     raise RuntimeError(f"thresholds did not settle in {max_rounds} rounds")
 
+
+def densest_row(rows: DataFrame, numer: str = "numer", denom: str = "denom") -> Fraction | None:
+    """The highest density numer / denom of any row; doubles propose it, whole numbers decide."""
+    rows = cut(rows.select(F.col(numer).cast("decimal(19,0)").alias("a"), F.col(denom).cast("decimal(19,0)").alias("b")).distinct())
+    best, left = None, rows
+    while True:
+        top = left.agg(F.max_by(F.struct("a", "b"), F.col("a").cast("double") / F.col("b").cast("double")).alias("top")).first()["top"]
+        if top is None:
+            return best
+        best = Fraction(int(top["a"]), int(top["b"]))
+        left = rows.filter(F.col("a") * best.denominator > F.col("b") * best.numerator)

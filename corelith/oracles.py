@@ -20,6 +20,9 @@ TRI = "tri as (select a.src as v0, a.dst as v1, b.dst as v2 from e a join e b on
 FOUR = """four as (
   select t.v0, t.v1, t.v2, c.dst as v3 from tri t join e a on a.src = t.v0 join e b on b.src = t.v1 and b.dst = a.dst
   join e c on c.src = t.v2 and c.dst = a.dst)"""
+_FIVE = """five as (
+  select f.v0 from four f join e a on a.src = f.v0 join e b on b.src = f.v1 and b.dst = a.dst
+  join e c on c.src = f.v2 and c.dst = a.dst join e d on d.src = f.v3 and d.dst = a.dst)"""
 CO = """co as (
   select e.src, e.dst, count(t.v0) as codegree from e left join (
     select v0, v1 from tri union all select v0, v2 from tri union all select v1, v2 from tri) t on t.v0 = e.src and t.v1 = e.dst
@@ -83,7 +86,7 @@ ranked as (select id, row_number() over (order by load desc, id) as place from l
 ends as (select max(place) as place from inc join ranked using (id) group by cid),
 pre as (select r.place as s, count(e.place) as t from ranked r left join ends e on e.place <= r.place group by r.place),
 best as (select s, t from pre order by t / s desc, s desc limit 1)
-select id, t as numer, s as denom from ranked, best where place <= s"""
+select id, t as numer, s as denom, true as exact, 0.0::double as gap from ranked, best where place <= s"""
 
 
 #: trace: removing the vertex of smallest (residual degree, id) again and again.
@@ -168,6 +171,8 @@ ORACLES: dict[str, str] = {
     "source_adjacency_lines": _with(CLICK, ADJ) + "select u as id, u || ' ' || string_agg(v::varchar, ' ' order by v) as value from adj group by u",
     "file_adjacency_edges": _with(CLICK) + "select src, dst from e",
     "file_adjacency_vertices": _with(CLICK) + "select unnest(range((select max(dst) + 1 from e))) as id",
+    "file_adjacency_edges_parts": _with(PARTS) + "select src, dst from e",
+    "file_adjacency_vertices_parts": _with(PARTS) + "select unnest(range((select max(dst) + 1 from e))) as id",
     "file_edge_list": _with(PART2X) + "select src, dst from e",
     "file_matrix_edges": "select a.n_nationkey::bigint as src, b.n_nationkey::bigint as dst from nation a join nation b"
     " on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
@@ -205,6 +210,8 @@ ORACLES: dict[str, str] = {
     "triangle_count": _with(PARTS, TRI) + "select count(*) as n_cliques from tri",
     "follow_triangle_count": _with(FOLLOW, TRI) + "select count(*) as n_cliques from tri",
     "follow_core_numbers": _with(FOLLOW, _instances(2), _cores(80), recursive=True) + "select id, core from core",
+    "five_clique_count_parts": _with(PARTS, TRI, FOUR, _FIVE) + "select count(*) as n_cliques from five",
+    "five_clique_count_follow": _with(FOLLOW, TRI, FOUR, _FIVE) + "select count(*) as n_cliques from five",
     "four_clique_count": _with(CLICK, TRI, FOUR) + "select count(*) as n_cliques from four",
     "triangle_degrees": _with(PARTS, TRI) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2]) as id from tri) group by id",
     "four_clique_degrees": _with(CLICK, TRI, FOUR) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2, v3]) as id from four) group by id",
@@ -243,6 +250,7 @@ ORACLES: dict[str, str] = {
   select list_sort([s.a, s.b, s.x, t.x]) as m from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by m""",
     "triangle_core_numbers": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
     "triangle_core_batch": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core",
+    "pattern_four_cycle_core_click": _with(CLICK, ADJ, _INC_CYCLES, _cores(60), recursive=True) + "select id, core from core",
     "pattern_star2_core": _with(PART2X, ADJ, _INC_STAR, _cores(60), recursive=True) + "select id, core from core",
     "pattern_star2_peel": _with(PART2X, ADJ, _INC_STAR, _cores(60), _LEVELS, recursive=True) + _BEST,
     "edge_level_table": _with(CLICK, _instances(2), _cores(80), _LEVELS, recursive=True) + "select level, n_vertices, n_instances from lev",
@@ -252,9 +260,9 @@ ORACLES: dict[str, str] = {
     "max_core_triangles": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
     + "select level as k_max, n_vertices, n_instances from lev order by level desc limit 1",
     "densest_triangles_peel": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
-    + f", best as ({_BEST}) select id, n_instances as numer, n_vertices as denom from core, best where core >= level",
+    + f", best as ({_BEST}) select id, n_instances as numer, n_vertices as denom, false as exact, null::double as gap from core, best where core >= level",
     "densest_triangles_max_core": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
-    + ", best as (select * from lev order by level desc limit 1) select id, n_instances as numer, n_vertices as denom from core, best where core = level",
+    + ", best as (select * from lev order by level desc limit 1) select id, n_instances as numer, n_vertices as denom, false as exact, null::double as gap from core, best where core = level",
     "max_core_top_down": _with(CLICK, _instances(3), _cores(60), recursive=True) + "select id, core from core where core = (select max(core) from core)",
     "core_estimates": _with(CLICK, _instances(2), _cores(80), recursive=True) + "select id, core * (core - 1) // 2 as bound from core",
     "densest_core_edges": _with(CLICK, _instances(3), _cores(60), _LEVELS, recursive=True)
@@ -278,6 +286,9 @@ select component, n as n_vertices, t as n_instances, k_max, {_BOUND_COLUMNS} fro
     "pattern_four_cycle_peel": _with(PART2X, ADJ, _INC_CYCLES, _cores(60), _LEVELS, recursive=True) + _BEST,
     "densest_edges": _with(PART2X, _instances(2), _densest(400), recursive=True),
     "densest_triangles": _with(CLICK, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_balanced": _with(CLICK, _instances(3), _densest(150), recursive=True),
+    "densest_triangles_follow": _with(FOLLOW, _instances(3), _densest(40), recursive=True),
+    "densest_edges_parts": _with(PARTS, _instances(2), _densest(60), recursive=True),
     "densest_triangles_unpruned": _with(PART2X, _instances(3), _densest(150), recursive=True),
     "densest_triangles_part2x": _with(PART2X, _instances(3), _densest(150), recursive=True),
     "densest_two_triangles": _with(PART2X, _INC_TWO, _densest(200), recursive=True),

@@ -1,41 +1,59 @@
 """The densest-subgraph query: from edges and a pattern to the maximal densest vertex set.
 
 list instances -> core numbers -> keep the core that holds every optimum -> split into components and raise the
-threshold by their densities -> solve what can still win -> union of all components at the best density.
+threshold by their densities -> solve small components side by side, balance loads over the large ones -> union of all that
+reach the best density.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corelith.operators.approx import max_core, members_within, peel_by_level
+from corelith.operators.balance import balanced_densest
 from corelith.operators.cliques import identified, incidence, list_cliques
 from corelith.operators.cores import instance_core_numbers
 from corelith.operators.exact import solve_components
 from corelith.operators.patterns import PATTERNS, Pattern, instances
-from corelith.operators.prune import densest_core, instance_components, prune_by_components
+from corelith.operators.prune import densest_core, densest_row, instance_components, prune_by_components
 from corelith.plans.session import cut
 
 MEMBERS = "id bigint"
+#: Components of more instances than this are solved by rounds over all executors instead of in one task.
+ONE_TASK = 50_000
 
 
 @dataclass(frozen=True)
 class Densest:
-    """``members`` (id) and the density numer / denom; ``exact`` is false where only a lower bound was asked for or possible."""
+    """``members`` (id) and the density numer / denom.
+
+    ``exact`` says that this is proved to be the maximal densest set, ``upper`` bounds any set's density (None where no bound was
+    asked for), ``core`` holds the densest core's figures where cores were made.
+    """
 
     members: DataFrame
     numer: int
     denom: int
     exact: bool
+    upper: float | None = None
+    core: dict = field(default_factory=dict)
 
     @property
     def density(self) -> float:
         return self.numer / self.denom if self.denom else 0.0
 
+    @property
+    def gap(self) -> float | None:
+        """How much denser some set might be: 0 where the answer is exact."""
+        if self.exact:
+            return 0.0
+        return None if self.upper is None else max(0.0, self.upper - self.density)
+
 
 def find_instances(edges: DataFrame, pattern: int | str | Pattern) -> DataFrame:
     """Identified instances (clique_id, members, mult); a number k stands for the k-clique."""
@@ -44,19 +62,33 @@ def find_instances(edges: DataFrame, pattern: int | str | Pattern) -> DataFrame:
     return identified(instances(edges, PATTERNS[pattern] if isinstance(pattern, str) else pattern))
 
 
-def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", prune: bool = True, most_instances: int | None = 2_000_000, most_cuts: int | None = None) -> Densest:
-    """The maximal set of vertices with the most pattern instances for each vertex.
+def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method: str = "exact", **options) -> Densest:
+    """The maximal set of vertices with the most pattern instances for each vertex; see ``densest_of``."""
+    return densest_of(find_instances(edges, pattern), method, **options)
+
+
+def densest_of(
+    found: DataFrame,
+    method: str = "exact",
+    prune: bool = True,
+    most_instances: int = ONE_TASK,
+    most_cuts: int | None = None,
+    max_rounds: int = 400,
+    tolerance: float = 0.0,
+    stage: Callable = lambda name, work: work(),
+) -> Densest:
+    """The maximal densest set of identified instances (clique_id, members, mult).
 
     ``method``: "exact"; "peel" for the densest core; "max_core" for the core of highest number. Both approximations reach at
-    least 1 / k of the best density. ``most_cuts`` ends the exact search of a component early. A component of more than
-    ``most_instances`` instances is not solved; the result is then at least as dense as the densest core. None sets no limit. ``prune`` false skips cores and thresholds and searches all components. A graph
-    without instances has density 0 and no members.
+    least 1 / k of the best density. Components of up to ``most_instances`` instances are solved in a task each, larger ones by
+    rounds of load balancing, with the same answer. ``most_cuts``, ``max_rounds`` and ``tolerance`` end the search of a small
+    or a large component early; ``exact`` is then false unless the answer is proved all the same. ``prune`` false skips cores and
+    thresholds and searches all components. A graph without instances has density 0 and no members. ``stage`` is called with
+    the name and the work of each stage.
     """
-    spark = edges.sparkSession
-    found = find_instances(edges, pattern)
-    nothing = Densest(spark.createDataFrame([], MEMBERS), 0, 0, True)
+    spark = found.sparkSession
     if found.isEmpty():
-        return nothing
+        return Densest(spark.createDataFrame([], MEMBERS), 0, 0, True, 0.0)
     if method == "peel":
         row = peel_by_level(found).first()
         cores = instance_core_numbers(incidence(found))
@@ -67,37 +99,55 @@ def densest_subgraph(edges: DataFrame, pattern: int | str | Pattern = 3, method:
         return Densest(ids, row["n_instances"], row["n_vertices"], False)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    start = (0, 0)
+    core: dict = {}
+    start = Fraction(0)
     if prune:
-        kept, cores, figures = densest_core(found)
-        kept, components, start = prune_by_components(cut(kept), cores)
-        level = (figures["numer"], figures["denom"])
-        start = max(start, level, key=lambda f: Fraction(*f) if f[1] else Fraction(0))
+        kept, cores, core = stage("cores", lambda: densest_core(found))
+        kept, components, densest_component = stage("components", lambda: prune_by_components(cut(kept), cores, core["threshold"]))
+        start = max(Fraction(*f) for f in (densest_component, (core["numer"], core["denom"]), (0, 1)) if f[1])
+    else:
+        kept, components = found, stage("components", lambda: cut(instance_components(found)))
+    best = stage("search", lambda: _search(kept, components, start, most_instances, most_cuts, max_rounds, tolerance))
+    return Densest(best.members, best.numer, best.denom, best.exact, best.upper, core)
+
+
+def _search(kept: DataFrame, components: DataFrame, start: Fraction, most_instances: int, most_cuts: int | None, max_rounds: int, tolerance: float) -> Densest:
+    sizes = cut(kept.withColumn("id", F.col("members")[0]).join(components, "id").groupBy("component").agg(F.count(F.lit(1)).alias("rows")))
+    large = sizes.filter(F.col("rows") > most_instances).select("component")
+    found: list[tuple[Fraction, int, DataFrame, bool, float]] = []  # density, members, ids, exact, upper
+    if large.isEmpty():
+        small = components
     else:
-        kept, components = found, cut(instance_components(found))
-    solved = cut(solve_components(kept, components, start, most_instances, most_cuts))
-    best = solved.orderBy((F.col("numer") / F.col("denom")).desc()).first()
-    if best is None:
-        return nothing
-    numer, denom = int(best["numer"]), int(best["denom"])
-    winners = solved.filter(F.col("numer") * denom == F.col("denom") * numer)
-    sums = winners.select("component", "numer", "denom", "exact").distinct().agg(F.sum("numer"), F.sum("denom")).first()
-    exact = solved.filter("not exact").isEmpty()
-    if not exact and most_cuts is None:
-        peeled = densest_subgraph(edges, pattern, "peel")
-        if peeled.numer * int(sums[1]) > peeled.denom * int(sums[0]):
-            return peeled
-    return Densest(winners.select("id"), int(sums[0]), int(sums[1]), exact)
-
-
-def report(edges: DataFrame, pattern: int | str | Pattern = 3) -> DataFrame:
-    """One row of figures: instances, cores, the densest core, the optimum."""
+        mine = components.join(large, "component", "left_semi")
+        balanced = balanced_densest(kept.withColumn("id", F.col("members")[0]).join(mine.select("id"), "id", "left_semi").drop("id"), max_rounds, tolerance)
+        found.append((Fraction(balanced.numer, balanced.denom), balanced.denom, balanced.members, balanced.proved, balanced.upper))
+        start = max(start, found[0][0])
+        small = components.join(large, "component", "left_anti")
+    solved = cut(solve_components(kept, small, (start.numerator, start.denominator), most_cuts))
+    top = densest_row(solved)
+    if top is not None:
+        same = solved.filter(F.col("numer").cast("decimal(38,0)") * top.denominator == F.col("denom").cast("decimal(38,0)") * top.numerator)
+        certain = solved.filter("not exact").isEmpty()
+        found.append((top, same.count(), same.select("id"), certain, float(top) if certain else float("inf")))
+    best = max(density for density, *_ in found)
+    ids, n = None, 0
+    for density, size, own, *_ in found:
+        if density == best:
+            ids, n = own if ids is None else ids.unionByName(own), n + size
+    # A part that was not solved to its end matters only as far as it might still be denser.
+    open_ends = [upper for density, _, _, exact, upper in found if not exact and (density == best or upper >= best)]
+    upper = max([float(best), *open_ends])
+    return Densest(ids, int(best * n), n, not open_ends, None if upper == float("inf") else upper)
+
+
+def report(edges: DataFrame, pattern: int | str | Pattern = 3, **options) -> DataFrame:
+    """One row of figures: instances, cores, the densest core, the optimum and whether it is proved; all from one run."""
     spark = edges.sparkSession
     found = find_instances(edges, pattern)
-    core = densest_core(found)[2] if not found.isEmpty() else {"numer": 0, "denom": 0, "threshold": 0, "k_max": 0}
-    best = densest_subgraph(edges, pattern)
+    best = densest_of(found, **options)
+    core = best.core or {"numer": 0, "denom": 0, "threshold": 0, "k_max": 0}
     total = members_within(found, incidence(found)).first()
     return spark.createDataFrame(
-        [(total["n_instances"], core["k_max"], core["threshold"], core["numer"], core["denom"], best.numer, best.denom)],
-        "n_instances bigint, k_max bigint, threshold bigint, core_numer bigint, core_denom bigint, numer bigint, denom bigint",
+        [(total["n_instances"], core["k_max"], core["threshold"], core["numer"], core["denom"], best.numer, best.denom, best.exact, best.gap)],
+        "n_instances bigint, k_max bigint, threshold bigint, core_numer bigint, core_denom bigint, numer bigint, denom bigint, exact boolean, gap double",
     )

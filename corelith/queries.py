@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corelith.functions import binomial
-from corelith.operators import approx, bounds, cliques, components, cores, graph, patterns, peel, prune
+from corelith.operators import approx, bounds, cliques, closed_cores, components, cores, graph, patterns, peel, prune
 from corelith.plans.densest import densest_subgraph, find_instances, report
 from corelith.plans.session import cut, partitions, shared_path, ship
 from corelith.sources import tables, text
@@ -224,11 +224,13 @@ def fixed(edges: DataFrame, k: int) -> DataFrame:
 
 
 def densest_members(pattern: int | str, **options) -> Callable[[DataFrame], DataFrame]:
+    """(id, numer, denom, exact, gap): the members; ``gap`` is null where no bound on other sets was asked for."""
+
     def run(edges: DataFrame) -> DataFrame:
         ship(edges.sparkSession)
-        # The rows have no column for ``exact``, so no component may be left unsolved.
-        best = densest_subgraph(cut(edges), pattern, most_instances=None, **options)
-        return best.members.select("id", F.lit(best.numer).cast("bigint").alias("numer"), F.lit(best.denom).cast("bigint").alias("denom"))
+        best = densest_subgraph(cut(edges), pattern, **options)
+        numer, denom = (F.lit(n).cast("bigint") for n in (best.numer, best.denom))
+        return best.members.select("id", numer.alias("numer"), denom.alias("denom"), F.lit(best.exact).alias("exact"), F.lit(best.gap).cast("double").alias("gap"))
 
     return run
 
@@ -237,10 +239,6 @@ def pattern_count(name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda edges: patterns.instances(edges, patterns.PATTERNS[name]).agg(F.coalesce(F.sum("mult"), F.lit(0)).cast("bigint").alias("n_instances"))
 
 
-def pattern_core(name: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda edges: cores.instance_core_numbers(cliques.incidence(find_instances(edges, name)))
-
-
 def pattern_peel(name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda edges: approx.peel_by_level(find_instances(edges, name))
 
@@ -270,6 +268,8 @@ QUERIES: dict[str, Query] = {
     "source_adjacency_lines": on(click, adjacency_text),
     "file_adjacency_edges": on(click, lambda e: adjacency_file(e)[0]),
     "file_adjacency_vertices": on(click, lambda e: adjacency_file(e)[1]),
+    "file_adjacency_edges_parts": on(parts, lambda e: adjacency_file(e)[0]),
+    "file_adjacency_vertices_parts": on(parts, lambda e: adjacency_file(e)[1]),
     "file_edge_list": on(part2x, edge_list_file),
     "file_matrix_edges": nation_matrix_file,
     "file_pattern_count": on(click, file_pattern_count),
@@ -292,6 +292,8 @@ QUERIES: dict[str, Query] = {
     # cliques
     "triangles": on(parts, lambda e: as_columns(cliques.list_cliques(e, 3), 3)),
     "four_cliques": on(click, lambda e: as_columns(cliques.list_cliques(e, 4), 4)),
+    "five_clique_count_parts": on(parts, lambda e: cliques.count_cliques(e, 5)),
+    "five_clique_count_follow": on(follow, lambda e: cliques.count_cliques(e, 5)),
     "five_clique_count": on(click, lambda e: cliques.count_cliques(e, 5)),
     "triangle_count": on(parts, lambda e: cliques.count_cliques(e, 3)),
     "follow_triangle_count": on(follow, lambda e: cliques.count_cliques(e, 3)),
@@ -321,8 +323,10 @@ QUERIES: dict[str, Query] = {
     "pattern_generic_tailed_triangle": on(part2x, pattern_count("tailed-triangle")),
     "pattern_generic_four_cycle": on(part2x, pattern_count("4-cycle")),
     "pattern_generic_two_triangle_sets": on(part2x, lambda e: as_columns(patterns.instances(e, patterns.PATTERNS["2-triangle"]), 4)),
-    "pattern_four_cycle_core": on(part2x, pattern_core("4-cycle")),
-    "pattern_star2_core": on(part2x, pattern_core("2-star")),
+    "pattern_four_cycle_core": on(part2x, closed_cores.four_cycle_cores),
+    "pattern_four_cycle_core_click": on(click, closed_cores.four_cycle_cores),
+    "pattern_star2_core": on(part2x, lambda e: closed_cores.star_cores(e, 2)),
+    "pattern_star2_core_parts": on(parts, lambda e: closed_cores.star_cores(e, 2)),
     "pattern_four_cycle_peel": on(part2x, pattern_peel("4-cycle")),
     "pattern_star2_peel": on(part2x, pattern_peel("2-star")),
     # cores and peeling
@@ -351,6 +355,12 @@ QUERIES: dict[str, Query] = {
     "densest_two_triangles": on(part2x, densest_members("2-triangle")),
     "densest_four_cycles": on(part2x, densest_members("4-cycle")),
     "densest_triangles_early_stop": on(click, densest_members(3, most_cuts=1)),
+    "densest_triangles_balanced": on(click, densest_members(3, most_instances=0)),
+    "densest_triangles_within_gap": on(click, densest_members(3, most_instances=0, tolerance=0.01)),
+    "densest_triangles_follow": on(follow, densest_members(3)),
+    "densest_edges_parts": on(parts, densest_members(2)),
+    "densest_triangles_parts": on(parts, densest_members(3)),
+    "densest_triangles_parts_unpruned": on(parts, densest_members(3, prune=False)),
     "densest_triangles_peel": on(click, densest_members(3, method="peel")),
     "densest_triangles_max_core": on(click, densest_members(3, method="max_core")),
     "densest_report": on(click, report),

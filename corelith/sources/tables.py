@@ -43,11 +43,9 @@ def consecutive_edges(steps: DataFrame, span: int = 100_000) -> DataFrame:
     return canonical_edges(linked.unionByName(between).unionByName(across), "id", "next")
 
 
-def bought_together_edges(spark: SparkSession, sf_dir: str, order_step: int = 1, least_orders: int = 1) -> DataFrame:
-    """Parts that occur together in at least ``least_orders`` of the orders whose key is divisible by ``order_step``."""
+def bought_together_edges(spark: SparkSession, sf_dir: str, least_orders: int = 1) -> DataFrame:
+    """Parts that occur together in at least ``least_orders`` orders."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    if order_step > 1:
-        lines = lines.filter(F.col("l_orderkey") % order_step == 0)
     lines = lines.distinct()
     pairs = lines.withColumnRenamed("l_partkey", "src").join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter("src < dst")
     if least_orders == 1:

@@ -37,11 +37,13 @@ def densest_by_window(edges: DataFrame, pattern: int | str = 3) -> DataFrame:
     moved = edges.join(by("src"), ["window_start", "src"]).join(by("dst"), ["window_start", "dst"])
     found = cut(find_instances(canonical_edges(moved, "v_src", "v_dst"), pattern))
     components = cut(instance_components(found))
-    solved = solve_components(found, components, (0, 0), None)
+    solved = solve_components(found, components)
     sets = solved.join(numbered.select(F.col("v").alias("id"), "window_start"), "id")
     sets = cut(sets.select("window_start", "component", "numer", "denom").distinct())
-    top = F.max_by(F.struct("numer", "denom"), F.col("numer") / F.col("denom")).alias("top")
-    best = sets.join(sets.groupBy("window_start").agg(top), "window_start").filter(F.col("numer") * F.col("top.denom") == F.col("denom") * F.col("top.numer"))
+    # Densities as whole quotients and rests over a common denominator are compared without rounding.
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    top = F.max_by(F.struct("numer", "denom"), F.struct(F.expr("numer div denom"), (F.col("numer") % F.col("denom")) / F.col("denom"))).alias("top")
+    best = sets.join(sets.groupBy("window_start").agg(top), "window_start").filter(whole("numer") * whole("top.denom") >= whole("denom") * whole("top.numer"))
     sums = best.groupBy("window_start").agg(F.sum("numer").alias("numer"), F.sum("denom").alias("denom"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return edges.select("window_start").distinct().join(sums, "window_start", "left").select("window_start", none("numer"), none("denom"))

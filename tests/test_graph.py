@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corelith import queries
 from corelith.functions import binomial
-from corelith.operators import approx, cliques, components, cores, graph, patterns, peel, prune
+from corelith.operators import approx, balance, cliques, closed_cores, components, cores, graph, patterns, peel, prune
 from corelith.operators.exact import densest_set
 from corelith.plans.densest import densest_subgraph, find_instances
 from tests import reference_graphs as R
@@ -247,15 +247,93 @@ def test_binomials_stay_exact(spark):
     assert [r[0] for r in df.select(binomial(F.col("n"), 3)).collect()] == [0, 0, 4, 2_000_000 * 1_999_999 * 1_999_998 // 6]
 
 
-def test_beyond_the_solver_limit(spark, monkeypatch):
-    """A 5-clique with a chain of triangles: the whole component is less dense than its core."""
+def test_beyond_one_task(spark):
+    """A 5-clique with a chain of triangles, searched by rounds over all executors."""
     chain = [e for a in range(4, 12) for e in ((a, a + 1), (a, a + 2))]
     edges = frame(spark, [(a, b) for a in range(5) for b in range(a + 1, 5)] + chain)
     best = densest_subgraph(edges, 3, prune=False, most_instances=2)
-    assert (best.exact, best.numer, best.denom) == (False, 10, 5)
+    assert (best.exact, best.gap, best.numer, best.denom) == (True, 0.0, 10, 5)
     assert sorted(r[0] for r in best.members.collect()) == [0, 1, 2, 3, 4]
-    assert densest_subgraph(edges, 3, prune=False, most_instances=None).exact
-    asked = []
-    monkeypatch.setattr(queries, "densest_subgraph", lambda *a, **k: asked.append(k) or best)
-    queries.densest_members(3)(edges)
-    assert asked == [{"most_instances": None}]
+    loose = densest_subgraph(edges, 3, prune=False, most_instances=2, max_rounds=1)
+    assert 0 <= loose.density <= 2 <= loose.density + loose.gap + 1e-9
+    rows = queries.densest_members(3, prune=False, most_instances=2, max_rounds=1)(edges).collect()
+    assert {(r["exact"], r["gap"]) for r in rows} == {(loose.exact, loose.gap)}
+
+
+@pytest.mark.parametrize("seed, pattern, few", [(1, 2, True), (2, 3, False), (3, "2-triangle", True), (4, 2, False), (6, "3-triangle", True)])
+def test_balanced_loads_against_brute_force(spark, monkeypatch, seed, pattern, few):
+    """Vertices' loads reach instances by a broadcast or by shuffles; patterns of 4 and 5 vertices have several instances a set."""
+    monkeypatch.setattr(balance, "FEW_VERTICES", 1000 if few else 0)
+    monkeypatch.setattr(balance, "ATTEMPT", 10)
+    edges = random_edges(seed, 9, 0.6 if seed < 6 else 0.8)
+    found = {c: 1 for c in R.cliques(edges, pattern)} if isinstance(pattern, int) else R.pattern_instances(edges, patterns.PATTERNS[pattern].size, patterns.PATTERNS[pattern].edges)
+    density, members = R.densest(found, R.ids_of(edges))
+    got = balance.balanced_densest(find_instances(frame(spark, edges), pattern))
+    assert got.proved and Fraction(got.numer, got.denom) == density and got.upper == float(density)
+    assert sorted(r[0] for r in got.members.collect()) == members
+
+
+def test_balanced_loads_of_nothing(spark):
+    got = balance.balanced_densest(find_instances(frame(spark, [(0, 1)]), 3))
+    assert (got.numer, got.denom, got.proved, got.upper, got.members.count()) == (0, 0, True, 0.0, 0)
+
+
+def test_balanced_loads_of_two_equal_parts(spark):
+    edges = [(a, b) for base in (0, 10) for a in range(base, base + 4) for b in range(a + 1, base + 4)] + [(3, 10)]
+    best = densest_subgraph(frame(spark, edges), 3, most_instances=0)
+    assert (best.numer, best.denom, best.exact, best.members.count()) == (8, 8, True, 8)
+
+
+def test_large_and_small_components_together(spark):
+    """The small component is denser, as dense, or less dense than the large one."""
+    ladder = [e for a in range(100, 112) for e in ((a, a + 1), (a, a + 2))]
+    clique = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    best = densest_subgraph(frame(spark, ladder + clique), 2, prune=False, most_instances=15)
+    assert (best.numer, best.denom, best.exact) == (10, 5, True)
+    twins = [(a + 20, b + 20) for a, b in clique] + [(24, 40)] + [(40 + i, 41 + i) for i in range(8)]
+    best = densest_subgraph(frame(spark, twins + clique), 2, prune=False, most_instances=15)
+    assert (best.numer, best.denom, best.exact, best.members.count()) == (20, 10, True, 10)
+
+
+def test_threshold_of_longer_lists(spark):
+    """The fold over sorted shares agrees with trying all subsets."""
+    rng = random.Random(6)
+    rows = [(*[rng.uniform(-1, 2) for _ in range(4)], *[rng.choice([1.0, 0.5, 0.25]) for _ in range(4)]) for _ in range(50)]
+    df = spark.createDataFrame(rows, ", ".join(f"a{j} double" for j in range(4)) + ", " + ", ".join(f"c{j} double" for j in range(4)))
+    shares, scale = [F.col(f"a{j}") for j in range(4)], [F.col(f"c{j}") for j in range(4)]
+    padded = balance.threshold([*shares, F.lit(-1e9)], [*scale, F.lit(1.0)], F.lit(1.0))
+    for row in df.select(balance.threshold(shares, scale, F.lit(1.0)).alias("all"), padded.alias("sorted")).collect():
+        assert abs(row["all"] - row["sorted"]) < 1e-9
+
+
+@pytest.mark.parametrize("s, few", [(2, True), (2, False), (3, True)])
+def test_star_cores_against_sequential_peeling(spark, monkeypatch, s, few):
+    monkeypatch.setattr(closed_cores, "FEW_VERTICES", 1000 if few else 0)
+    edges = random_edges(13, 9, 0.45) + [(20, i) for i in range(21, 26)]
+    pattern = patterns.star(s)
+    expected = R.core_numbers(R.pattern_instances(edges, pattern.size, pattern.edges), R.ids_of(edges))
+    assert pairs(closed_cores.star_cores(frame(spark, edges), s)) == {(v, c) for v, c in expected.items() if c}
+
+
+@pytest.mark.parametrize("seed", [14, 15])
+def test_four_cycle_cores_against_sequential_peeling(spark, seed):
+    edges = random_edges(seed, 9, 0.5)
+    pattern = patterns.PATTERNS["4-cycle"]
+    expected = R.core_numbers(R.pattern_instances(edges, pattern.size, pattern.edges), R.ids_of(edges))
+    assert pairs(closed_cores.four_cycle_cores(frame(spark, edges))) == {(v, c) for v, c in expected.items() if c}
+
+
+def test_cores_of_many_vertices_recompute_only_what_falls(spark, monkeypatch):
+    monkeypatch.setattr(cores, "FEW_VERTICES", 0)
+    edges = random_edges(16, 14, 0.4)
+    found = frame(spark, edges)
+    for k in (2, 3):
+        expected = R.core_numbers({c: 1 for c in R.cliques(edges, k)}, R.ids_of(edges))
+        got = cores.core_numbers(found) if k == 2 else cores.instance_core_numbers(cliques.incidence(find_instances(found, 3)), graph.vertices_of(found))
+        assert pairs(got) == set(expected.items())
+
+
+def test_densities_that_doubles_cannot_tell_apart(spark):
+    rows = [(10**17, 10**17 - 1), (10**17 + 1, 10**17), (3, 4)]
+    assert prune.densest_row(spark.createDataFrame(rows, "numer bigint, denom bigint")) == Fraction(10**17, 10**17 - 1)
+    assert prune.densest_row(spark.createDataFrame([], "numer bigint, denom bigint")) is None

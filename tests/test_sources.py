@@ -111,7 +111,7 @@ def test_a_run_over_a_file(spark, tmp_path, caplog):
     with caplog.at_level("INFO"):
         got = run(spark, str(tmp_path / "graph.txt"), out=str(tmp_path / "out"))
     assert got["graph"] == {"n_vertices": 7, "n_edges": 12, "max_degree": 5}
-    assert got["answer"] == {"density": 2.0, "numer": 10, "denom": 5, "members": 5, "exact": True}
+    assert got["answer"] == {"density": 2.0, "numer": 10, "denom": 5, "members": 5, "exact": True, "gap": 0.0}
     assert got["figures"]["n_instances"] == 10 and got["figures"]["k_max"] == 6
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0", "1", "2", "3", "4"]
     assert {"read", "instances", "cores", "search", "total"} <= set(got["seconds"])
