@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelith.operators.graph import orient
+from corelith.operators.graph import closed_neighbourhood, degrees, induced, orient
 from corelith.plans.session import cut
 
 
@@ -17,12 +17,13 @@ def _out_lists(dag: DataFrame) -> DataFrame:
     return dag.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("out"))
 
 
-def _frontier(edges: DataFrame, k: int, dag: DataFrame | None = None) -> DataFrame:
-    """(members, cand) with k - 1 members each, for k >= 3."""
+def _frontier(edges: DataFrame, k: int, dag: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(members, cand) with k - 1 members each, for k >= 3; with ``roots`` (u) only those whose first member is one."""
     dag = orient(edges) if dag is None else dag
     out = _out_lists(dag)
+    start = dag if roots is None else dag.join(roots, "u", "left_semi")
     now = (
-        dag.join(out, "u")
+        start.join(out, "u")
         .withColumnRenamed("out", "out_u")
         .join(out.select(F.col("u").alias("v"), F.col("out").alias("out_v")), "v")
         .select(F.array("u", "v").alias("members"), F.array_intersect("out_u", "out_v").alias("cand"))
@@ -101,6 +102,26 @@ def inside(cliques: DataFrame, ids: DataFrame) -> DataFrame:
     return counted.filter(F.col("n") == F.size("members")).select(*cliques.columns)
 
 
+def cliques_through(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(members): the k-cliques with at least one member among ``ids`` (id), found from there.
+
+    Edges are oriented away from ``ids``, so the first member of each clique that touches them is one of them, and the frontier
+    starts at these alone, within their closed neighbourhood: the cost grows with it and not with the graph.
+    """
+    seeds = cut(ids.select(F.col("id").cast("bigint").alias("id")).distinct())
+    if k <= 2:
+        return touching(list_cliques(edges, k), seeds)
+    near = cut(induced(edges, closed_neighbourhood(edges, seeds)))
+    ranks = degrees(near).join(seeds.withColumn("seed", F.lit(0)), "id", "left").select("id", F.coalesce("seed", F.lit(1)).alias("after"), "degree")
+    by = lambda end: ranks.select(F.col("id").alias(end), F.struct("after", "degree").alias(f"r_{end}"))
+    ends = near.join(by("src"), "src").join(by("dst"), "dst")
+    first = F.struct("r_src", "src") < F.struct("r_dst", "dst")
+    turned = lambda one, other: F.when(first, F.col(one)).otherwise(F.col(other))
+    dag = cut(ends.select(turned("src", "dst").alias("u"), turned("dst", "src").alias("v")))
+    found = _frontier(near, k, dag, seeds.withColumnRenamed("id", "u"))
+    return found.select("members", F.explode("cand").alias("w")).select(F.sort_array(F.array_append("members", F.col("w"))).alias("members"))
+
+
 def member_pairs(cliques: DataFrame) -> DataFrame:
     """(src, dst): the edges that lie in some clique."""
     pairs = F.flatten(

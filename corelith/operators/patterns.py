@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corelith.functions import binomial
 from corelith.operators.cliques import list_cliques
-from corelith.operators.graph import ball, degrees, induced, symmetric
+from corelith.operators.graph import ball, degrees, induced, sorted_adjacency, symmetric
 from corelith.plans.session import cut
 
 
@@ -95,10 +95,10 @@ def _visit_order(pattern: Pattern) -> list[int]:
     return order
 
 
-def matches(edges: DataFrame, pattern: Pattern) -> DataFrame:
-    """One row of columns v0..v{size-1} for each instance; vertices of too small a degree are left out first."""
+def _grown(edges: DataFrame, pattern: Pattern, order: list[int]) -> DataFrame:
+    """One row of columns v{x} for each way to place the pattern's vertices ``order``, symmetries broken as far as they go."""
     adj = symmetric(edges)
-    order, conditions = _visit_order(pattern), pattern.order_conditions()
+    conditions = pattern.order_conditions()
     deg = degrees(edges)
     fit = lambda x: deg.filter(F.col("degree") >= len(pattern.around(x))).select(F.col("id").alias(f"v{x}"))
     found = fit(order[0])
@@ -116,7 +116,44 @@ def matches(edges: DataFrame, pattern: Pattern) -> DataFrame:
         for a, b in conditions:
             if x in (a, b) and {a, b} - {x} <= set(before):
                 found = found.filter(F.col(f"v{a}") < F.col(f"v{b}"))
-    return found.select(*[f"v{x}" for x in range(pattern.size)])
+    return found
+
+
+def matches(edges: DataFrame, pattern: Pattern) -> DataFrame:
+    """One row of columns v0..v{size-1} for each instance; vertices of too small a degree are left out first."""
+    return _grown(edges, pattern, _visit_order(pattern)).select(*[f"v{x}" for x in range(pattern.size)])
+
+
+def count_matches(edges: DataFrame, pattern: Pattern) -> DataFrame:
+    """One row (n_instances): all vertices but the last are placed, and the last one's candidates are only counted.
+
+    They are the common neighbours of what it hangs on, less what is taken; no instance is built and none is grouped.
+    """
+    *order, last = _visit_order(pattern)
+    found = _grown(edges, pattern, order)
+    lists = cut(sorted_adjacency(edges))
+    anchors = [a for a in order if a in pattern.around(last)]
+    for a in anchors:
+        found = found.join(lists.select(F.col("u").alias(f"v{a}"), F.col("neighbours").alias(f"n{a}")), f"v{a}")
+    both = F.col(f"n{anchors[0]}")
+    for a in anchors[1:]:
+        both = F.array_intersect(both, F.col(f"n{a}"))
+    below = [F.col(f"v{b}") for a, b in pattern.order_conditions() if a == last]
+    above = [F.col(f"v{a}") for a, b in pattern.order_conditions() if b == last]
+    taken = [F.col(f"v{x}") for x in order if x not in anchors]
+
+    def free(candidate):
+        fits = F.lit(True)
+        for other in taken:
+            fits = fits & (candidate != other)
+        for other in below:
+            fits = fits & (candidate < other)
+        for other in above:
+            fits = fits & (candidate > other)
+        return fits
+
+    # No anchor is its own neighbour, so none is in the common list.
+    return found.select(F.size(F.filter(both, free)).cast("bigint").alias("n")).agg(*_total(F.col("n")))
 
 
 def instances(edges: DataFrame, pattern: Pattern) -> DataFrame:

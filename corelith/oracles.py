@@ -20,9 +20,6 @@ TRI = "tri as (select a.src as v0, a.dst as v1, b.dst as v2 from e a join e b on
 FOUR = """four as (
   select t.v0, t.v1, t.v2, c.dst as v3 from tri t join e a on a.src = t.v0 join e b on b.src = t.v1 and b.dst = a.dst
   join e c on c.src = t.v2 and c.dst = a.dst)"""
-_FIVE = """five as (
-  select f.v0 from four f join e a on a.src = f.v0 join e b on b.src = f.v1 and b.dst = a.dst
-  join e c on c.src = f.v2 and c.dst = a.dst join e d on d.src = f.v3 and d.dst = a.dst)"""
 CO = """co as (
   select e.src, e.dst, count(t.v0) as codegree from e left join (
     select v0, v1 from tri union all select v0, v2 from tri union all select v1, v2 from tri) t on t.v0 = e.src and t.v1 = e.dst
@@ -210,12 +207,12 @@ ORACLES: dict[str, str] = {
     "triangle_count": _with(PARTS, TRI) + "select count(*) as n_cliques from tri",
     "follow_triangle_count": _with(FOLLOW, TRI) + "select count(*) as n_cliques from tri",
     "follow_core_numbers": _with(FOLLOW, _instances(2), _cores(80), recursive=True) + "select id, core from core",
-    "five_clique_count_parts": _with(PARTS, TRI, FOUR, _FIVE) + "select count(*) as n_cliques from five",
-    "five_clique_count_follow": _with(FOLLOW, TRI, FOUR, _FIVE) + "select count(*) as n_cliques from five",
     "four_clique_count": _with(CLICK, TRI, FOUR) + "select count(*) as n_cliques from four",
     "triangle_degrees": _with(PARTS, TRI) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2]) as id from tri) group by id",
     "four_clique_degrees": _with(CLICK, TRI, FOUR) + "select id, count(*) as clique_degree from (select unnest([v0, v1, v2, v3]) as id from four) group by id",
     "triangles_touching": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 10 = 0 or v1 % 10 = 0 or v2 % 10 = 0",
+    "triangles_touching_parts": _with(PARTS, TRI) + "select v0, v1, v2 from tri where v0 % 10 = 0 or v1 % 10 = 0 or v2 % 10 = 0",
+    "triangles_containing_parts": _with(PARTS, TRI) + "select v0, v1, v2 from tri where v0 = (select min(src) from e)",
     "triangles_inside": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 % 2 = 0 and v1 % 2 = 0 and v2 % 2 = 0",
     "triangles_containing": _with(CLICK, TRI) + "select v0, v1, v2 from tri where v0 = (select min(src) from e)",
     "covered_edges": _with(PARTS, TRI, _TRI_EDGES) + "select src, dst from te",
@@ -245,6 +242,7 @@ ORACLES: dict[str, str] = {
     "pattern_four_cycle_degrees": _with(CLICK, ADJ, _CYCLES) + "select id, count(*) as pattern_degree from (select unnest([x, p, y, q]) as id from cyc) group by id",
     "pattern_generic_tailed_triangle": _with(PART2X, ADJ, DEG, TRI) + _TAILED,
     "pattern_generic_four_cycle": _with(PART2X, ADJ, _WEDGE) + "select coalesce(sum(n * (n - 1) // 2), 0)::bigint // 2 as n_instances from wedge",
+    "pattern_generic_tailed_triangle_parts": _with(PARTS, ADJ, DEG, TRI) + _TAILED,
     "pattern_generic_two_triangle_sets": _with(PART2X, TRI, _SIDE)
     + """select m[1] as v0, m[2] as v1, m[3] as v2, m[4] as v3, count(*) as mult from (
   select list_sort([s.a, s.b, s.x, t.x]) as m from side s join side t on s.a = t.a and s.b = t.b and s.x < t.x) group by m""",

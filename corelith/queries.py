@@ -134,7 +134,8 @@ def top_degree_induced(edges: DataFrame) -> DataFrame:
 
 def touching_low(edges: DataFrame) -> DataFrame:
     """Triangles with a member among the vertices whose id is divisible by 10."""
-    return as_columns(cliques.touching(cliques.list_cliques(edges, 3), graph.vertices_of(edges).filter("id % 10 = 0")), 3)
+    edges = cut(edges)
+    return as_columns(cliques.cliques_through(edges, graph.vertices_of(edges).filter("id % 10 = 0"), 3), 3)
 
 
 def inside_even(edges: DataFrame) -> DataFrame:
@@ -142,7 +143,8 @@ def inside_even(edges: DataFrame) -> DataFrame:
 
 
 def containing_smallest(edges: DataFrame) -> DataFrame:
-    return as_columns(cliques.containing(cliques.list_cliques(edges, 3), smallest_vertex(edges).first()[0]), 3)
+    edges = cut(edges)
+    return as_columns(cliques.cliques_through(edges, smallest_vertex(edges), 3), 3)
 
 
 def pattern_ball(edges: DataFrame) -> DataFrame:
@@ -302,6 +304,8 @@ QUERIES: dict[str, Query] = {
     "triangle_degrees": on(parts, lambda e: cliques.clique_degrees(e, 3)),
     "four_clique_degrees": on(click, lambda e: cliques.clique_degrees(e, 4)),
     "triangles_touching": on(click, touching_low),
+    "triangles_touching_parts": on(parts, touching_low),
+    "triangles_containing_parts": on(parts, containing_smallest),
     "triangles_inside": on(click, inside_even),
     "triangles_containing": on(click, containing_smallest),
     "covered_edges": on(parts, lambda e: prune.covered_edges(e, cliques.list_cliques(e, 3))),
@@ -322,6 +326,7 @@ QUERIES: dict[str, Query] = {
     "pattern_four_cycle_degrees": on(click, patterns.four_cycle_degrees),
     "pattern_generic_tailed_triangle": on(part2x, pattern_count("tailed-triangle")),
     "pattern_generic_four_cycle": on(part2x, pattern_count("4-cycle")),
+    "pattern_generic_tailed_triangle_parts": on(parts, lambda e: patterns.count_matches(e, patterns.PATTERNS["tailed-triangle"])),
     "pattern_generic_two_triangle_sets": on(part2x, lambda e: as_columns(patterns.instances(e, patterns.PATTERNS["2-triangle"]), 4)),
     "pattern_four_cycle_core": on(part2x, closed_cores.four_cycle_cores),
     "pattern_four_cycle_core_click": on(click, closed_cores.four_cycle_cores),

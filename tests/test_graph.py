@@ -11,6 +11,7 @@ from corelith.functions import binomial
 from corelith.operators import approx, balance, cliques, closed_cores, components, cores, graph, patterns, peel, prune
 from corelith.operators.exact import densest_set
 from corelith.plans.densest import densest_subgraph, find_instances
+from corelith.plans.session import cut
 from tests import reference_graphs as R
 
 EDGES = "src bigint, dst bigint"
@@ -130,6 +131,22 @@ def test_patterns_against_brute_force(spark, name):
     assert got == expected
 
 
+def test_counts_without_instances_against_brute_force(spark):
+    edges = random_edges(17, 8, 0.6)
+    found = cut(frame(spark, edges))
+    for pattern in patterns.PATTERNS.values():
+        assert patterns.count_matches(found, pattern).first()[0] == sum(R.pattern_instances(edges, pattern.size, pattern.edges).values())
+
+
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_cliques_through_seeds(spark, k):
+    edges = random_edges(18, 12, 0.5)
+    for seeds in ([3], [0, 5, 11], [99], []):
+        ids = spark.createDataFrame([(v,) for v in seeds], "id bigint")
+        got = [tuple(r[0]) for r in cliques.cliques_through(frame(spark, edges), ids, k).collect()]
+        assert sorted(got) == sorted(c for c in R.cliques(edges, k) if set(seeds) & set(c))
+
+
 def test_closed_forms_agree_with_the_matcher(spark):
     edges = frame(spark, random_edges(4, 10, 0.5))
     total = lambda name: patterns.instances(edges, patterns.PATTERNS[name]).agg(F.sum("mult")).first()[0] or 0
