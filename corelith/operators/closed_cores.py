@@ -36,20 +36,19 @@ def cores_by_bits(bounds: DataFrame, count_at: Callable[[DataFrame], DataFrame],
     rounds = 0
     for bit in reversed(range(int(most).bit_length())):
         middle = F.col("core") + F.lit(1 << bit)
-        claims = cut(state.withColumn("claim", F.when(F.col("most") >= middle, middle).otherwise(F.col("core"))))
-        while True:
+        claims = state.withColumn("claim", F.when(F.col("most") >= middle, middle).otherwise(F.col("core")))
+        # Who is known to hold as much stands without being counted.
+        open_claim = (F.col("claim") > F.col("core")) & (F.col("least") < F.col("claim"))
+        fallen = claims.filter(open_claim).count()
+        while fallen:
             rounds += 1
             if rounds > max_rounds:
                 raise RuntimeError(f"cores did not settle in {max_rounds} rounds")
-            open_claim = (F.col("claim") > F.col("core")) & (F.col("least") < F.col("claim"))
-            if claims.filter(open_claim).isEmpty():
-                break
             held = count_at(claims.select("id", "claim"))
             falls = open_claim & (F.coalesce("held", F.lit(0)) < F.col("claim"))
-            judged = cut(claims.join(held, "id", "left").withColumn("falls", falls))
-            if judged.filter("falls").isEmpty():
-                break
-            claims = cut(judged.select("id", "least", "most", "core", F.when(F.col("falls"), F.col("core")).otherwise(F.col("claim")).alias("claim")))
+            judged = cut(claims.join(held, "id", "left").select(*claims.columns, falls.alias("falls")))
+            claims = judged.select("id", "least", "most", "core", F.when(F.col("falls"), F.col("core")).otherwise(F.col("claim")).alias("claim"))
+            fallen = judged.filter("falls").count()
         # A claim that falls bounds its vertex from above.
         lower = F.least("most", middle - 1)
         state = cut(claims.select("id", "least", F.when(F.col("claim") > F.col("core"), F.col("most")).otherwise(lower).alias("most"), F.col("claim").alias("core")))

@@ -331,7 +331,6 @@ QUERIES: dict[str, Query] = {
     "pattern_four_cycle_core": on(part2x, closed_cores.four_cycle_cores),
     "pattern_four_cycle_core_click": on(click, closed_cores.four_cycle_cores),
     "pattern_star2_core": on(part2x, lambda e: closed_cores.star_cores(e, 2)),
-    "pattern_star2_core_parts": on(parts, lambda e: closed_cores.star_cores(e, 2)),
     "pattern_four_cycle_peel": on(part2x, pattern_peel("4-cycle")),
     "pattern_star2_peel": on(part2x, pattern_peel("2-star")),
     # cores and peeling
@@ -365,7 +364,6 @@ QUERIES: dict[str, Query] = {
     "densest_triangles_follow": on(follow, densest_members(3)),
     "densest_edges_parts": on(parts, densest_members(2)),
     "densest_triangles_parts": on(parts, densest_members(3)),
-    "densest_triangles_parts_unpruned": on(parts, densest_members(3, prune=False)),
     "densest_triangles_peel": on(click, densest_members(3, method="peel")),
     "densest_triangles_max_core": on(click, densest_members(3, method="max_core")),
     "densest_report": on(click, report),
