@@ -53,37 +53,12 @@ with d as (
   select source, source_size, coalesce(least(weight * (select arg_min(level, cap / weight) from l where level < cap / weight), cap), cap) as target from l
 ), e as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from f
-), g0 as (
-  select k.doc_id, k.source, k.size, k.key, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as open,
-         false as picked, e.target - e.epochs * e.source_size as gap
+), g as (
+  select k.doc_id, k.size, e.source_size, e.target, e.epochs, round(e.target - e.epochs * e.source_size)::bigint as open,
+         coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id nulls last, k.size rows between unbounded preceding and 1 preceding), 0) as start
   from k join e on k.source is not distinct from e.source
-), p1 as (
-  select *, not picked and size > 0 and size <= gap as fits from g0
-), q1 as (
-  select * replace (picked or (fits and sum(case when fits then size else 0 end) over o <= gap) as picked) from p1
-  window o as (partition by source order by key, doc_id nulls last, size rows unbounded preceding)
-), g1 as (
-  select * exclude (fits) replace (open - coalesce(sum(size) filter (picked) over (partition by source), 0) as gap) from q1
-), p2 as (
-  select *, not picked and size > 0 and size <= gap as fits from g1
-), q2 as (
-  select * replace (picked or (fits and sum(case when fits then size else 0 end) over o <= gap) as picked) from p2
-  window o as (partition by source order by key, doc_id nulls last, size rows unbounded preceding)
-), g2 as (
-  select * exclude (fits) replace (open - coalesce(sum(size) filter (picked) over (partition by source), 0) as gap) from q2
-), p3 as (
-  select *, not picked and size > 0 and size <= gap as fits from g2
-), q3 as (
-  select * replace (picked or (fits and sum(case when fits then size else 0 end) over o <= gap) as picked) from p3
-  window o as (partition by source order by key, doc_id nulls last, size rows unbounded preceding)
-), q as (
-  select * exclude (fits) replace (open - coalesce(sum(size) filter (picked) over (partition by source), 0) as gap) from q3
-), r as (
-  select *, row_number() over (partition by source, picked order by abs(size - gap), key, doc_id) as best from q
 )
-select doc_id, size::bigint as size, source_size, target,
-       (size * (epochs + case when picked or (best = 1 and abs(size - gap) < gap) then 1 else 0 end))::bigint as taken
-from r
+select doc_id, size, source_size, target, (size * epochs + greatest(least(size, open - start), 0))::bigint as taken from g
 """
 
 MAXSCORE = """

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -50,8 +51,14 @@ def test_stages_one_after_another(spark, tmp_path):
     taken = Counter()
     for r in mixing.mix_sources(single).collect():
         if r["taken"]:
-            taken[r["doc_id"], r["source"]] += r["taken"] // r["size"]
-    assert Counter((r[0], r[3]) for r in rows(mix)) == taken
+            taken[r["doc_id"], r["source"]] += r["taken"]
+    words = Counter()
+    for r in rows(mix):
+        words[r[0], r[3]] += len(re.findall(mixing.WORD, r[1]))
+        assert r[4] == len(r[1])
+    assert words == taken
+    texts = {r[0]: r[1] for r in rows(single)}
+    assert all(texts[r[0]].startswith(r[1]) for r in rows(mix))
 
     packed = run("packing", mix)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -69,7 +76,7 @@ def test_run_over_a_folder(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
@@ -99,3 +106,16 @@ def test_planted_copies_are_caught_by_the_whole_pipeline(spark, tmp_path):
         assert [i for i in ids if texts.get(i)] == [ids[0]]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {ids[0] for ids in groups.values()}
+
+
+def test_columns_that_clash_stay_the_input_s_own(spark, tmp_path):
+    clash = ["kept_text", "n_lines", "n_dropped", "kept_id", "__row", "__own_row", "__rows", "__copies", "__copy", "__id", "__words", "__masks", "__rest", "taken", "Size"]
+    made = [(*r, len(r[1] or ""), *[f"{c} {r[0]}" for c in clash]) for r in cases.rows(20)]
+    docs = spark.createDataFrame(made, SCHEMA + "".join(f", {c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [*COLUMNS, *clash]
+        got = docs.collect()
+        assert got and all(r[c] == f"{c} {r['doc_id']}" for r in got for c in clash)
+    assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() > 0
