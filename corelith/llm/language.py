@@ -2,9 +2,11 @@
 
 Texts become code points; lower-cased letters stay and every run of other characters is one blank.
 Pairs and triples of them are hashed into ``BUCKETS`` buckets. Training counts buckets per language
-over a bounded sample of labelled rows, stratified by language; the log-probability matrix (languages x buckets) is
-broadcast, and batches of documents, sparse rows of buckets, are multiplied with it in numpy. However long a text is, only
-a piece of bounded length is worked on at a time.
+over a bounded sample of labelled rows, stratified by language, with any number of languages. The log-probability matrix
+(buckets x languages) is the same in all buckets that a language was not seen with, so it is kept as that value for each language
+and a sparse matrix of what the seen buckets add; its size is bounded by the sample's. It is broadcast, and batches of documents, sparse
+rows of bucket counts, are multiplied with it in numpy, ``TOGETHER`` products at a time. However long a text is, only a piece of
+bounded length is worked on at a time.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is every text when there
 is nothing to learn from; rows with a null doc_id are never trained on and not held out; ties go to the
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,13 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelith.llm.common import chunks
+from corelith.plans.session import cut
 
 BUCKETS = 1 << 15
-#: Characters that are turned into grams at a time, and grams that are scored at a time.
+#: Characters that are turned into grams at a time, and entries of the matrix that are multiplied at a time.
 SLICE = 500_000
-TOGETHER = 200_000
-#: The bound on languages that are learned, the most frequent ones.
-LANGUAGES = 500
+TOGETHER = 1_000_000
+#: The rows of more languages than these are joined by a shuffle instead of a broadcast.
+FEW_LANGUAGES = 100_000
 #: The bound on labelled rows that a model is fitted on.
 TRAINING_ROWS = 40_000
 UNKNOWN = "und"
@@ -76,95 +80,125 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and a matrix of log-probabilities: a row of priors, then a row for each bucket.
+class Model(NamedTuple):
+    """Log-probabilities of languages and buckets: ``unseen[l]``, plus a gain for each pair that was seen.
 
-    Learns from text and lang of at most about ``training_rows`` rows of the ``LANGUAGES`` most frequent languages, drawn
-    by a hash of their doc_id. Every language has the same share of them, as far as it has rows; priors go by all rows.
+    The pairs of bucket b are those from ``starts[b]`` to ``starts[b + 1]``, with their languages in ``places``.
     """
-    labelled = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(LANGUAGES).toPandas()
-    share = training_rows / max(len(rows_of), 1)
-    parts = docs.sparkSession.createDataFrame(
-        [(lang, int(min(1.0, share / rows) * (1 << 40))) for lang, rows in zip(rows_of["lang"], rows_of["rows"], strict=True)],
-        "lang string, part bigint",
+
+    languages: list[str]
+    priors: np.ndarray
+    unseen: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    gains: np.ndarray
+
+
+def model_of(counts: pd.DataFrame, rows: dict[str, int]) -> Model:
+    """The model of (lang, bucket, n) counts, half a count added to each, with priors by the languages' rows."""
+    languages = sorted(rows)
+    counts = counts.sort_values(["bucket", "lang"])
+    places = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object)).astype(np.int32)
+    n = counts["n"].to_numpy(dtype=float)
+    totals = np.bincount(places, weights=n, minlength=len(languages)) + 0.5 * BUCKETS
+    return Model(
+        languages,
+        np.log(np.array([rows[lang] for lang in languages], dtype=float) / max(sum(rows.values()), 1)),
+        np.log(0.5 / totals),
+        np.searchsorted(counts["bucket"].to_numpy(), np.arange(BUCKETS + 1)),
+        places,
+        np.log((n + 0.5) / 0.5).astype(np.float32),
     )
+
+
+def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
+    """Learns from text and lang of at most about ``training_rows`` rows, drawn by a hash of their doc_id.
+
+    Every language has the same share of them, and at least about one row, as far as it has rows; priors go by all rows of the languages in the sample.
+    """
+    labelled = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    rows_of = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    languages = rows_of.count()
+    share = training_rows / max(languages, 1)
+    parts = rows_of.select("lang", "rows", F.least(F.lit(1.0), share / F.col("rows")).alias("part"))
     sample = (
-        labelled.join(F.broadcast(parts), "lang")
-        .filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 40)) < F.col("part"))
-        .select("lang", "text")
+        labelled.select("lang", "text", (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("drawn"))
+        .join(F.broadcast(parts) if languages <= FEW_LANGUAGES else parts, "lang")
+        .filter("drawn < part")
+        .select("lang", "text", "rows")
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                mine = total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
-                mine[0] += 1
-                for grams in _slices(text):
-                    mine[1:] += np.bincount(grams, minlength=BUCKETS)
-        for lang, counts in total.items():
-            filled = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "bucket": filled, "n": counts[filled]})
-
-    counted = sample.mapInPandas(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = counted.toPandas()  # languages x buckets at most
-    languages = sorted(counts["lang"].unique())
-    table = np.zeros((BUCKETS + 1, len(languages)))
-    table[counts["bucket"], np.searchsorted(languages, counts["lang"])] = counts["n"]
-    if languages:
-        known = dict(zip(rows_of["lang"], rows_of["rows"], strict=True))
-        table[0] = np.log(np.array([known[lang] for lang in languages]) / sum(known[lang] for lang in languages))
-        table[1:] = np.log((table[1:] + 0.5) / (table[1:] + 0.5).sum(axis=0))
-    return languages, table
-
-
-def _judge(texts: list[str | None], names: list[str], logs: np.ndarray) -> list[tuple[str, float]]:
-    """(language, score) of each text. The texts are the rows of a sparse matrix of buckets, multiplied with ``logs`` piece by piece."""
-    totals = np.tile(logs[0].astype(float), (len(texts), 1))
+            for (lang, rows), texts in batch.groupby(["lang", "rows"], sort=False)["text"]:
+                total = np.zeros(BUCKETS, dtype=np.int64)
+                for text in texts:
+                    for grams in _slices(text):
+                        total += np.bincount(grams, minlength=BUCKETS)
+                seen = np.flatnonzero(total)
+                # A language without letters is known by its rows alone.
+                yield pd.DataFrame({"lang": lang, "rows": rows, "bucket": np.append(seen, -1), "n": np.append(total[seen], 0)})
+
+    counted = sample.mapInPandas(count, "lang string, rows bigint, bucket int, n bigint").groupBy("lang", "rows", "bucket").agg(F.sum("n").alias("n"))
+    counts = counted.toPandas()  # at most the distinct pairs of the sample
+    known = counts[counts["bucket"] < 0]
+    return model_of(counts.loc[counts["bucket"] >= 0, ["lang", "bucket", "n"]], dict(zip(known["lang"], known["rows"].tolist(), strict=True)))
+
+
+def _judge(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+    """(language, score) of each text. The texts are the rows of a sparse matrix of bucket counts, multiplied with the model's piece by piece."""
+    width = len(model.languages)
+    if not width:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    totals = np.tile(model.priors, (len(texts), 1))
     seen = np.zeros(len(texts), dtype=bool)
-    rows: list[int] = []
-    pieces: list[np.ndarray] = []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def multiply() -> None:
-        if pieces:
-            starts = np.cumsum([0, *map(len, pieces[:-1])])
-            sums = np.add.reduceat(logs[1 + np.concatenate(pieces)], starts, axis=0, dtype=float)
-            np.add.at(totals, rows, sums)
-            rows.clear()
-            pieces.clear()
-
-    waiting = 0
-    for row, text in enumerate(texts):
-        for grams in _slices(text or "") if names else ():
-            seen[row] = True
-            rows.append(row)
-            pieces.append(grams)
-            waiting += len(grams)
-            if waiting >= TOGETHER:
-                multiply()
-                waiting = 0
+        if not waiting:
+            return
+        row, bucket, n = (np.concatenate(column) for column in zip(*waiting, strict=True))
+        waiting.clear()
+        first = model.starts[bucket]
+        pairs = model.starts[bucket + 1] - first
+        before = np.cumsum(pairs) - pairs
+        at = np.arange(pairs.sum()) + np.repeat(first - before, pairs)
+        cells = np.repeat(row * width, pairs) + model.places[at]
+        totals.ravel()[:] += np.bincount(cells, weights=np.repeat(n, pairs) * model.gains[at], minlength=totals.size)
+
+    entries = 0
+    for i, text in enumerate(texts):
+        for grams in _slices(text or ""):
+            seen[i] = True
+            totals[i] += len(grams) * model.unseen
+            counts = np.bincount(grams, minlength=BUCKETS)
+            buckets = np.flatnonzero(counts)
+            pairs = np.cumsum(model.starts[buckets + 1] - model.starts[buckets])
+            for part in np.split(buckets, np.searchsorted(pairs, np.arange(TOGETHER, pairs[-1], TOGETHER), side="right")):
+                size = int((model.starts[part + 1] - model.starts[part]).sum())
+                if entries + size > TOGETHER:
+                    multiply()
+                    entries = 0
+                waiting.append((np.full(len(part), i), part, counts[part]))
+                entries += size
     multiply()
-    if not names:
-        return [(UNKNOWN, 0.0)] * len(texts)
     best = totals.argmax(axis=1)
     top = totals[np.arange(len(texts)), best]
     scores = 1 / np.exp(totals - top[:, None]).sum(axis=1)
-    return [(names[i], float(x)) if ok else (UNKNOWN, 0.0) for i, x, ok in zip(best, scores, seen, strict=True)]
+    return [(model.languages[i], float(x)) if ok else (UNKNOWN, 0.0) for i, x, ok in zip(best, scores, seen, strict=True)]
 
 
-def _shared(docs: DataFrame, model: tuple[list[str], np.ndarray]):
-    languages, table = model
-    return docs.sparkSession.sparkContext.broadcast((languages, table.astype(np.float32)))
+def _shared(docs: DataFrame, model: Model):
+    return docs.sparkSession.sparkContext.broadcast(tuple(model))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs``; only the text is looked at."""
     shared = _shared(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, held, texts in chunks(batches, "doc_id", "held_out", "text"):
-            said = _judge(texts, *shared.value)
+            said = _judge(texts, Model(*shared.value))
             yield pa.record_batch(
                 {
                     "doc_id": pa.array(doc_ids, pa.int64()),
@@ -179,13 +213,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is told with at least this score, with all their columns."""
     shared = _shared(docs, model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [s[0] != UNKNOWN and s[1] >= least_score for (texts,) in chunks([batch], "text") for s in _judge(texts, *shared.value)]
+            good = [s[0] != UNKNOWN and s[1] >= least_score for (texts,) in chunks([batch], "text") for s in _judge(texts, Model(*shared.value))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -30,12 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)[_\x20-]?key|credentials?|login)"""
-    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'<>|,;]{6,}))""",
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|secret|auth|encryption|signing)[_\x20-]?key|credentials?|login"""
+    r"""|authorization|(?<![A-Za-z])(?:pass|auth|pin))"""
+    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:(?:bearer|basic)\x20+)?(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'<>|,;]{6,}))""",
     re.I | re.A,
 )
 #: Every context holds one of these, lower-cased.
-HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "login")
+HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "login", "auth", "pin")
 BITS = 40.0
 
 # Frequent parts of passwords, keyboard rows, and look-alike characters.
@@ -86,6 +87,13 @@ def _character_bits(c: str) -> float:
     return math.log2(33)
 
 
+def character_bits(value: str) -> list[float]:
+    """The bits of each character as brute force; a letter costs one more where the case changes back and forth in the value."""
+    cases = [c.isupper() for c in value if c.isalpha() and c.isascii()]
+    mixed = sum(a != b for a, b in zip(cases, cases[1:], strict=False)) > 1
+    return [_character_bits(c) + (mixed and c.isalpha() and c.isascii()) for c in value]
+
+
 def _case_bits(part: str) -> float:
     upper = sum(c.isupper() for c in part)
     if not upper or upper == len(part) or part[0].isupper() and upper == 1:
@@ -102,6 +110,7 @@ def guess_bits(value: str, known: Dictionary = PLAIN) -> tuple[float, list[tuple
     words, longest, near = known.words, known.longest, known.near
     low = value.lower()
     plain = low.translate(LOOKALIKE)
+    each = character_bits(value)
     n = len(value)
     inf = float("inf")
     best = [0.0] + [inf] * n  # by end, over all last parts
@@ -121,7 +130,7 @@ def guess_bits(value: str, known: Dictionary = PLAIN) -> tuple[float, list[tuple
     for end in range(1, n + 1):
         i = end - 1
         options = []
-        bits = _character_bits(value[i])
+        bits = each[i]
         grown, fresh = brute[i] + bits, best[i] + PART_BITS + bits
         brute[end], brute_from[end] = (grown, brute_from[i]) if grown < fresh else (fresh, i)
         options.append((brute[end], "brute", brute_from[end]))
@@ -144,7 +153,7 @@ def guess_bits(value: str, known: Dictionary = PLAIN) -> tuple[float, list[tuple
             period_run[period] = period_run[period] + 1 if same else 0
             if (often := period_run[period] // period + 1) >= (3 if period == 1 else 2):
                 start = end - often * period
-                unit = sum(map(_character_bits, value[start : start + period]))
+                unit = sum(each[start : start + period])
                 options.append((best[start] + PART_BITS + unit + math.log2(often), "repeat", start))
         if i:
             walk = walk + 1 if (low[i - 1], low[i]) in near else 1

@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -133,21 +134,56 @@ def test_long_texts_are_scored_whole():
         assert (grams(size) == grams(10_000)).all()
 
 
-def test_scores_do_not_depend_on_the_batch(monkeypatch):
-    logs = np.log(np.random.default_rng(0).random((language.BUCKETS + 1, 3)))
+def dense(model):
+    """The model's log-probabilities as a matrix of buckets and languages."""
+    table = np.tile(model.unseen, (language.BUCKETS, 1))
+    bucket = np.repeat(np.arange(language.BUCKETS), np.diff(model.starts))
+    table[bucket, model.places] += model.gains
+    return table
+
+
+def test_scores_against_brute_force_in_any_batch(monkeypatch):
+    rng = np.random.default_rng(0)
+    made = pd.DataFrame({"lang": rng.choice(["a", "b", "c"], 60_000), "bucket": rng.integers(0, language.BUCKETS, 60_000)})
+    counts = made.groupby(["lang", "bucket"]).size().reset_index(name="n")
+    model = language.model_of(counts, {"c": 2, "a": 1, "b": 3})
+    logs = dense(model)
     texts = ["abc def", None, "", "123 !", "äöü ß" * 40, "x", "abc def"]
-    names = ["a", "b", "c"]
-    together = language._judge(texts, names, logs)
+    together = language._judge(texts, model)
     monkeypatch.setattr(language, "TOGETHER", 3)
     for text, said in zip(texts, together, strict=True):
-        total = logs[0].copy()
+        total = model.priors.copy()
         grams = list(language._slices(text or ""))
         for g in grams:
-            total += logs[1 + g].sum(axis=0)
+            total += logs[g].sum(axis=0)
         best = int(total.argmax())
-        expected = (names[best], float(1 / np.exp(total - total[best]).sum())) if grams else (language.UNKNOWN, 0.0)
+        expected = (model.languages[best], float(1 / np.exp(total - total[best]).sum())) if grams else (language.UNKNOWN, 0.0)
         assert said[0] == expected[0] and said[1] == pytest.approx(expected[1])
-        assert language._judge([text], names, logs)[0][0] == said[0]
+        assert language._judge([text], model)[0] == (said[0], pytest.approx(said[1]))
+
+
+def test_fitted_table_against_brute_force(spark):
+    rows = language_rows()[:80] + [(1000, "123 456", "zz", "a"), (1002, "x", None, "a"), (None, "y", "en", "a")]
+    model = language.fit(cases.frame(spark, rows))
+    learned = [r for r in rows if r[0] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert model.languages == sorted({r[2] for r in learned})
+    counts = np.full((language.BUCKETS, len(model.languages)), 0.5)
+    known = Counter(r[2] for r in learned)
+    for _, text, lang, _ in learned:
+        for grams in language._slices(text):
+            np.add.at(counts[:, model.languages.index(lang)], grams, 1)
+    assert np.allclose(dense(model), np.log(counts / counts.sum(axis=0)), atol=1e-5)
+    assert np.allclose(np.exp(model.priors), [known[lang] / len(learned) for lang in model.languages])
+
+
+def test_more_than_five_hundred_languages(spark):
+    names = [f"l{i:03}" for i in range(600)]
+    made = [(i * 10 + k, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 8, names[i], "a") for i in range(600) for k in range(5)]
+    got = language.identify(cases.frame(spark, made)).collect()
+    truth = {r[0]: r[2] for r in made}
+    learned = {lang for i, lang in truth.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(learned) > 590
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in got if truth[r["doc_id"]] in learned)
 
 
 # secrets
@@ -181,7 +217,7 @@ def test_guess_costs():
     value = "Password2020xK9#aaaa"
     bits, parts = secrets.guess_bits(value)
     assert [parts[0][1], *[p[2] for p in parts]] == [0, *[p[1] for p in parts[1:]], len(value)]
-    assert bits <= sum(map(secrets._character_bits, value)) + secrets.PART_BITS
+    assert bits <= sum(secrets.character_bits(value)) + secrets.PART_BITS
 
 
 def test_quoted_values_of_any_length_and_with_blanks_are_costed():
@@ -194,6 +230,18 @@ def test_quoted_values_of_any_length_and_with_blanks_are_costed():
     assert secrets.guess_bits("admin admin")[0] <= 2 * secrets.guess_bits("admin")[0] + secrets.PART_BITS
 
 
+def test_more_contexts_and_mixed_case():
+    value = "x8Fj2kQp9"
+    assert secrets.guess_bits(value)[0] >= secrets.BITS > secrets.guess_bits(value.lower())[0]
+    assert secrets.guess_bits("Summer1999")[0] < 25
+    for before in ("DB_PASS=", "auth: ", "pin: ", "Authorization: Bearer ", "Authorization: Basic ", '"auth": "Bearer ', "pass = '"):
+        close = {'"': '"', "'": "'"}.get(before[-1] if before[-1] != " " else "", "")
+        found = [s for s in secrets.find_spans(before + value + (close or '"')) if s[0] == "guess"]
+        assert len(found) == 1 and (before + value)[found[0][1] : found[0][2]].rstrip('"').endswith(value), before
+    for text in ("compass: x8Fj2kQp9", "spin: x8Fj2kQp9", "author: x8Fj2kQp9", "pass: the password is here"):
+        assert secrets.find_spans(text) == [], text
+
+
 def test_secret_scan_cases(spark):
     rows = [*cases.rows(), (600, "pwd: Zx!9#kQp%2wLm", None, None)]
     got = {r["doc_id"]: r for r in secrets.scan(cases.frame(spark, rows)).collect()}
@@ -574,9 +622,11 @@ def cheapest_by_brute_force(value, known):
     import functools
     import math
 
+    bits = secrets.character_bits(value)
+
     def part_bits(start, end):
         part, low = value[start:end], value[start:end].lower()
-        out = [secrets.PART_BITS + sum(map(secrets._character_bits, part))]
+        out = [secrets.PART_BITS + sum(bits[start:end])]
         if len(part) == 1 and part.isspace():
             out.append(secrets.PART_BITS)
         if len(part) == 1 and part in secrets.JOINTS:
@@ -594,7 +644,7 @@ def cheapest_by_brute_force(value, known):
             if len(part) % period == 0 and often >= (3 if period == 1 else 2) and part == part[:period] * often:
                 whole = value[max(0, start - period) : start] + part
                 if whole[: len(whole) - period] != whole[period:] or len(whole) < len(part) + period:  # as many periods as there are
-                    out.append(secrets.PART_BITS + sum(map(secrets._character_bits, part[:period])) + math.log2(often))
+                    out.append(secrets.PART_BITS + sum(bits[start : start + period]) + math.log2(often))
         steps = [(value[i - 1].lower(), value[i].lower()) for i in range(1, end)]
         for runs in (lambda a, b: (a, b) in known.near, None):
             if runs is None:
