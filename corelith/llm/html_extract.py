@@ -1,24 +1,29 @@
 """Main-text extraction with wrappers inferred from pages of the same host.
 
-Pages are grouped by host, large hosts in bands of bounded size. In a group, up to ``SAMPLE`` pages are aligned
-one after another into a wrapper, a union-free regular expression over their token streams: equal neighbours
-fold into a repeated group, elements that only some pages have become optional, texts that differ become
-slots and texts that never differ are part of the template. The wrapper tells where the article is: in article
-or main elements, or else in the whole page. From there each page's slots are read, block by block: a text that nearly
-all of the group's pages have at the same place belongs to the template, in the boxes inside of an article, too, and goes, unless that would
-take most of an article's text, as it would of copies of one page. Menus, headers, footers, sidebars, notices, adverts,
-forms, comments and code go by their element or role, or by a class or id that names them: any word of it outside of articles,
-the whole name inside.
+Pages are grouped by host, large hosts in bands of bounded size. In a group, up to ``SAMPLE`` pages that are no near copies of
+each other are aligned one after another into a wrapper, a union-free regular expression over their token streams: equal
+neighbours fold into a repeated group, elements that only some pages have become optional, texts that differ become slots and
+texts that do not are constants. The wrapper tells where the article is: in article or main elements, or else in the
+whole page. Every page is then matched against the wrapper, and its text is what the match puts into slots: constants,
+those of optional and repeated groups too, are the template's and go. What the wrapper does not foresee is the page's own and stays.
+Inside an article, whose plain paragraphs are its own words even where pages share them, only constants in an element with a class go.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and code go by their element or role, or by a class or
+id that names them: any word of it outside of articles and main elements, and inside a name all of whose words say so
+(``ad-slot``, but not ``ad-hoc-networks``). Ids of paragraphs and headings inside an article are anchors and say nothing. An article's
+header gives its headings. A part of an article named related goes if half of its text or more is in links.
 
 Defined cases: a null, empty or text-less page gives an empty text; unclosed elements end where their parent
 ends; a page that lacks the group's region is read by a wrapper of its own; several articles are
 joined in page order; character references are decoded once; any Unicode white space counts as white space; a null or odd url is
-a host of its own; repeated pages each give a row; an empty table gives an empty result; other columns are ignored.
+a host of its own; repeated pages each give a row, and near copies of one page do not make its text a template; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 import sys
@@ -36,10 +41,10 @@ from corelith.plans.session import cut
 SAMPLE = 8
 #: Distinct pages from which on a text that never differs is taken for template text.
 COMPARED = 3
-#: Share of a group's distinct pages that have a template text.
+#: Share of the pages that have a part of the wrapper, from which on a text they share there is a constant.
 NEARLY_ALL = 0.9
-#: Share of a page's text that may belong to the template.
-MOSTLY = 0.5
+#: Share of their texts from which on two articles are near copies, which say nothing about a template.
+NEAR_COPY = 0.5
 #: Pages of a host that are read together, and their characters.
 BAND, BAND_CHARS = 200, 8_000_000
 #: Hosts of several bands up to this number are broadcast; above it they are joined.
@@ -61,6 +66,10 @@ LEFT_OUT_WORDS = frozenset(
     " pagination pager copyright disclaimer".split()
 )
 COMMENT_WORDS = frozenset("comment comments reply replies disqus ad ads advert sponsored related teaser promo".split())
+BOX_WORDS = frozenset("area bar block bottom box container inner left links list panel reader readers right section site slot thread top unit user users wrapper".split())
+LINKED_WORDS = frozenset("related recommended".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORED = HEADINGS | frozenset("p li dt dd td th span a b i em strong sup sub pre blockquote figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -72,30 +81,47 @@ TOKEN = re.compile(
 GIVEN = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 TEXT = "#text"
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
     label: str
     left_out: bool = False
+    linked: bool = False
     text: str = ""
     kids: list[Node] = field(default_factory=list)
 
 
-def _element(tag: str, given: str, inside: bool = False) -> Node:
+def _element(tag: str, given: str, inside: bool = False, article: bool = False) -> Node:
     """The element, left out or not; ``inside`` an article or main element only whole names count."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in GIVEN.finditer(given)} if given.strip(" /") else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    said = set(names.lower().split()) if inside else {w.lower() for w in WORDS.findall(names)}
+    names = found.get("class", "") if inside and tag in ANCHORED else f"{found.get('class', '')} {found.get('id', '')}"
+    if inside:
+        told = [{w.lower() for w in WORDS.findall(name)} for name in names.split()]
+        said = {w for words in told if words <= LEFT_OUT_WORDS | BOX_WORDS for w in words & LEFT_OUT_WORDS}
+    else:
+        said = {w.lower() for w in WORDS.findall(names)}
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
+    linked = False
     if tag in ("html", "body", "main") or role == "main":
         out = False
     elif tag == "article":
         out = bool(said & COMMENT_WORDS)
     else:
-        out = tag in LEFT_OUT or role in LEFT_OUT_ROLES or bool(said & LEFT_OUT_WORDS) or bool(hidden)
+        linked = article and bool(said) and said <= LINKED_WORDS
+        named = bool(said & LEFT_OUT_WORDS) and not linked
+        out = tag in LEFT_OUT and not (article and tag == "header") or role in LEFT_OUT_ROLES or named or bool(hidden)
     mark = "main" if role == "main" else " ".join(sorted(set(found.get("class", "").split())))
-    return Node(tag, f"{tag}.{mark}" if mark else tag, out)
+    return Node(tag, f"{tag}.{mark}" if mark else tag, out, linked)
+
+
+def _characters(node: Node, links_only: bool) -> int:
+    """How many characters of text the element holds, or its links do."""
+    if node.tag == TEXT:
+        return 0 if links_only else len("".join(node.text.split()))
+    return sum(_characters(kid, links_only and node.tag != "a") for kid in node.kids)
 
 
 class _Open:
@@ -127,6 +153,7 @@ class _Open:
 def parse(page: str) -> Node:
     """The element tree; text nodes hold decoded text, raw elements such as scripts are gone."""
     root = Node("#root", "#root")
+    doubtful: list[Node] = []
     opened, at = _Open(root), 0
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -148,10 +175,14 @@ def parse(page: str) -> Node:
                 opened.close({"p"}, BLOCK)
             if tag in CLOSED_BY:
                 opened.close(CLOSED_BY[tag], HOLDERS.get(tag, {"select"}))
-            node = _element(tag, m["given"], bool(opened.count["article"] or opened.count["main"]))
+            node = _element(tag, m["given"], bool(opened.count["article"] or opened.count["main"]), bool(opened.count["article"]))
             opened.stack[-1].kids.append(node)
+            if node.linked:
+                doubtful.append(node)
             if tag not in VOID and not m["given"].endswith("/"):
                 opened.push(node)
+    for node in reversed(doubtful):  # inner ones first
+        node.left_out |= 2 * _characters(node, True) >= _characters(node, False)
     return root
 
 
@@ -164,7 +195,11 @@ def _add_text(parent: Node, raw: str) -> None:
 
 @dataclass(slots=True)
 class Part:
-    """A piece of a wrapper: an element or text, perhaps optional or repeated; ``constant`` is template text."""
+    """A piece of a wrapper: an element or text, perhaps optional, repeated, or repeated together with its neighbours (``looped``).
+
+    ``pages`` has a bit for each page that has the part, ``texts`` those for each text found there; ``constant`` is
+    the text that all of them share.
+    """
 
     label: str
     optional: bool = False
@@ -172,28 +207,47 @@ class Part:
     constant: str | None = None
     slot_chars: int = 0
     parts: list[Part] = field(default_factory=list)
+    looped: bool = False
+    pages: int = 0
+    texts: dict[str, int] = field(default_factory=dict)
+
+    def holds(self, text: str) -> bool:
+        """Whether ``text`` is a constant here: nearly all pages that have the part, and enough of them, have that text there."""
+        return self.texts.get(text, 0).bit_count() >= max(COMPARED, math.ceil(NEARLY_ALL * self.pages.bit_count()))
 
 
-def as_wrapper(node: Node) -> Part:
+def as_wrapper(node: Node, page: int = 0) -> Part:
     if node.tag == TEXT:
-        return Part(TEXT, constant=" ".join(node.text.split()))
-    parts = [as_wrapper(k) for k in node.kids if k.tag != TEXT or not k.text.isspace()]
-    return Part(node.label, parts=_fold(parts))
+        text = " ".join(node.text.split())
+        return Part(TEXT, constant=text, pages=1 << page, texts={text: 1 << page})
+    parts = [as_wrapper(k, page) for k in node.kids if k.tag != TEXT or not k.text.isspace()]
+    return Part(node.label, parts=_fold(parts), pages=1 << page)
+
+
+def _runs(labels: list[str]) -> list[tuple[str, list[int], bool]]:
+    """Places of equal neighbours together, and of equal pairs of neighbours; the last value tells the latter."""
+    out: list[tuple[str, list[int], bool]] = []
+    for i, label in enumerate(labels):
+        if out and out[-1][0] == label:
+            out[-1][1].append(i)
+        elif len(out) > 2 and out[-2][0] == label and out[-3][0] == out[-1][0]:
+            other = out.pop()
+            out[-2:] = [(other[0], out[-2][1] + other[1], True), (label, [*out[-1][1], i], True)]
+        else:
+            out.append((label, [i], False))
+    return out
 
 
 def _fold(parts: list[Part]) -> list[Part]:
     """Runs of equal neighbours, and of equal pairs of neighbours, become repeated groups."""
     out: list[Part] = []
-    for part in parts:
-        if out and out[-1].label == part.label:
-            out[-1] = align(out[-1], part)
-            out[-1].repeated = True
-        elif len(out) > 2 and out[-2].label == part.label and out[-3].label == out[-1].label:
-            out[-3] = align(out[-3], out.pop())
-            out[-2] = align(out[-2], part)
-            out[-3 + 1].repeated = out[-2].repeated = True
-        else:
-            out.append(part)
+    for _, places, looped in _runs([p.label for p in parts]):
+        part = parts[places[0]]
+        for i in places[1:]:
+            part = align(part, parts[i])
+        part.repeated |= len(places) > 1
+        part.looped |= looped
+        out.append(part)
     return out
 
 
@@ -235,40 +289,56 @@ def _common(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
 
 
 def align(x: Part, y: Part) -> Part:
-    """The wrapper of both; they have the same label."""
+    """The wrapper of both; they have the same label. Their texts go over into it."""
+    flags = {"optional": x.optional or y.optional, "repeated": x.repeated or y.repeated, "looped": x.looped or y.looped, "pages": x.pages | y.pages}
     if x.label == TEXT:
         same = x.constant is not None and x.constant == y.constant
         chars = x.slot_chars + y.slot_chars + (0 if same else len(x.constant or "") + len(y.constant or ""))
-        return Part(TEXT, x.optional or y.optional, x.repeated or y.repeated, x.constant if same else None, chars)
+        few, many = sorted((x.texts, y.texts), key=len)
+        for text, pages in few.items():
+            many[text] = many.get(text, 0) | pages
+        return Part(TEXT, constant=x.constant if same else None, slot_chars=chars, texts=many, **flags)
     a, b = x.parts, y.parts
     parts, i, j = [], 0, 0
+    at_a, at_b = [], []
     for p, q in [*_common(a, b), (len(a), len(b))]:
         for part in (*a[i:p], *b[j:q]):
             part.optional = True
-            parts.append(part)
+        at_a += range(len(parts), len(parts) + p - i)
+        at_b += range(len(parts) + p - i, len(parts) + p - i + q - j)
+        parts += [*a[i:p], *b[j:q]]
         if p < len(a):
+            at_a.append(len(parts))
+            at_b.append(len(parts))
             parts.append(align(a[p], b[q]))
         i, j = p + 1, q + 1
-    return Part(x.label, x.optional or y.optional, x.repeated or y.repeated, parts=_fold(parts))
+    # What has come between two parts of a loop is in the loop.
+    loops = [(at[n], at[n + 1]) for own, at in ((a, at_a), (b, at_b)) for n in range(len(own) - 1) if own[n].looped and own[n + 1].looped]
+    for start, end in loops:
+        for part in parts[start + 1 : end]:
+            part.looped = True
+    return Part(x.label, parts=_fold(parts), **flags)
 
 
 def infer(trees: list[Node]) -> Part:
     wrapper = as_wrapper(trees[0])
-    for tree in trees[1:]:
-        wrapper = align(wrapper, as_wrapper(tree))
+    for page, tree in enumerate(trees[1:], 1):
+        wrapper = align(wrapper, as_wrapper(tree, page))
     return wrapper
 
 
 def expression(part: Part) -> str:
-    """The wrapper written as a regular expression over tokens, for people."""
+    """The wrapper written as a regular expression over tokens, for people; of a loop's parts any may be missing."""
     if part.label == TEXT:
         inner = "#slot" if part.constant is None else part.constant
     else:
         inner = f"<{part.label}>"
-        for each in part.parts:
-            inner += expression(each)
+        for looped, parts in itertools.groupby(part.parts, lambda p: p.looped):
+            each = "".join(f"({expression(p)})?" if looped else expression(p) for p in parts)
+            inner += f"({each})+" if looped else each
         inner += f"</{part.label.split('.')[0]}>"
-    return f"({inner})" + "+" * part.repeated + "?" * part.optional if part.repeated or part.optional else inner
+    often = f"({inner})+" if part.repeated else inner
+    return f"({often})?" if part.optional else often
 
 
 def region(wrapper: Part, compared: bool) -> str:
@@ -312,41 +382,26 @@ def _weigh(part: Part, slots_only: bool, mass: dict[int, int], left_out: bool =
     return own
 
 
-class Template:
-    """The texts that nearly all of a group's distinct pages have at the same place, a path of labels.
+def _matched(node: Node, part: Part) -> list[Part | None]:
+    """The part of the wrapper that each of the element's children is matched with, None where there is none."""
+    out: list[Part | None] = [None] * len(node.kids)
+    places = [i for i, k in enumerate(node.kids) if k.tag != TEXT or not k.text.isspace()]
+    runs = _runs([node.kids[i].label for i in places])
+    for r, p in _common([Part(label) for label, _, _ in runs], part.parts):
+        for i in runs[r][1]:
+            out[places[i]] = part.parts[p]
+    return out
+
+
+def _headings(node: Node) -> list[Node]:
+    return [node] if node.tag in HEADINGS else [h for kid in node.kids if not kid.left_out for h in _headings(kid)]
 
-    Inside an article, whose plain paragraphs are its own words even where pages share them, only places in an element
-    that has a class count.
-    """
 
-    def __init__(self, trees: list[Node], inside: bool):
-        self.places: dict[tuple[int, str], int] = {}
-        seen: Counter[tuple[int, str]] = Counter()
-        for tree in trees:
-            own: set[tuple[int, str]] = set()
-            if inside:
-                for node in tree.kids:
-                    self._look(node, self.places.setdefault((0, node.label), len(self.places) + 1), own, False)
-            else:
-                self._look(tree, 0, own, True)
-            seen.update(own)
-        least = max(COMPARED, math.ceil(NEARLY_ALL * len(trees)))
-        self.texts = {text for text, n in seen.items() if n >= least}
-
-    def _look(self, node: Node, place: int, own: set[tuple[int, str]], counts: bool) -> None:
-        for kid in node.kids:
-            if kid.tag == TEXT:
-                if counts:
-                    own.add((place, " ".join(kid.text.split())))
-            elif not kid.left_out:
-                self._look(kid, self.places.setdefault((place, kid.label), len(self.places) + 1), own, counts or "." in kid.label)
-
-    def place(self, place: int, label: str) -> int:
-        return self.places.get((place, label), -1)
-
-
-def _blocks(node: Node, template: Template | None, place: int, out: list[list[str]]) -> None:
-    """Appends the texts of the node at ``place`` to ``out``, a list of blocks. The template's texts go where one is given."""
+def _blocks(node: Node, part: Part | None, constants: bool, out: list[list[str]]) -> None:
+    """Appends the node's texts to ``out``, a list of blocks, as far as the match with ``part`` puts them into slots.
+
+    ``constants``: whether constants go here already, and not just inside an element with a class.
+    """
     if node.left_out:
         out.append([])
         return
@@ -354,11 +409,16 @@ def _blocks(node: Node, template: Template | None, place: int, out: list[list[st
         out.append([])
     elif node.tag == "br":
         out[-1].append(" ")
-    for kid in node.kids:
-        if kid.tag != TEXT:
-            _blocks(kid, template, template.place(place, kid.label) if template else 0, out)
-        elif not (template and not kid.text.isspace() and (place, " ".join(kid.text.split())) in template.texts):
-            out[-1].append(kid.text)
+    if node.tag == "header":  # an article's, as others are left out
+        for kid in _headings(node):
+            _blocks(kid, None, constants, out)
+    else:
+        matched = _matched(node, part) if part else [None] * len(node.kids)
+        for kid, own in zip(node.kids, matched, strict=True):
+            if kid.tag != TEXT:
+                _blocks(kid, own, constants or "." in kid.label, out)
+            elif not (own and constants and own.holds(" ".join(kid.text.split()))):
+                out[-1].append(kid.text)
     if node.tag in BLOCK:
         out.append([])
 
@@ -380,10 +440,29 @@ def _reached(node: Node, kind: str, out: list[Node]) -> None:
         _reached(kid, kind, out)
 
 
-def _joined(node: Node, template: Template | None) -> str:
+def _texts(node: Node, part: Part | None, constants: bool) -> list[str]:
+    """The texts of the content's blocks. Inside of articles, constants of plain elements are the article's own."""
     out: list[list[str]] = [[]]
-    _blocks(node, template, 0, out)
-    return " ".join(filter(None, (" ".join("".join(block).split()) for block in out)))
+    if constants or part is None:
+        _blocks(node, part, constants, out)
+    else:
+        for kid, own in zip(node.kids, _matched(node, part), strict=True):
+            _blocks(kid, own, False, out)
+    return list(filter(None, (" ".join("".join(block).split()) for block in out)))
+
+
+def _unlike(contents: list[tuple[Node, list[str]]], sample: int, copies: float) -> list[Node]:
+    """Up to ``sample`` contents, in order, each sharing at most ``copies`` of its texts with every other one."""
+    out: list[Node] = []
+    seen: list[Counter[str]] = []
+    for node, texts in contents:
+        own = Counter(texts)
+        if own and all((own & other).total() <= copies * (own | other).total() for other in seen):
+            seen.append(own)
+            out.append(node)
+        if len(out) == sample:
+            break
+    return out
 
 
 def _content(tree: Node, kind: str | None) -> Node | None:
@@ -402,18 +481,18 @@ def extract_group(pages: list[str], sample: int = SAMPLE) -> list[str]:
     distinct = list({p: t for p, t in zip(reversed(pages), reversed(trees), strict=True)}.values())[::-1]
     kind = _kind(region(infer(distinct[:sample]), min(len(distinct), sample) >= COMPARED))
     contents = [_content(tree, kind) for tree in trees]
-    whole = [_joined(node, None) if node else "" for node in contents]
-    # Pages whose texts are equal say nothing about the template, so each text counts once.
-    told = {text: node for text, node in zip(whole, contents, strict=True) if node}
-    template = Template(list(told.values()), kind is not None) if len(told) >= COMPARED else None
+    whole = [_texts(node, None, True) if node else [] for node in contents]
+    # Equal and nearly equal articles say nothing about the template. Whole pages may share most texts, so there only equal ones count once.
+    told = {tuple(texts): node for node, texts in zip(contents, whole, strict=True) if node}
+    learned = _unlike([(node, list(texts)) for texts, node in told.items()], sample, 1 - 1e-9 if kind is None else NEAR_COPY)
+    wrapper = infer(learned) if len(learned) >= COMPARED else None
     out = []
-    for tree, node, text in zip(trees, contents, whole, strict=True):
+    for tree, node, texts in zip(trees, contents, whole, strict=True):
         if node is None:
             alone = _kind(region(as_wrapper(tree), False))
-            out.append(_joined(_content(tree, alone) or tree, None))
-            continue
-        slots = _joined(node, template) if template and template.texts else text
-        out.append(slots if len(slots) >= (1 - MOSTLY) * len(text) or kind is None else text)
+            out.append(" ".join(_texts(_content(tree, alone) or tree, None, True)))
+        else:
+            out.append(" ".join(_texts(node, wrapper, kind is None) if wrapper else texts))
     return out
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -315,6 +316,83 @@ def test_names_inside_an_article():
     assert html_extract.extract_group([page]) == ["work results levels sum x plain second"]
 
 
+def test_constants_of_optional_and_repeated_groups_go():
+    """What only some pages have, and always alike, is told by the wrapper alone: no share of all pages would drop it."""
+    notice = "<div><b>Servers rest on Sunday</b></div>"
+    pages = [f"<body><div><p>own {i} text</p>{notice if i % 2 else ''}<p>and {i} more</p></div></body>" for i in range(8)]
+    assert html_extract.extract_group(pages) == [f"own {i} text and {i} more" for i in range(8)]
+    wrapper = html_extract.infer([html_extract.parse(p) for p in pages])
+    assert "(<div><b>Servers rest on Sunday</b></div>)?" in html_extract.expression(wrapper)
+    # The same words at another place, and an element that the wrapper does not foresee, are the page's own.
+    other = "<body><div><p>Servers rest on Sunday</p><h2>new</h2><p>and 9 more</p></div></body>"
+    assert html_extract.extract_group([*pages, other])[-1] == "Servers rest on Sunday new and 9 more"
+    items = [f"<body><ul><li>Home</li><li>About us</li>{''.join(f'<li>item {i} {j}</li>' for j in range(i % 3 + 1))}</ul></body>" for i in range(6)]
+    assert html_extract.extract_group(items) == [" ".join(f"item {i} {j}" for j in range(i % 3 + 1)) for i in range(6)]
+
+
+def test_near_copies_make_no_template():
+    page = "<body><article><h1>Title</h1><div class=x><p>one</p><p>two</p><p>three</p><p>{i}</p></div></article></body>"
+    assert html_extract.extract_group([page.format(i=i) for i in range(6)]) == [f"Title one two three {i}" for i in range(6)]
+
+
+def test_pairs_of_neighbours_repeat():
+    pages = ["<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>e<dd>f</dl>", "<dl>" + "<dt>x<dd>y" * 40 + "</dl>"]
+    assert html_extract.extract_group(pages) == ["a b c d", "e f", " ".join(["x y"] * 40)]
+    wrapper = html_extract.infer([html_extract.parse(p) for p in pages])
+    assert html_extract.expression(wrapper) == "<#root><dl>(((<dt>#slot</dt>)+)?((<dd>#slot</dd>)+)?)+</dl></#root>"
+
+
+def test_names_in_main_and_headers_of_articles():
+    gone = "<div class='cookie-banner'>yes</div><div class=user-comments>me too</div><div class='ad-slot'>buy</div><div id=sidebar>x</div>"
+    kept = "<p id=overlay>lay</p><h2 id=comments>On comments</h2><div class='ad-hoc-networks'>net</div>"
+    assert html_extract.extract_group([f"<body><main>{gone}{kept}</main></body>"]) == ["lay On comments net"]
+    header = "<header><h1>Title <i>t</i></h1><p>by me</p></header>"
+    links, prose = "<section class=related><a href=/a>other page</a> or</section>", "<section class=related><p>work of <a href=/b>others</a> matters</p></section>"
+    page = f"<body><header><h1>Site</h1></header><article>{header}{gone}{kept}{links}{prose}</article></body>"
+    assert html_extract.extract_group([page]) == ["Title t lay On comments net work of others matters"]
+
+
+def test_wrappers_accept_their_pages_by_brute_force():
+    """Every page that a wrapper is made of is in the language of its regular expression."""
+
+    def pattern(part):
+        if part.label == html_extract.TEXT:
+            inner = "[a-z]*" if part.constant is None else part.constant
+        else:
+            each = [f"(?:{pattern(p)})?" if p.looped else pattern(p) for p in part.parts]
+            body = ""
+            for looped, run in itertools.groupby(zip(part.parts, each, strict=True), lambda x: x[0].looped):
+                joined = "".join(e for _, e in run)
+                body += f"(?:{joined})+" if looped else joined
+            inner = f"<{part.label}>{body}</{part.label}>"
+        often = f"(?:{inner})+" if part.repeated else inner
+        return f"(?:{often})?" if part.optional else often
+
+    def tokens(node):
+        if node.tag == html_extract.TEXT:
+            return node.text
+        return f"<{node.label}>{''.join(map(tokens, node.kids))}</{node.label}>"
+
+    rng = random.Random(8)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return html_extract.Node(html_extract.TEXT, html_extract.TEXT, text=rng.choice("xyz"))
+        tag = rng.choice("uvw")
+        kids = []
+        for kid in (made(depth - 1) for _ in range(rng.randint(0, 5))):
+            if not (kids and kids[-1].tag == kid.tag == html_extract.TEXT):  # texts side by side are one text
+                kids.append(kid)
+        return html_extract.Node(tag, tag, kids=kids)
+
+    for _ in range(150):
+        trees = [html_extract.Node("#root", "#root", kids=[made(2) for _ in range(rng.randint(0, 5))]) for _ in range(rng.randint(1, 4))]
+        for tree in trees:
+            tree.kids = [k for k in tree.kids if k.tag != html_extract.TEXT]
+        wrapper = html_extract.infer(trees)
+        assert all(re.fullmatch(pattern(wrapper), tokens(t)) for t in trees), (html_extract.expression(wrapper), [tokens(t) for t in trees])
+
+
 def test_other_hosts_and_partitions_change_nothing(spark):
     page = "<body><p>Welcome to our site</p><div class=x><p>{i} story of {i}</p><p>more {i} words</p></div></body>"
     small = [(i, "http://small/a", page.format(i=i)) for i in range(6)]
