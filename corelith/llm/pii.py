@@ -1,23 +1,30 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Mail addresses, IP addresses of both versions, phone, card, social-security and bank-account numbers, and names after a title are
-found by one regular expression. A name that a document has after a title is replaced without one as well in that document. Every distinct value gets a surrogate from a digest of a secret key and the value: of the same kind, script,
-letter case, punctuation and length, valid where the original is (octets, check digits), and for names of the
-same gender. Values that occur in several documents, and a domain or a surname that several values share, get the same
-surrogate everywhere, so coreference stays. Surrogates, those of domains and local parts of addresses each by themselves, are
-checked: one that another value has got, or that occurs as an original itself, is drawn again until all are distinct, letters
-with a longer tail from the third draw on.
+found by one regular expression. A name that a document has after a title is replaced without one as well in that document: the full
+name wherever it stands, its words alone unless they are common words, too (``Will``, ``Rose``). Every distinct value gets a surrogate
+from a digest of a secret key and the value: of the same kind, script, letter case and punctuation, valid where the original is
+(octets, check digits), of the same length but for names, with the same country code or range of addresses, and for names of the same gender.
+
+Values are compared by what they say, not by how they are written (``canonical``): addresses and names without case, numbers by their
+digits, phone numbers without a country code as those of the code 1. Every spelling gets the one surrogate in its own format, in all
+documents. The labels of a domain have surrogates of their own, so subdomains and the same surname of several people
+stay together. Surrogates, those of the parts of addresses each by themselves, are checked: one that another value has got, or that
+occurs as an original itself, is drawn again until all are distinct, letters with a longer tail from the third draw on, addresses of a
+private range outside of it from the twentieth on, as such a range can be full.
 
 Only documents with entities are shuffled. Values that occur in a third of all documents are aggregated before the
 shuffle and joined to a table with one row per value, which adaptive execution can split.
 
-Defined cases: a null text stays null and has no entities; a text without entities stays as it is; values are compared
-as written; equal rows get equal results; a null doc_id is a document like any other; an empty table gives an empty
-result; other columns are ignored. Mentions of a name without its title are not counted or listed as spans.
+Defined cases: a null text stays null and has no entities; a text without entities stays as it is; equal rows get equal results; a null
+doc_id is a document like any other; an empty table gives an empty result; other columns are ignored. Mentions of a name without its
+title are not counted or listed as spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +44,17 @@ PATTERNS = {
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra)\b\.?(?:\x20\p{Lu}[\p{L}'-]+){1,3}",
 }
 MALE, FEMALE = r"^(?:Mr|Herr|Monsieur|Señor|Sr)\b", r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra)\b"
+NAMES = r"^(?:given-.|family)$"
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+SECOND_LEVEL = r"(?i)((?:(?:ac|co|com|edu|gov|net|org)\.)?\p{L}{2}|\p{L}{3,24})$"
+RANGES = {r"^10\.": "10.", r"^127\.": "127.", r"^169\.254\.": "169.254.", r"^192\.168\.": "192.168."}
+SPECIAL_OCTETS = (10, 100, 127, 169, 172, 192, 198, 203)
+COMMON_WORDS = (
+    "amber april art august autumn baker banks bill black brown bush carter chase church cliff cook crystal daisy dale dawn day dean drew"
+    " faith field fisher forest fox frank gene grace grant gray green guy hill hope hunter iris ivy jade joy june king lane lily long"
+    " mark mason may miles miller norm page park pat pearl penny pierce price ray rich rob rose ruby rusty sandy short sky small smith"
+    " stone sue summer violet wade ward white will wise wolf wood woods young"
+).split()
 SYLLABLES = ["ba", "del", "fi", "gor", "han", "ke", "lin", "mar", "no", "pel", "ri", "sal", "to", "ven", "wi", "zan"]
 CYRILLIC = ["ба", "дел", "фи", "гор", "хан", "ке", "лин", "мар", "но", "пел", "ри", "сал", "то", "вен", "ви", "зан"]
 LOWER, UPPER = "abcdefghijklmnop", "ABCDEFGHIJKLMNOP"
@@ -77,13 +95,29 @@ def _units(entity: Column) -> Column:
     )
     whole = F.concat(F.array(F.struct(F.lit("stays").alias("kind"), title.alias("value"))), joined)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    top = F.substring_index(domain, ".", -1)
+    last = F.substring_index(domain, ".", -1)
+    wide = F.regexp_extract(domain, r"(?<=\.)" + SECOND_LEVEL, 1)
+    # A domain such as co.uk itself keeps its last label alone.
+    top = F.when(F.char_length(wide) < F.char_length(domain) - 1, wide).otherwise(last)
+    top = F.when(F.char_length(top) > 0, top).otherwise(last)
     host = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top) - 1)
-    pairs = (("local", local), ("stays", F.lit("@")), ("domain", host), ("stays", F.concat(F.lit("."), top)))
-    mail = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in pairs])
+
+    def unit(kind: Column | str, value: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
+
+    labels = F.split(host, r"\.")
+    dotted = F.flatten(
+        F.transform(labels, lambda x, i: F.array(unit(F.when(i == F.size(labels) - 1, "domain").otherwise("label"), x), unit("stays", F.lit("."))))
+    )
+    mail = F.concat(F.array(unit("local", local), unit("stays", F.lit("@"))), dotted, F.array(unit("stays", top)))
     return F.when(kind == "name", whole).when(kind == "email", mail).otherwise(single)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hex_at(stream: Column, i: Column) -> Column:
     """The digest's hexadecimal digit at position i, over again after 64, as a number."""
     return F.conv(F.substr(stream, (i % 64) + 1, F.lit(1)), 16, 10).cast("int")
@@ -117,17 +151,56 @@ def _check_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), add) % 10
 
 
-def _card(value: Column, stream: Column) -> Column:
-    drawn = _reshaped(value, stream, letters=False)
-    bare = F.regexp_replace(value, r"[^0-9]", "")
-    short = F.substr(drawn, F.lit(1), F.char_length(drawn) - 1)
-    last = (10 - _check_sum(F.concat(F.regexp_replace(short, r"[^0-9]", ""), F.lit("0")))) % 10
-    return F.when(_check_sum(bare) == 0, F.concat(short, last.cast("string"))).otherwise(drawn)
+def canonical(kind: Column, value: Column) -> Column:
+    """What a value says, however it is written."""
+    digits = F.regexp_replace(value, r"[^0-9]", "")
+    return (
+        F.when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise("+1"), digits))
+        .when(kind.isin("card", "ssn"), digits)
+        .when(kind == "iban", F.regexp_replace(value, r"\x20", ""))
+        .when(kind == "ip", value)
+        .otherwise(F.lower(value))
+    )
 
 
-def _address(stream: Column) -> Column:
-    octet = lambda k: (F.conv(F.substring(stream, k, 2), 16, 10).cast("int") % 254 + 1).cast("string")
-    return F.concat_ws(".", *[octet(k) for k in (1, 3, 5, 7)])
+def _placed(value: Column, drawn: Column, sort: str) -> Column:
+    return _let(drawn, lambda bound: _put(value, bound, sort))
+
+
+def _put(value: Column, drawn: Column, sort: str) -> Column:
+    """``value`` with its characters of a sort, a pattern's class, replaced by those of ``drawn`` in turn; what is over comes last."""
+    others = rf"[^{sort}]"
+
+    def other(c: Column, i: Column) -> Column:
+        before = F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i), others, ""))
+        return F.when(c.rlike(f"[{sort}]"), F.substr(drawn, before + 1, F.lit(1))).otherwise(c)
+
+    own = F.char_length(F.regexp_replace(value, others, ""))
+    return F.concat(F.array_join(F.transform(F.split(value, ""), other), ""), F.substr(drawn, own + 1))
+
+
+def _card(digits: Column, stream: Column) -> Column:
+    drawn = _reshaped(digits, stream, letters=False)
+    short = F.substr(drawn, F.lit(1), F.char_length(drawn) - 1)
+    last = (10 - _check_sum(F.concat(short, F.lit("0")))) % 10
+    return F.when(_check_sum(digits) == 0, F.concat(short, last.cast("string"))).otherwise(drawn)
+
+
+def _address(value: Column, stream: Column, draw: Column) -> Column:
+    """An address of the same private range, a multicast one for a multicast one, or else one of no special range."""
+    byte = lambda k: F.conv(F.substring(stream, k, 2), 16, 10).cast("int")
+    octet = lambda k: (byte(k) % 254 + 1).cast("string")
+    plain = F.filter(F.sequence(F.lit(1), F.lit(223)), lambda o: ~o.isin(*SPECIAL_OCTETS))
+    first = F.element_at(plain, (F.conv(F.substring(stream, 1, 4), 16, 10).cast("int") % F.size(plain)) + 1)
+    out = F.lit(None).cast("string")
+    for pattern, start in RANGES.items():
+        rest = [octet(3 + 2 * k) for k in range(4 - start.count("."))]
+        out = F.when(value.rlike(pattern), F.concat(F.lit(start), F.concat_ws(".", *rest))).otherwise(out)
+    inner = F.concat(F.lit("172."), (byte(3) % 16 + 16).cast("string"), F.lit("."), F.concat_ws(".", octet(5), octet(7)))
+    cast = F.concat_ws(".", (byte(3) % 16 + 224).cast("string"), octet(5), octet(7), octet(9))
+    out = F.when(value.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), inner).when(value.rlike(r"^2(?:2[4-9]|3\d)\."), cast).otherwise(out)
+    other = F.concat_ws(".", first.cast("string"), octet(5), octet(7), octet(9))
+    return F.coalesce(F.when(draw < 20, out), other)
 
 
 def _hex_reshaped(value: Column, stream: Column) -> Column:
@@ -150,64 +223,86 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
 
 
-def _iban(value: Column, stream: Column) -> Column:
-    country, bare = F.substring(value, 1, 2), F.regexp_replace(value, " ", "")
-    account = _reshaped(F.substr(value, F.lit(5)), stream, True)
-    check = F.lpad((98 - _mod97(F.concat(F.regexp_replace(account, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+def _iban(bare: Column, stream: Column) -> Column:
+    country = F.substring(bare, 1, 2)
+    account = _reshaped(F.substr(bare, F.lit(5)), stream, True)
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     valid = _mod97(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))) == 1
-    return F.when(valid, F.concat(country, check, account)).otherwise(F.concat(country, _reshaped(F.substr(value, F.lit(3)), stream, True)))
+    return F.when(valid, F.concat(country, check, account)).otherwise(F.concat(country, _reshaped(F.substr(bare, F.lit(3)), stream, True)))
+
 
+def _name(value: Column, stream: Column, ending: Column, tail: Column) -> Column:
+    """An invented name with the hyphens and apostrophes of ``value``; a single letter stays a single letter."""
 
-def _name(value: Column, stream: Column, ending: Column) -> Column:
-    def spelled(syllables: list[str]) -> Column:
+    def spelled(syllables: list[str], letters: str, last: Column) -> Column:
         table = F.array(*map(F.lit, syllables))
-        return F.initcap(F.concat(*[F.element_at(table, _hex_at(stream, F.lit(k)) + 1) for k in range(3)]))
+        pieces = F.split(value, r"(?<=['’-])")
 
-    latin = F.concat(spelled(SYLLABLES), ending)
-    cyrillic = F.concat(spelled(CYRILLIC), F.when(ending == "a", "а").when(ending == "o", "о").otherwise("ов"))
-    return F.when(value.rlike("^[\\p{IsLatin}'-]+$"), latin).when(value.rlike("[А-Яа-я]"), cyrillic).otherwise(_reshaped(value, stream, True))
+        def piece(x: Column, i: Column) -> Column:
+            at = lambda k: _hex_at(stream, i * 3 + k)
+            mark = F.regexp_extract(x, r"(['’-]?)$", 1)
+            word = F.concat(*[F.element_at(table, at(k) + 1) for k in range(3)])
+            word = F.concat(word, F.when(i == F.size(pieces) - 1, F.concat(last, tail)).otherwise(""))
+            single = (F.char_length(x) - F.char_length(mark) == 1) & (F.char_length(mark) == 1)
+            return F.concat(F.when(single, F.substr(F.lit(letters), at(0) + 1, F.lit(1))).otherwise(F.initcap(word)), mark)
 
+        return F.array_join(F.transform(F.filter(pieces, lambda x: x != ""), piece), "")
 
-def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 256)
+    latin = spelled(SYLLABLES, UPPER, ending)
+    cyrillic = spelled(CYRILLIC, SCRIPTS[1][1], F.when(ending == "a", "а").when(ending == "o", "о").otherwise("ов"))
+    out = F.when(value.rlike("^[\\p{IsLatin}'’-]+$"), latin).when(value.rlike("[А-Яа-я]"), cyrillic)
+    out = out.otherwise(F.concat(_reshaped(value, stream, True), tail))
+    return _let(out, lambda o: F.when((value == F.upper(value)) & (F.char_length(value) > 1), F.upper(o)).otherwise(o))
+
+
+def _surrogate(kind: Column, value: Column, plain: Column, draw: Column, key: str) -> Column:
+    """The surrogate of the canonical value ``plain`` at a draw, written as ``value`` is."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, plain, draw.cast("string")), 256)
+    return _let(digest, lambda stream: _drawn(kind, value, plain, draw, stream))
+
+
+def _drawn(kind: Column, value: Column, plain: Column, draw: Column, stream: Column) -> Column:
     tail = F.when(draw < 2, "").otherwise(F.substring(F.translate(stream, "0123456789", LOWER[6:]), 1, 40))
     tail = F.substr(tail, F.lit(1), F.greatest(draw - 1, F.lit(0)))
-    phone = F.regexp_extract(value, r"^(\+\d{1,3}(?=[\x20.(-]))?", 1)
-    after = F.substr(value, F.char_length(phone) + 1)
+    code = F.regexp_extract(plain, COUNTRY, 0)
     digits = F.translate(F.substring(stream, 20, 40), "abcdef", "012345")
     longer = F.when(draw < 6, "").otherwise(F.substr(digits, F.lit(1), draw - 5))
+    national = F.concat(_reshaped(F.substr(plain, F.char_length(code) + 1), stream, False), longer)
+    written = F.when(value.startswith("+"), code).otherwise("")
+    phone = F.concat(written, _placed(F.substr(value, F.char_length(written) + 1), national, "0-9"))
     return (
-        F.when(kind.isin("local", "domain"), F.concat(tail, _reshaped(value, stream, True)))
-        .when(kind == "ip", _address(stream))
+        F.when(kind.isin("local", "domain", "label"), F.concat(tail, _reshaped(value, stream, True)))
+        .when(kind == "ip", _address(value, stream, draw))
         .when(kind == "ipv6", _hex_reshaped(value, stream))
-        .when(kind == "phone", F.concat(phone, _reshaped(after, stream, False), longer))
-        .when(kind == "card", _card(value, stream))
-        .when(kind == "iban", _iban(value, stream))
-        .when(kind == "ssn", _reshaped(value, stream, False))
-        .when(kind == "given-f", F.concat(_name(value, stream, F.lit("a")), tail))
-        .when(kind == "given-m", F.concat(_name(value, stream, F.lit("o")), tail))
-        .otherwise(F.concat(_name(value, stream, F.lit("er")), tail))
+        .when(kind == "phone", phone)
+        .when(kind == "card", _placed(value, _card(plain, stream), "0-9"))
+        .when(kind == "iban", _placed(value, _iban(plain, stream), "A-Za-z0-9"))
+        .when(kind == "ssn", _placed(value, _reshaped(plain, stream, False), "0-9"))
+        .when(kind == "given-f", _name(value, stream, F.lit("a"), tail))
+        .when(kind == "given-m", _name(value, stream, F.lit("o"), tail))
+        .otherwise(_name(value, stream, F.lit("er"), tail))
     )
 
 
-def assign_surrogates(values: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value); surrogates differ from each other and from all values."""
+def assign_draws(values: DataFrame, key: str, max_draws: int = 40) -> DataFrame:
+    """(kind, plain, draw) for distinct (kind, plain) of canonical values; surrogates at these draws differ from each other and from all values."""
     n = partitions(values.sparkSession)  # a given number, so that few but costly rows are not gathered in one task
-    table = cut(values.select("kind", "value").distinct().repartition(n, "kind", "value").withColumn("draw", F.lit(0)))
-    same = Window.partitionBy("kind", "surrogate").orderBy("draw", "value")
+    table = cut(values.select("kind", "plain").distinct().repartition(n, "kind", "plain").withColumn("draw", F.lit(0)))
+    same = Window.partitionBy("kind", "surrogate").orderBy("draw", "plain")
     for _ in range(max_draws):
-        drawn = table.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("draw"), key))
-        originals = table.select(F.col("kind").alias("o_kind"), F.col("value").alias("o_value"))
+        made = _let(_surrogate(F.col("kind"), F.col("plain"), F.col("plain"), F.col("draw"), key), lambda new: canonical(F.col("kind"), new))
+        drawn = table.withColumn("surrogate", made)
+        originals = table.select(F.col("kind").alias("o_kind"), F.col("plain").alias("o_plain"))
         checked = (
             drawn.withColumn("turn", F.row_number().over(same))
-            .join(originals, (F.col("kind") == F.col("o_kind")) & (F.col("surrogate") == F.col("o_value")), "left")
-            .withColumn("clash", (F.col("turn") > 1) | F.col("o_value").isNotNull())
-            .select("kind", "value", "surrogate", F.when(F.col("clash"), F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"), "clash")
+            .join(originals, (F.col("kind") == F.col("o_kind")) & (F.col("surrogate") == F.col("o_plain")), "left")
+            .withColumn("clash", (F.col("turn") > 1) | F.col("o_plain").isNotNull())
+            .select("kind", "plain", F.when(F.col("clash"), F.col("draw") + 1).otherwise(F.col("draw")).alias("draw"), "clash")
         )
         checked = cut(checked)
         if checked.filter("clash").isEmpty():
-            return checked.select("kind", "value", "surrogate")
-        table = checked.select("kind", "value", "draw")
+            return checked.select("kind", "plain", "draw")
+        table = checked.select("kind", "plain", "draw")
     raise RuntimeError(f"surrogates still collide after {max_draws} draws")
 
 
@@ -226,21 +321,32 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         .select("doc_id", "row", "pos", F.posexplode(_units(F.col("entity"))).alias("part", "unit"))
         .select("doc_id", "row", "pos", "part", "unit.kind", "unit.value")
     )
-    units = cut(units)
-    table = assign_surrogates(units.filter("kind <> 'stays'"), key)
+    units = cut(units.withColumn("plain", canonical(F.col("kind"), F.col("value"))))
+    table = assign_draws(units.filter("kind <> 'stays'"), key)
+    surrogate = F.when(F.col("draw").isNotNull(), _surrogate(F.col("kind"), F.col("value"), F.col("plain"), F.col("draw"), key))
     new_parts = (
-        units.join(table, ["kind", "value"], "left")
+        units.join(table, ["kind", "plain"], "left")
+        .withColumn("surrogate", surrogate)
         .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "part", F.coalesce("surrogate", "value").alias("new"), "kind", "value"))).alias("parts"))
         .select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "parts")
     )
-    names = F.transform(
-        F.filter("parts", lambda p: p["kind"].rlike("^(given-.|family)$")), lambda p: F.struct(p["value"].alias("value"), p["new"].alias("new"))
+    words = F.filter("parts", lambda p: p["kind"].rlike(NAMES))
+    # Full names go first, then their words alone, common ones left out.
+    full = F.transform(
+        F.array_distinct(F.transform(words, lambda p: p["pos"])),
+        lambda pos: F.struct(
+            F.array_join(F.transform(F.filter(words, lambda p: p["pos"] == pos), lambda p: p["value"]), " ").alias("value"),
+            F.array_join(F.transform(F.filter(words, lambda p: p["pos"] == pos), lambda p: p["new"]), " ").alias("new"),
+        ),
     )
+    alone = F.filter(words, lambda p: ~F.lower(p["value"]).isin(*COMMON_WORDS))
+    single = F.transform(alone, lambda p: F.struct(p["value"].alias("value"), p["new"].alias("new")))
+    names = F.concat(F.filter(full, lambda x: x["value"].contains(" ")), single)
 
     def renamed(gap: Column) -> Column:
-        alone = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), x["value"], F.lit(r"(?![\p{L}\p{N}])"))
-        return F.aggregate("names", gap, lambda text, x: F.regexp_replace(text, alone(x), x["new"]))
+        whole = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x["value"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.aggregate("names", gap, lambda text, x: F.regexp_replace(text, whole(x), x["new"]))
 
     fresh = F.transform(
         F.col("found"),
@@ -251,7 +357,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         F.col("found"),
         lambda _, i: F.regexp_replace(
             F.regexp_replace(F.filter("parts", lambda p: (p["pos"] == i) & (p["kind"] != "stays"))[0]["kind"], "^(given-.|family)$", "name"),
-            "^(local|domain)$",
+            "^(local|domain|label)$",
             "email",
         ),
     )

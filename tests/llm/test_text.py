@@ -672,6 +672,54 @@ def test_names_without_their_title(spark):
     assert got[2]["text"] == f"Mr. {family} came"
 
 
+def test_one_value_in_many_spellings(spark):
+    texts = [
+        ["Anna.Lee@Example.com", "anna.lee@example.com", "ANNA.LEE@EXAMPLE.COM", "bob@example.com", "bob@sub.example.com", "bob@sub.example.co.uk"],
+        ["(555) 123-4567", "555-123-4567", "+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "555.123.4567"],
+        ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ]
+    got = surrogates(spark, [f"at {x} now" for row in texts for x in row])
+    new = iter([got[i]["text"][3:-4] for i in range(len(got))])
+    mails, phones, cards, accounts = ([next(new) for _ in row] for row in texts)
+    assert mails[0].lower() == mails[1] == mails[2].lower() and mails[2].isupper()
+    domains = [m.split("@")[1].lower() for m in mails]
+    assert domains[0] == domains[3] and domains[4].endswith("." + domains[3]) and domains[5].endswith(".co.uk")
+    assert domains[5].split(".")[:2] == domains[4].split(".")[:2]
+    for old, row in ((texts[1], phones), (texts[2], cards), (texts[3], accounts)):
+        bare = {re.sub("[^0-9A-Z]", "", x if not x.startswith("+1") else x[2:]) for x in row}
+        assert len(bare) == 1 and row[0] != old[0]
+        assert [re.sub(r"\d", "0", x) for x in row] == [re.sub(r"\d", "0", x) for x in old]
+    assert all(x.startswith("+1") for x in phones[2:5])
+    assert luhn(cards[1]) == 0 and mod97(accounts[0]) == 1
+
+
+def test_country_codes_ranges_and_marks_in_names(spark):
+    kept = {"+442079460958": "+44", "+35312345678": "+353", "+7 495 123 45 67": "+7", "10.0.0.1": "10.", "192.168.1.9": "192.168.", "127.0.0.1": "127.", "172.20.1.1": "172."}
+    got = surrogates(spark, [*kept, "8.8.8.8", "Mr. O'Neil-Smith", "Mr. SMITH and Mr. Smith", "Mr. Will Will go. Will you?", "Ms. Rose May came. Rose petals, May is here, Rose May left"])
+    for i, (old, start) in enumerate(kept.items()):
+        assert got[i]["text"].startswith(start) and got[i]["text"] != old and got[i]["n_entities"] == 1
+    assert 16 <= int(got[6]["text"].split(".")[1]) < 32
+    assert 0 < int(got[7]["text"].split(".")[0]) < 224
+    assert re.fullmatch(r"Mr\. [A-P]'[A-Z][a-z]+-[A-Z][a-z]+er", got[8]["text"])
+    loud, quiet = re.fullmatch(r"Mr\. (\w+) and Mr\. (\w+)", got[9]["text"]).groups()
+    assert loud == quiet.upper() != "SMITH"
+    assert got[10]["text"].endswith(" go. Will you?") and "Mr. Will" not in got[10]["text"]
+    given, family = got[11]["text"].split()[1:3]
+    assert got[11]["text"] == f"Ms. {given} {family} came. Rose petals, May is here, {given} {family} left"
+
+
+def test_a_full_private_range_and_spellings_by_brute_force(spark):
+    values = [f"192.168.7.{i}" for i in range(256)] + [f"{i % 10}{i // 10:02d}-555-{i:04d}" for i in range(300)]
+    spelled = [v.replace("-", ".") if i % 2 else v for i, v in enumerate(values)]
+    got = surrogates(spark, [*values, *spelled])
+    told = {}
+    for i, v in enumerate([*values, *spelled]):
+        bare = lambda x: x if x.startswith("192") or x.count(".") == 3 else re.sub(r"\D", "", x)
+        assert told.setdefault(bare(v), bare(got[i]["text"])) == bare(got[i]["text"])
+    assert len(set(told.values())) == len(told) == 556 and not set(told) & set(told.values())
+
+
 def test_surrogates_of_thousands_of_values_by_brute_force(spark):
     import random
 
